@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 _TINY = 1e-300
 _log_gamma = np.vectorize(math.lgamma, otypes=[float])
@@ -102,17 +102,17 @@ def _tail(function, *columns: pd.Series) -> pd.Series:
     return pd.Series(result, index=frame.index)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _t_tail(t: pd.Series, dof: pd.Series) -> pd.Series:
     return _tail(t_two_sided, t, dof)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _chi2_tail(x: pd.Series, dof: pd.Series) -> pd.Series:
     return _tail(chi2_upper, x, dof)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _f_tail(f: pd.Series, dof1: pd.Series, dof2: pd.Series) -> pd.Series:
     return _tail(f_upper, f, dof1, dof2)
 

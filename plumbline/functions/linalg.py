@@ -2,12 +2,15 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
-
-SOLUTION = (
-    "intercept double, coefficients array<double>, r2 double, adjusted_r2 double, mse double, "
-    "rmse double, vif array<double>, ridge double"
-)
+from pyspark.sql import Column, functions as F, types as T
+
+_NUMBER, _LIST = T.DoubleType(), T.ArrayType(T.DoubleType())
+SOLUTION = T.StructType([
+    T.StructField("intercept", _NUMBER), T.StructField("coefficients", _LIST), T.StructField("r2", _NUMBER),
+    T.StructField("adjusted_r2", _NUMBER), T.StructField("mse", _NUMBER), T.StructField("rmse", _NUMBER),
+    T.StructField("vif", _LIST), T.StructField("ridge", _NUMBER),
+])
+FIELDS = SOLUTION.fieldNames()
 VIF_CAP = 10_000.0
 SINGULAR = 1e-12
 
@@ -77,13 +80,12 @@ def solve(n: float, means, flat) -> dict | None:
 
 @F.pandas_udf(SOLUTION)
 def _solve_rows(n: pd.Series, means: pd.Series, flat: pd.Series) -> pd.DataFrame:
-    names = [part.split()[0] for part in SOLUTION.split(", ")]
     rows = []
     for count, mean, upper in zip(n, means, flat):
         usable = mean is not None and not any(v is None or np.isnan(v) for v in [*mean, *upper])
         solution = solve(float(count), mean, upper) if usable else None
-        rows.append(solution or dict.fromkeys(names))
-    return pd.DataFrame(rows, columns=names)
+        rows.append(solution or dict.fromkeys(FIELDS))
+    return pd.DataFrame(rows, columns=FIELDS)
 
 
 def least_squares(n: Column, means: Column, covariance: Column) -> Column:
@@ -91,7 +93,7 @@ def least_squares(n: Column, means: Column, covariance: Column) -> Column:
     return _solve_rows(n.cast("double"), means, covariance)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(_LIST)
 def _inflation_rows(flat: pd.Series) -> pd.Series:
     out = []
     for upper in flat:

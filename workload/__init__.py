@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["describe", "infer"]
+AREAS = ["describe", "infer", "clean"]
 
 
 def collect(kind: str) -> dict:
