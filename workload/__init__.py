@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["describe", "infer", "clean"]
+AREAS = ["describe", "infer", "clean", "features", "models", "charts"]
 
 
 def collect(kind: str) -> dict:
