@@ -16,7 +16,7 @@ FEW_CLASSES = 10
 
 # ---- splits --------------------------------------------------------------------------------------
 
-def hash_share(key: Sequence[str], seed: int = SEED) -> Column:
+def hash_share(key: Sequence[str], seed: int | str = SEED) -> Column:
     """A number in [0, 1) that depends on the key and the seed only, however rows are partitioned."""
     digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 4294967296.0
@@ -54,7 +54,8 @@ def folds(
     df: DataFrame, key: Sequence[str], k: int = 5, stratify: str | None = None, seed: int = SEED
 ) -> DataFrame:
     """Add ``fold`` 0..k-1; stratified folds deal out the rows of each class in turn."""
-    hashed = hash_share(key, seed)
+    # Another hash than that of the split, so that the training rows fall into all folds.
+    hashed = hash_share(key, f"fold{seed}")
     if stratify is None:
         return df.withColumn("fold", F.floor(hashed * k).cast("int"))
     placed = running_total(df.withColumn("_h", hashed), ["_h", *key], [stratify], name="_place")

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.bands import correlation_label
 from ..functions.distributions import chi2_pvalue, f_pvalue, t_pvalue
 from ..functions.linalg import least_squares
-from ..plans.moments import complete_moments
+from ..plans.moments import complete_moments, pairwise_sums
 from ..plans.order import average_ranks
 from ..plans.segments import TASK_ROWS, attach, measure, numeric_columns
 
 FEW_VALUES = 15
+MANY_PAIRS = 30
 ALPHA = 0.05
 Z_95 = 1.96
 
@@ -57,13 +58,18 @@ def _few_valued(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> set[tuple[st
 
 def pearson(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
     """(by..., column_a, column_b, n, r) over pairwise complete rows, all pairs in one pass."""
+    # corr passes over rows that miss a side, and is null or NaN when a side does not vary.
+    used = sorted({c for pair in pairs for c in pair})
+    narrow = df.select(*by, *[measure(c).alias(f"_v{i}") for i, c in enumerate(used)])
+    if len(pairs) > MANY_PAIRS and not by:
+        return _matrix_pearson(narrow, pairs, used)
+    place = {c: F.col(f"_v{i}") for i, c in enumerate(used)}
     aggregates = []
     for i, (a, b) in enumerate(pairs):
-        both = measure(a).isNotNull() & measure(b).isNotNull()
-        x, y = F.when(both, measure(a)), F.when(both, measure(b))
-        varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-        aggregates += [F.count_if(both).alias(f"n{i}"), F.when(varies, F.corr(x, y)).alias(f"r{i}")]
-    wide = df.groupBy(*by).agg(*aggregates)
+        both = place[a].isNotNull() & place[b].isNotNull()
+        r = F.nanvl(F.corr(place[a], place[b]), F.lit(None).cast("double"))
+        aggregates += [F.count_if(both).alias(f"n{i}"), r.alias(f"r{i}")]
+    wide = narrow.groupBy(*by).agg(*aggregates)
     rows = [
         F.struct(
             F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
@@ -74,6 +80,28 @@ def pearson(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] =
     return wide.select(*by, F.explode(F.array(*rows)).alias("_p")).select(*by, "_p.*")
 
 
+def _matrix_pearson(narrow: DataFrame, pairs: Sequence[tuple[str, str]], used: list[str]) -> DataFrame:
+    """The same from matrix products, for very many pairs."""
+    place = {c: i for i, c in enumerate(used)}
+    wanted = F.explode(F.array(*[
+        F.struct(
+            F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
+            F.lit(min(place[a], place[b])).alias("i"), F.lit(max(place[a], place[b])).alias("j"),
+        )
+        for a, b in pairs
+    ]))
+    sums = pairwise_sums(narrow, [f"_v{i}" for i in range(len(used))])
+    listed = sums.where((F.col("i") == 0) & (F.col("j") == 0)).select(wanted.alias("_p")).select("_p.*")
+    n = F.nullif(F.col("n"), F.lit(0.0))
+    x = F.col("sxx") - F.col("sx") * F.col("sx") / n
+    y = F.col("syy") - F.col("sy") * F.col("sy") / n
+    cross = F.col("sxy") - F.col("sx") * F.col("sy") / n
+    # What remains of a constant column after centring is rounding noise.
+    varies = (x > 1e-12 * F.col("sxx")) & (y > 1e-12 * F.col("syy"))
+    r = F.when(varies, F.greatest(F.least(cross / (F.sqrt(x) * F.sqrt(y)), F.lit(1.0)), F.lit(-1.0)))
+    return listed.join(sums, ["i", "j"]).select("column_a", "column_b", F.col("n").cast("long").alias("n"), r.alias("r"))
+
+
 def spearman(
     df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] = (), task_rows: int = TASK_ROWS
 ) -> DataFrame:

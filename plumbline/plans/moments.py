@@ -3,10 +3,15 @@
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.linalg import square
 
+# Beyond this many columns the pair aggregates outgrow generated code; matrix products take over.
+FEW_TERMS = 10
+_SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
 
 def complete_moments(
     df: DataFrame, terms: dict[str, Column], by: Sequence[str] = ()
@@ -28,10 +33,54 @@ def complete_moments(
     )
 
 
+def pairwise_sums(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(i, j, n, sx, sy, sxx, syy, sxy) per pair of double columns over its complete rows.
+
+    Values are centred on the column means first. Each task adds up matrix products of its Arrow
+    batches and hands on one small row per pair.
+    """
+    means = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    shift = np.array([means[c] if means[c] is not None else 0.0 for c in columns])
+    names, size = list(columns), len(columns)
+    left, right = np.triu_indices(size)
+
+    def add_up(batches):
+        total = np.zeros((6, size, size))
+        for batch in batches:
+            values = batch[names].to_numpy(dtype=float) - shift
+            held = (~np.isnan(values)).astype(float)
+            values = np.where(held > 0, values, 0.0)
+            squares = values * values
+            total += np.stack([
+                held.T @ held, values.T @ held, held.T @ values, squares.T @ held, held.T @ squares, values.T @ values,
+            ])
+        sums = total[:, left, right]
+        yield pd.DataFrame({"i": left, "j": right, **dict(zip(_SUMS, sums))})
+
+    schema = "i int, j int, " + ", ".join(f"{name} double" for name in _SUMS)
+    partial = df.select(*columns).mapInPandas(add_up, schema)
+    return partial.groupBy("i", "j").agg(*[F.sum(name).alias(name) for name in _SUMS])
+
+
 def moments_row(df: DataFrame, terms: dict[str, Column]) -> tuple[int, np.ndarray, np.ndarray]:
-    """The moments of an unsegmented table as (n, means, matrix)."""
-    row = complete_moments(df, terms).first()
+    """The moments of the complete rows of an unsegmented table as (n, means, matrix)."""
     size = len(terms)
+    if size > FEW_TERMS:
+        return _matrix_moments(df, terms)
+    row = complete_moments(df, terms).first()
     if not row["n"]:
         return 0, np.zeros(size), np.zeros((size, size))
     return row["n"], np.array(row["means"]), square(np.array(row["covariance"]), size)
+
+
+def _matrix_moments(df: DataFrame, terms: dict[str, Column]) -> tuple[int, np.ndarray, np.ndarray]:
+    names = [f"_t{i}" for i in range(len(terms))]
+    rows = df.select(*[e.cast("double").alias(n) for n, e in zip(names, terms.values())]).dropna()
+    means = rows.agg(*[F.avg(n).alias(n) for n in names]).first()
+    matrix, n = np.zeros((len(names), len(names))), 0
+    for r in pairwise_sums(rows, names).collect():
+        n = int(r["n"])
+        if n:
+            value = (r["sxy"] - r["sx"] * r["sy"] / n) / n
+            matrix[r["i"], r["j"]] = matrix[r["j"], r["i"]] = value
+    return n, np.array([means[c] if means[c] is not None else 0.0 for c in names]), matrix

@@ -122,7 +122,7 @@ ORACLES = {
     "scatter_points_spread": _scatter("o_custkey", "o_totalprice", "x", "y"),
     "predicted_against_actual": _scatter("o_totalprice", "o_custkey * 2.0", "actual", "predicted"),
     "heatmap": " UNION ALL ".join(
-        f"SELECT '{a}' AS column_a, '{b}' AS column_b, {r(f'corr({a}, {b})' if a != b else '1', 5)} AS r FROM lineitem"
+        f"SELECT '{a}' AS column_a, '{b}' AS column_b, {r(f'corr({a}, {b})' if a != b else 'max(1)', 5)} AS r FROM lineitem"
         for a in ("l_quantity", "l_extendedprice", "l_tax") for b in ("l_quantity", "l_extendedprice", "l_tax")
     ),
     "importance_bars": f"""SELECT feature, {r('importance', 4)} AS importance, {r('importance / max(importance) OVER ()', 4)} AS relative,

@@ -27,7 +27,7 @@ def event_hours(spark, folder):
 
 def ratio_features(spark, folder):
     made = f.ratios(_lineitem(spark, folder), [("l_extendedprice", "l_quantity"), ("quantity_gaps", "l_discount")])
-    return rounded(made.select(*KEYS, "l_extendedprice_div_l_quantity", "quantity_gaps_div_l_discount"), 4)
+    return rounded(made.select(*KEYS, "l_extendedprice_div_l_quantity", "quantity_gaps_div_l_discount"), 8)
 
 
 def interaction_features(spark, folder):
@@ -195,8 +195,8 @@ ORACLES = {
     "date_parts": f"SELECT o_orderkey, {_parts('o_orderdate')} FROM orders",
     "event_hours": """SELECT hour(ts) AS ts_hour, isodow(ts) - 1 AS ts_day_of_week,
       CAST(CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END AS BIGINT) AS ts_is_weekend, count(*) AS n FROM events GROUP BY 1, 2, 3""",
-    "ratio_features": f"""SELECT {_KEYS}, {r('l_extendedprice / nullif(l_quantity, 0)', 4)} AS l_extendedprice_div_l_quantity,
-      {r('quantity_gaps / nullif(l_discount, 0)', 4)} AS quantity_gaps_div_l_discount FROM {LINEITEM}""",
+    "ratio_features": f"""SELECT {_KEYS}, {r('l_extendedprice / nullif(l_quantity, 0)', 8)} AS l_extendedprice_div_l_quantity,
+      {r('quantity_gaps / nullif(l_discount, 0)', 8)} AS quantity_gaps_div_l_discount FROM {LINEITEM}""",
     "interaction_features": f"""SELECT {_KEYS}, {r('quantity_gaps * l_discount', 4)} AS quantity_gaps_x_l_discount,
       {r('quantity_gaps - l_discount', 4)} AS quantity_gaps_minus_l_discount FROM {LINEITEM}""",
     "row_aggregates": f"""SELECT {_KEYS}, {r(f'list_avg({_ROW})', 5)} AS _row_mean, {r(f'list_stddev_samp({_ROW})', 5)} AS _row_std,
