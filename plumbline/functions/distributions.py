@@ -7,7 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 _TINY = 1e-300
-_log_gamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _log_gamma(values):
+    return np.array([math.lgamma(v) for v in np.ravel(values)]).reshape(np.shape(values))
 
 
 def _beta_fraction(a, b, x):

@@ -22,6 +22,15 @@ def square(flat, size: int) -> np.ndarray:
     return matrix + np.triu(matrix, 1).T
 
 
+def without_noise(covariance: np.ndarray, means: np.ndarray) -> np.ndarray:
+    """Set the rounding noise that a constant column leaves to zero."""
+    still = np.sqrt(np.abs(np.diag(covariance))) <= 1e-12 * np.abs(means)
+    cleaned = covariance.copy()
+    cleaned[still, :] = 0.0
+    cleaned[:, still] = 0.0
+    return cleaned
+
+
 def ridge_for(predictors: int) -> float:
     return 1.0 if predictors > 5 else 0.001
 
@@ -48,8 +57,8 @@ def inflation(covariance: np.ndarray) -> list[float]:
 def solve(n: float, means, flat) -> dict | None:
     """Regress the first variable on the others. Falls back to ridge on a singular matrix."""
     size = len(means)
-    covariance = square(np.asarray(flat, dtype=float), size)
     means = np.asarray(means, dtype=float)
+    covariance = without_noise(square(np.asarray(flat, dtype=float), size), means)
     xx, xy, yy = covariance[1:, 1:], covariance[1:, 0], covariance[0, 0]
     spread = np.sqrt(np.diag(xx))
     if not np.all(np.isfinite(covariance)):
@@ -94,13 +103,16 @@ def least_squares(n: Column, means: Column, covariance: Column) -> Column:
 
 
 @F.pandas_udf(_LIST)
-def _inflation_rows(flat: pd.Series) -> pd.Series:
+def _inflation_rows(means: pd.Series, flat: pd.Series) -> pd.Series:
     out = []
-    for upper in flat:
-        size = int((np.sqrt(8 * len(upper) + 1) - 1) / 2)
-        out.append(inflation(square(np.asarray(upper, dtype=float), size)))
+    for mean, upper in zip(means, flat):
+        if any(v is None or np.isnan(v) for v in mean):
+            out.append(None)
+            continue
+        matrix = square(np.asarray(upper, dtype=float), len(mean))
+        out.append(inflation(without_noise(matrix, np.asarray(mean, dtype=float))))
     return pd.Series(out)
 
 
-def vif(covariance: Column) -> Column:
-    return _inflation_rows(covariance)
+def vif(means: Column, covariance: Column) -> Column:
+    return _inflation_rows(means, covariance)

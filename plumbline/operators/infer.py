@@ -58,7 +58,7 @@ def _few_valued(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> set[tuple[st
 
 def pearson(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
     """(by..., column_a, column_b, n, r) over pairwise complete rows, all pairs in one pass."""
-    # corr passes over rows that miss a side, and is null or NaN when a side does not vary.
+    # From covariances rather than corr, which fails on a constant side.
     used = sorted({c for pair in pairs for c in pair})
     narrow = df.select(*by, *[measure(c).alias(f"_v{i}") for i, c in enumerate(used)])
     if len(pairs) > MANY_PAIRS and not by:
@@ -67,7 +67,10 @@ def pearson(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] =
     aggregates = []
     for i, (a, b) in enumerate(pairs):
         both = place[a].isNotNull() & place[b].isNotNull()
-        r = F.nanvl(F.corr(place[a], place[b]), F.lit(None).cast("double"))
+        x, y = F.when(both, place[a]), F.when(both, place[b])
+        spread = F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+        varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+        r = F.when(varies, F.greatest(F.least(F.covar_pop(x, y) / spread, F.lit(1.0)), F.lit(-1.0)))
         aggregates += [F.count_if(both).alias(f"n{i}"), r.alias(f"r{i}")]
     wide = narrow.groupBy(*by).agg(*aggregates)
     rows = [

@@ -8,7 +8,7 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.linalg import VIF_CAP, inflation, vif as vif_column
+from ..functions.linalg import VIF_CAP, inflation, vif as vif_column, without_noise
 from ..plans.moments import complete_moments, moments_row
 from ..plans.segments import measure
 from .features import scale, scale_parameters
@@ -47,7 +47,7 @@ def target_correlations(df: DataFrame, columns: Sequence[str], target: str, thre
 def variance_inflation(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by..., column, vif) from the covariance of complete rows, one pass for all columns."""
     moments = complete_moments(df, {c: measure(c) for c in columns}, by)
-    pairs = F.arrays_zip(F.array(*[F.lit(c) for c in columns]).alias("column"), vif_column(F.col("covariance")).alias("vif"))
+    pairs = F.arrays_zip(F.array(*[F.lit(c) for c in columns]).alias("column"), vif_column(F.col("means"), F.col("covariance")).alias("vif"))
     return moments.select(*by, F.explode(pairs).alias("_p")).select(
         *by, F.col("_p").getField("column").alias("column"), F.col("_p").getField("vif").alias("vif")
     )
@@ -56,7 +56,8 @@ def variance_inflation(df: DataFrame, columns: Sequence[str], by: Sequence[str]
 def vif_filter(df: DataFrame, columns: Sequence[str], threshold: float = 10.0) -> tuple[list[str], list[dict]]:
     """Drop the most inflated column until all are within the threshold; the data is read once."""
     columns = list(columns)
-    _, _, matrix = moments_row(df, {c: measure(c) for c in columns})
+    _, means, matrix = moments_row(df, {c: measure(c) for c in columns})
+    matrix = without_noise(matrix, means)
     kept, history = list(range(len(columns))), []
     while len(kept) > 1:
         factors = [min(round(v, 4), VIF_CAP) for v in inflation(matrix[np.ix_(kept, kept)])]
