@@ -2,14 +2,11 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.bands import skewness_label
-from ..plans.quantiles import fits_buffer, percentiles, wide_percentiles
-from ..plans.segments import (
-    BUFFER_VALUES, as_long, as_long_text, attach, measure, numeric_columns, stack_columns,
-)
-from ..plans.staging import cut
+from ..plans.quantiles import fits_buffer, percentiles, percentiles_of_counts, value_counts
+from ..plans.segments import BUFFER_VALUES, as_long_text, attach, measure, numeric_columns, stack_columns
 
 FIELDS = [
     "count", "null_count", "mean", "median", "mode", "std", "variance", "min", "max", "range",
@@ -21,8 +18,12 @@ OUTLIER_FACTOR = 1.5
 def describe(
     df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = (), bound: int = BUFFER_VALUES
 ) -> DataFrame:
-    """Numeric summary. Two passes: one aggregate of everything, one count beyond the fences."""
+    """Numeric summary: one pass for the moments, one that condenses the table to counted values.
+
+    Quartiles, mode and outliers come from the counted values, which both uses share.
+    """
     columns = list(columns or numeric_columns(df, exclude=by))
+    keys = [*by, "column"]
     held = fits_buffer(df, columns, bound)
     aggregates = []
     for c in columns:
@@ -39,39 +40,25 @@ def describe(
             F.when(n >= 3, F.skewness(v)).when(n > 0, F.lit(0.0)).alias(f"skewness__{c}"),
             F.when(n >= 3, F.kurtosis(v)).when(n > 0, F.lit(0.0)).alias(f"kurtosis__{c}"),
         ]
-        if held:
-            quartiles = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-            aggregates += [quartiles.alias(f"pct__{c}"), F.mode(v, True).alias(f"mode__{c}")]
-    wide = df.groupBy(*by).agg(*aggregates)
-    if not held:
-        wide = attach(wide, wide_percentiles(df, columns, [0.25, 0.5, 0.75], by, bound), by)
-        wide = attach(wide, _wide_modes(df, columns, by), by)
-    for c in columns:
-        q1, median, q3 = (F.col(f"pct__{c}")[i] for i in range(3))
-        wide = wide.withColumns({
-            f"q1__{c}": q1, f"median__{c}": median, f"q3__{c}": q3, f"iqr__{c}": q3 - q1,
-            f"range__{c}": F.col(f"max__{c}") - F.col(f"min__{c}"),
-        })
-    wide = cut(wide.drop(*[f"pct__{c}" for c in columns]))
-    fences = wide.select(*by, *[
-        bound for c in columns for bound in (
-            (F.col(f"q1__{c}") - OUTLIER_FACTOR * F.col(f"iqr__{c}")).alias(f"lower__{c}"),
-            (F.col(f"q3__{c}") + OUTLIER_FACTOR * F.col(f"iqr__{c}")).alias(f"upper__{c}"),
-        )
-    ])
-    narrow = df.select(*by, *[measure(c).alias(c) for c in columns])
-    beyond = attach(narrow, fences, by).groupBy(*by).agg(*[
-        F.count_if((F.col(c) < F.col(f"lower__{c}")) | (F.col(c) > F.col(f"upper__{c}"))).alias(f"outlier_count__{c}")
-        for c in columns
-    ])
-    return stack_columns(attach(wide, beyond, by), columns, FIELDS, by)
-
-
-def _wide_modes(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
-    modes = value_modes(as_long(df, columns, by), [*by, "column"])
-    return modes.groupBy(*by).agg(*[
-        F.first(F.when(F.col("column") == c, F.col("mode")), ignorenulls=True).alias(f"mode__{c}") for c in columns
-    ])
+    moments = stack_columns(
+        df.groupBy(*by).agg(*aggregates), columns,
+        ["count", "null_count", "mean", "std", "variance", "min", "max", "skewness", "kurtosis"], by,
+    )
+    counts = value_counts(df, columns, by)
+    placed = percentiles_of_counts(counts, [0.25, 0.5, 0.75], keys, held).drop("total")
+    q1, median, q3 = (F.col("percentiles")[i] for i in range(3))
+    placed = placed.select(*keys, "top", q1.alias("q1"), median.alias("median"), q3.alias("q3"), (q3 - q1).alias("iqr"))
+    lower, upper = F.col("q1") - OUTLIER_FACTOR * F.col("iqr"), F.col("q3") + OUTLIER_FACTOR * F.col("iqr")
+    value, n = F.col("value"), F.col("n")
+    shape = attach(counts, placed, keys).groupBy(*keys).agg(
+        F.min(F.when(n == F.col("top"), value)).alias("mode"),
+        F.sum(F.when((value < lower) | (value > upper), n).otherwise(0)).alias("outlier_count"),
+        *[F.first(c).alias(c) for c in ("q1", "median", "q3", "iqr")],
+    )
+    summary = attach(moments, shape, keys).withColumns({
+        "range": F.col("max") - F.col("min"), "outlier_count": F.coalesce("outlier_count", F.lit(0)),
+    })
+    return summary.select(*keys, *FIELDS)
 
 
 def value_modes(long: DataFrame, keys: Sequence[str]) -> DataFrame:

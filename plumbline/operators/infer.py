@@ -10,7 +10,7 @@ from ..functions.distributions import chi2_pvalue, f_pvalue, t_pvalue
 from ..functions.linalg import least_squares
 from ..plans.moments import complete_moments, pairwise_sums
 from ..plans.order import average_ranks
-from ..plans.segments import TASK_ROWS, attach, measure, numeric_columns
+from ..plans.segments import TASK_ROWS, attach, largest_group, measure, numeric_columns
 
 FEW_VALUES = 15
 MANY_PAIRS = 30
@@ -115,8 +115,9 @@ def spearman(
     keys = [*by, "column_a", "column_b"]
     rows = _pair_rows(df, pairs, by)
     counted = rows.groupBy(*keys, "x", "y").agg(F.count("*").alias("w"))
+    fits = True if largest_group(rows, keys) <= task_rows else None
     for value, rank in (("x", "rank_x"), ("y", "rank_y")):
-        ranks = average_ranks(rows, value, keys, rank, task_rows).drop("n_value")
+        ranks = average_ranks(rows, value, keys, rank, task_rows, fits).drop("n_value")
         counted = attach(counted, ranks, [*keys, value], "inner")
     totals = counted.groupBy(*keys).agg(F.sum("w").alias("n"))
     centred = attach(counted, totals, keys)

@@ -224,7 +224,7 @@ def logistic_regression(
     def fit(strength, iterations):
         # The penalty of 1/(C n) per row mean equals the usual C form; the intercept is free.
         return LogisticRegression(
-            regParam=1.0 / (strength * n), elasticNetParam=0.0, standardization=False, maxIter=iterations, tol=1e-8
+            regParam=1.0 / (strength * n), elasticNetParam=0.0, standardization=False, maxIter=iterations
         ).fit(train)
 
     model = fit(c, 5000)

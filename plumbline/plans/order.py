@@ -24,14 +24,16 @@ def running_total(
     weight: str | None = None,
     name: str = "before",
     task_rows: int = TASK_ROWS,
+    fits: bool | None = None,
 ) -> DataFrame:
     """Add the total weight (default: number) of the rows that precede each row.
 
-    ``order`` must be unique within a segment.
+    ``order`` must be unique within a segment. ``fits`` tells whether the largest segment is known to
+    fit a task; otherwise it is counted.
     """
     amount = F.col(weight) if weight else F.lit(1)
     keys = [F.col(c) for c in order]
-    if largest_group(df, by) <= task_rows:
+    if largest_group(df, by) <= task_rows if fits is None else fits:
         window = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*keys)
         window = window.rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(name, F.coalesce(F.sum(amount).over(window), F.lit(0)).cast("long"))
@@ -58,14 +60,17 @@ def positions(
 
 
 def average_ranks(
-    df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank", task_rows: int = TASK_ROWS
+    df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank", task_rows: int = TASK_ROWS, fits: bool | None = None
 ) -> DataFrame:
     """One row per distinct value with its count and its average rank.
 
     Ranks come from the counted values, so a value held by a third of all rows costs one row here.
     """
+    if fits is None:
+        # There are no more distinct values than rows, and rows are cheaper to count.
+        fits = True if largest_group(df, by) <= task_rows else None
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n_value"))
-    ordered = running_total(counts, [value], by, weight="n_value", name="_before", task_rows=task_rows)
+    ordered = running_total(counts, [value], by, weight="n_value", name="_before", task_rows=task_rows, fits=fits)
     return ordered.withColumn(name, F.col("_before") + (F.col("n_value") + 1) / 2).drop("_before")
 
 

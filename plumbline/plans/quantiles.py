@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .order import running_total
 from .segments import BUFFER_VALUES, TASK_ROWS, as_long, attach, measure
@@ -10,33 +10,50 @@ from .segments import BUFFER_VALUES, TASK_ROWS, as_long, attach, measure
 
 def fits_buffer(df: DataFrame, columns: Sequence[str], bound: int = BUFFER_VALUES) -> bool:
     """Whether every column has few enough distinct values to be held in one aggregation buffer."""
-    counts = df.agg(*[F.approx_count_distinct(F.col(c)).alias(c) for c in columns]).first()
+    if bound <= 0:
+        return False
+    counts = df.agg(*[F.approx_count_distinct(measure(c)).alias(c) for c in columns]).first()
     # The sketch errs by about 5 percent; the factor keeps the bound safe.
     return max(counts) * 1.2 <= bound
 
 
-def spread_percentiles(
-    long: DataFrame, probs: Sequence[float], by: Sequence[str], task_rows: int = TASK_ROWS
+def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., column, value, n): the table condensed to its distinct values, merged before the shuffle."""
+    long = as_long(df, columns, by).where(F.col("value").isNotNull())
+    return long.groupBy(*by, "column", "value").agg(F.count("*").alias("n"))
+
+
+def _probs(probs: Sequence[float]) -> Column:
+    return F.array(*[F.lit(float(p)) for p in probs])
+
+
+def percentiles_of_counts(
+    counts: DataFrame, probs: Sequence[float], keys: Sequence[str], held: bool, task_rows: int = TASK_ROWS
 ) -> DataFrame:
-    """(by..., percentiles) of the column ``value``, from counted values and running totals."""
-    counts = long.where(F.col("value").isNotNull()).groupBy(*by, "value").agg(F.count("*").alias("_n"))
-    ordered = running_total(counts, ["value"], by, weight="_n", name="_before", task_rows=task_rows)
-    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    placed = attach(ordered, totals, by)
+    """(keys..., percentiles, top, total) from counted values: ``top`` is the highest count of a value.
+
+    ``held`` says that the distinct values of a key fit an aggregation buffer. Otherwise running totals
+    over the ordered values find the two neighbours of each position.
+    """
+    if held:
+        found = F.percentile("value", _probs(probs), F.col("n"))
+        return counts.groupBy(*keys).agg(found.alias("percentiles"), F.max("n").alias("top"), F.sum("n").alias("total"))
+    ordered = running_total(counts, ["value"], keys, weight="n", name="_before", task_rows=task_rows)
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"), F.max("n").alias("top"))
+    placed = attach(ordered, totals, keys)
 
     def at(position):
         return F.max(F.when(F.col("_before") <= position, F.col("value")))
 
+    spots = [(F.col("total") - 1) * F.lit(float(p)) for p in probs]
     parts = []
-    for i, p in enumerate(probs):
-        spot = (F.col("_total") - 1) * F.lit(float(p))
+    for i, spot in enumerate(spots):
         parts += [at(F.floor(spot)).alias(f"_lo{i}"), at(F.ceil(spot)).alias(f"_hi{i}")]
-    found = placed.groupBy(*by).agg(*parts, F.max("_total").alias("_total"))
-    values = []
-    for i, p in enumerate(probs):
-        spot = (F.col("_total") - 1) * F.lit(float(p))
-        values.append(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (spot - F.floor(spot)))
-    return found.select(*by, F.array(*values).alias("percentiles"))
+    found = placed.groupBy(*keys).agg(*parts, F.max("total").alias("total"), F.max("top").alias("top"))
+    values = [
+        F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (spot - F.floor(spot)) for i, spot in enumerate(spots)
+    ]
+    return found.select(*keys, F.array(*values).alias("percentiles"), "top", "total")
 
 
 def percentiles(
@@ -48,11 +65,9 @@ def percentiles(
     task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """(by..., column, percentiles): exact percentiles of each numeric column."""
-    long = as_long(df, columns, by)
-    if fits_buffer(df, columns, bound):
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        return long.groupBy(*by, "column").agg(F.percentile("value", wanted).alias("percentiles"))
-    return spread_percentiles(long, probs, [*by, "column"], task_rows)
+    held = fits_buffer(df, columns, bound)
+    found = percentiles_of_counts(value_counts(df, columns, by), probs, [*by, "column"], held, task_rows)
+    return found.select(*by, "column", "percentiles")
 
 
 def wide_percentiles(
@@ -63,10 +78,6 @@ def wide_percentiles(
     bound: int = BUFFER_VALUES,
 ) -> DataFrame:
     """One row per segment with an array ``pct__<column>`` for each column."""
-    if fits_buffer(df, columns, bound):
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        aggregates = [F.percentile(measure(c), wanted).alias(f"pct__{c}") for c in columns]
-        return df.groupBy(*by).agg(*aggregates)
     long = percentiles(df, columns, probs, by, bound)
     return long.groupBy(*by).agg(
         *[F.first(F.when(F.col("column") == c, F.col("percentiles")), ignorenulls=True).alias(f"pct__{c}") for c in columns]
