@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["describe", "infer", "clean", "features", "models", "charts"]
+AREAS = ["describe", "infer", "clean", "features", "models", "charts", "workflow"]
 
 
 def collect(kind: str) -> dict:
