@@ -23,7 +23,7 @@ def histogram(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), bin
     long = as_long(df, columns, by).where(F.col("value").isNotNull())
     keys = [*by, "column"]
     ends = long.groupBy(*keys).agg(F.min("value").alias("_low"), F.max("value").alias("_high"))
-    placed = attach(long, ends, keys).where(F.col("_low") < F.col("_high"))
+    placed = attach(long, ends, keys, few=None if by else True).where(F.col("_low") < F.col("_high"))
     number = _bin(F.col("value"), F.col("_low"), F.col("_high"), F.lit(bins)).cast("long")
     width = (F.col("_high") - F.col("_low")) / bins
     counts = placed.groupBy(*keys, "_low", "_high", number.alias("bin")).agg(F.count("*").alias("count"))

@@ -50,12 +50,14 @@ def describe(
     placed = placed.select(*keys, "top", q1.alias("q1"), median.alias("median"), q3.alias("q3"), (q3 - q1).alias("iqr"))
     lower, upper = F.col("q1") - OUTLIER_FACTOR * F.col("iqr"), F.col("q3") + OUTLIER_FACTOR * F.col("iqr")
     value, n = F.col("value"), F.col("n")
-    shape = attach(counts, placed, keys).groupBy(*keys).agg(
+    # Without segments there is one row per column, which is a proven bound.
+    few = None if by else True
+    shape = attach(counts, placed, keys, few=few).groupBy(*keys).agg(
         F.min(F.when(n == F.col("top"), value)).alias("mode"),
         F.sum(F.when((value < lower) | (value > upper), n).otherwise(0)).alias("outlier_count"),
         *[F.first(c).alias(c) for c in ("q1", "median", "q3", "iqr")],
     )
-    summary = attach(moments, shape, keys).withColumns({
+    summary = attach(moments, shape, keys, few=bool(few)).withColumns({
         "range": F.col("max") - F.col("min"), "outlier_count": F.coalesce("outlier_count", F.lit(0)),
     })
     return summary.select(*keys, *FIELDS)
@@ -74,7 +76,7 @@ def frequencies(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -
     long = as_long_text(df, columns, by).where(F.col("value").isNotNull())
     counts = long.groupBy(*by, "column", "value").agg(F.count("*").alias("count"))
     totals = counts.groupBy(*by, "column").agg(F.sum("count").alias("_total"))
-    shares = attach(counts, totals, [*by, "column"]).withColumn("share", F.col("count") / F.col("_total"))
+    shares = attach(counts, totals, [*by, "column"], few=None if by else True).withColumn("share", F.col("count") / F.col("_total"))
     return shares.drop("_total")
 
 
@@ -88,9 +90,10 @@ def text_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
         F.count("value").alias("distinct_count"),
         F.max(F.when(seen, F.col("n"))).alias("_top"),
     )
-    winners = attach(counted.where(seen), summary.select(*by, "column", "_top"), [*by, "column"])
+    few = None if by else True
+    winners = attach(counted.where(seen), summary.select(*by, "column", "_top"), [*by, "column"], few=few)
     modes = winners.where(F.col("n") == F.col("_top")).groupBy(*by, "column").agg(F.min("value").alias("mode"))
-    return attach(summary.drop("_top"), modes, [*by, "column"])
+    return attach(summary.drop("_top"), modes, [*by, "column"], few=bool(few))
 
 
 def column_percentiles(

@@ -139,7 +139,7 @@ def classification_metrics(
     )
     if score is None:
         return result.withColumn("auc", F.lit(None).cast("double")).drop("_classes")
-    found = attach(result, auc(df, target, score, by), by)
+    found = attach(result, auc(df, target, score, by), by, few=False)
     return found.withColumn("auc", F.when(F.col("_classes") == 2, F.col("auc"))).drop("_classes")
 
 
@@ -174,7 +174,7 @@ def regression_quality(df: DataFrame, target: str, prediction: str, by: Sequence
     spread = df.where(measure(target).isNotNull()).groupBy(*by).agg(
         F.avg(measure(target)).alias("_mean"), F.stddev_pop(measure(target)).alias("_std")
     )
-    known = attach(metrics, spread, by)
+    known = attach(metrics, spread, by, few=False)
     return known.withColumns(
         regression_bands(F.col("r2"), F.col("rmse"), F.col("_mean"), F.col("_std"))
     ).drop("_mean", "_std")
@@ -186,7 +186,7 @@ def classification_quality(
     """Metrics, class balance and their bands per segment."""
     metrics = classification_metrics(df, target, prediction, score, by)
     share = df.where(F.col(target).isNotNull()).groupBy(*by).agg(F.avg((F.col(target) == 1).cast("double")).alias("prevalence"))
-    known = attach(metrics, share, by)
+    known = attach(metrics, share, by, few=False)
     return known.withColumns(classification_bands(*[F.col(c) for c in ("accuracy", "precision", "recall", "f1", "auc", "prevalence")]))
 
 

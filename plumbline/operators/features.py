@@ -4,7 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..plans.segments import attach, is_numeric, measure
+from ..plans.segments import attach, is_numeric, measure, small
 
 FEW_CATEGORIES = 15
 SMOOTHING = 10.0
@@ -152,7 +152,7 @@ def ordinal_encode(df: DataFrame, columns: Sequence[str], orders: dict[str, Sequ
             # The dictionary of distinct values is numbered as a table, so it may be large.
             values = df.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("_value")).distinct()
             codes = positions(values, ["_value"], name="_code")
-            result = result.join(codes, F.col(c).cast("string") == F.col("_value"), "left")
+            result = result.join(small(codes), F.col(c).cast("string") == F.col("_value"), "left")
             result = result.withColumn(c, F.col("_code")).drop("_value", "_code")
     return result
 

@@ -223,7 +223,7 @@ def point_biserial(df: DataFrame, binary: str, value: str, by: Sequence[str] = (
     )
     found = pearson(coded, [("_code", value)], by).withColumn("column_a", F.lit(binary))
     if by:
-        found = attach(found, others, by)
+        found = attach(found, others, by, few=False)
     else:
         found = found.withColumn("_others", F.lit(others.first()["_others"]))
     return _judged(found.where(F.coalesce(F.col("_others"), F.lit(0)) == 0).drop("_others")).withColumn(
@@ -287,7 +287,7 @@ def chi_square_test(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> Da
         F.min_by("r", "_a").alias("r0"),
     )
     width = cols.groupBy(*by).agg(F.count("*").alias("nc"), F.min("_b").alias("b0"), F.min_by("c", "_b").alias("c0"))
-    shape = attach(shape, width, by)
+    shape = attach(shape, width, by, few=False)
     placed = attach(attach(attach(cells, rows, [*by, "_a"]), cols, [*by, "_b"]), shape, by)
     expected = F.col("r") * F.col("c") / F.col("n")
     gap = F.col("o") - expected

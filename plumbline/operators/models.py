@@ -63,7 +63,7 @@ def holdout(
     scored = predict_terms(parted.where("split = 'test'"), fit, None, terms, by)
     metrics = regression_metrics(scored, dependent, "prediction", by)
     sizes = complete.groupBy(*by).agg(F.count("*").alias("_rows"))
-    return attach(metrics, sizes, by).where(F.col("_rows") >= MIN_HOLDOUT_ROWS).drop("_rows")
+    return attach(metrics, sizes, by, few=False).where(F.col("_rows") >= MIN_HOLDOUT_ROWS).drop("_rows")
 
 
 def score_linear(df: DataFrame, intercept: float, coefficients: dict[str, float], name: str = "prediction") -> DataFrame:

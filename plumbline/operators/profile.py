@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.names import hints
 from ..plans.quantiles import wide_percentiles
-from ..plans.segments import BUFFER_VALUES, stack_columns
+from ..plans.segments import BUFFER_VALUES, small, stack_columns
 from ..sources.tables import any_timestamp
 
 FEW_VALUES = 15
@@ -303,7 +303,7 @@ def label_values(df: DataFrame, codebook: DataFrame, columns: Sequence[str], suf
             F.max("label").alias("_label")
         )
         text = F.col(c).cast("string")
-        result = result.join(labels, text == F.col("_code"), "left")
+        result = result.join(small(labels), text == F.col("_code"), "left")
         result = result.withColumn(f"{c}{suffix}", F.coalesce("_label", text)).drop("_code", "_label")
     return result
 

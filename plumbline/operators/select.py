@@ -93,7 +93,9 @@ def principal_components(
     made = {}
     for k in range(n_components):
         loading = loadings[:, k]
-        loading = loading * (1.0 if loading[np.argmax(np.abs(loading))] >= 0 else -1.0)
+        # The first of the largest loadings decides; equal ones differ by rounding only.
+        leading = np.argmax(np.abs(loading) >= np.abs(loading).max() - 1e-9)
+        loading = loading * (1.0 if loading[leading] >= 0 else -1.0)
         component = F.lit(0.0)
         for c, weight in zip(columns, loading):
             component = component + F.col(f"_z_{c}") * F.lit(float(weight))

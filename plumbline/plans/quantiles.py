@@ -40,7 +40,7 @@ def percentiles_of_counts(
         return counts.groupBy(*keys).agg(found.alias("percentiles"), F.max("n").alias("top"), F.sum("n").alias("total"))
     ordered = running_total(counts, ["value"], keys, weight="n", name="_before", task_rows=task_rows)
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"), F.max("n").alias("top"))
-    placed = attach(ordered, totals, keys)
+    placed = attach(ordered, totals, keys, few=True if list(keys) == ["column"] else None)
 
     def at(position):
         return F.max(F.when(F.col("_before") <= position, F.col("value")))

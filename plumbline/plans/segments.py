@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 TASK_ROWS = 4_000_000
 # Distinct values that one aggregation buffer may hold.
 BUFFER_VALUES = 1_000_000
+# Rows up to which a table of statistics or a dictionary is sent to every executor.
+BROADCAST_ROWS = 100_000
 
 
 def same_keys(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -16,12 +18,20 @@ def same_keys(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]
     return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in pairs])
 
 
-def attach(rows: DataFrame, stats: DataFrame, by: Sequence[str] = (), how: str = "left") -> DataFrame:
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if a count shows that it is small; Spark joins by shuffle otherwise."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def attach(
+    rows: DataFrame, stats: DataFrame, by: Sequence[str] = (), how: str = "left", few: bool | None = None
+) -> DataFrame:
     """Add each segment's statistics to its rows.
 
     Without segments there is exactly one row of statistics, which becomes literals. With segments
-    this is an equi-join without a hint: Spark broadcasts the statistics only when their measured
-    size allows it, and splits a skewed segment otherwise.
+    the number of segments is counted (a scan of the key columns only): few of them are broadcast,
+    so the rows need no shuffle; many are joined by shuffle, where Spark splits skewed segments.
+    ``few`` skips the count: True for a known bound, False to leave the choice to Spark.
     """
     if not by:
         values = stats.first() or dict.fromkeys(stats.columns)
@@ -30,6 +40,10 @@ def attach(rows: DataFrame, stats: DataFrame, by: Sequence[str] = (), how: str =
     keyed = stats.select(
         *[F.col(k).alias(f"__{k}") for k in by], *[F.col(c) for c in stats.columns if c not in by]
     )
+    if few is None:
+        few = stats.select(*by).limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if few:
+        keyed = F.broadcast(keyed)
     joined = rows.join(keyed, same_keys(rows, keyed, [(k, f"__{k}") for k in by]), how)
     return joined.drop(*[f"__{k}" for k in by])
 

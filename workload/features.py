@@ -252,7 +252,7 @@ ORACLES = {
     ),
     "vif_filter": """SELECT n, "column", 2 AS rounds FROM (SELECT count(*) AS n FROM lineitem),
       (SELECT unnest(['l_discount', 'double_quantity']) AS "column")""",
-    "principal_components": f"""SELECT {_KEYS}, {r('(z1 + z2) / sqrt(2)', 4)} AS pc1, {r('(1 + rho) / 2', 4)} AS share1, {r('(1 - rho) / 2', 4)} AS share2
+    "principal_components": f"""SELECT {_KEYS}, {r('(z1 + sign(rho) * z2) / sqrt(2)', 4)} AS pc1, {r('(1 + abs(rho)) / 2', 4)} AS share1, {r('(1 - abs(rho)) / 2', 4)} AS share2
       FROM (SELECT l.*, (quantity_gaps - m1) / s1 AS z1, (l_extendedprice - m2) / s2 AS z2, rho FROM {LINEITEM} l,
         (SELECT avg(quantity_gaps) AS m1, stddev_pop(quantity_gaps) AS s1, avg(l_extendedprice) AS m2,
           stddev_pop(l_extendedprice) AS s2, corr(quantity_gaps, l_extendedprice) AS rho FROM {LINEITEM}

@@ -242,8 +242,9 @@ ORACLES = {
         method="'point-biserial'",
     ),
     "all_correlations": " UNION ALL ".join(
-        f"SELECT column_a, column_b, method, n, r, label FROM ({_judged(_pearson(a, b, 'lineitem'), p=False)})"
-        for k, a in enumerate(_ALL) for b in _ALL[k + 1:]
+        f"""SELECT column_a, column_b, method, n, r, label FROM ({_judged(source(a, b, 'lineitem'), p=False)})
+        WHERE {wanted} (SELECT count(DISTINCT {a}) > 15 AND count(DISTINCT {b}) > 15 FROM lineitem)"""
+        for k, a in enumerate(_ALL) for b in _ALL[k + 1:] for source, wanted in ((_pearson, ""), (_spearman, "NOT"))
     ),
     "correlation_matrix": " UNION ALL ".join(
         f"""SELECT l_returnflag, '{a}' AS column_a, '{b}' AS column_b, {r(f'corr({a}, {b})' if a != b else '1')} AS r
