@@ -118,9 +118,10 @@ def spearman(
     fits = True if largest_group(rows, keys) <= task_rows else None
     for value, rank in (("x", "rank_x"), ("y", "rank_y")):
         ranks = average_ranks(rows, value, keys, rank, task_rows, fits).drop("n_value")
-        counted = attach(counted, ranks, [*keys, value], "inner")
+        # As many ranks as values: Spark sees their size when they are ready and splits a hot value.
+        counted = attach(counted, ranks, [*keys, value], "inner", few=False)
     totals = counted.groupBy(*keys).agg(F.sum("w").alias("n"))
-    centred = attach(counted, totals, keys)
+    centred = attach(counted, totals, keys, few=None if by else True)
     dx, dy = F.col("rank_x") - (F.col("n") + 1) / 2, F.col("rank_y") - (F.col("n") + 1) / 2
     w = F.col("w")
     spread = F.sqrt(F.sum(w * dx * dx)) * F.sqrt(F.sum(w * dy * dy))
