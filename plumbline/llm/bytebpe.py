@@ -2,6 +2,7 @@
 
 import base64
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -13,15 +14,15 @@ from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 from plumbline.llm.text import text_slices
 
 RANKS = "byte_bpe_50k.tiktoken"
-# Units that a worker remembers (about 200 bytes each), and the longest of them in characters.
-KEPT_UNITS, KEPT_CHARS = 400_000, 48
+# Units that a worker remembers, the ones met first (about 250 bytes each), and the longest of them in characters.
+KEPT_UNITS, KEPT_CHARS = 600_000, 48
 # Fixed value: the characters with the Unicode property White_Space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # A word with the space before it, or white space. The pattern's matches never reach across two units.
 UNITS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 UNEVEN = re.compile(f"[{SPACE}][{SPACE}]|[{SPACE.replace(' ', '')}](?<!\n)|\0")
-# One match of the pattern, or two: letters, and the mark behind them.
-PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]?)")
+# One match of the pattern, or two: letters, and marks without an apostrophe behind them.
+PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@[-`{-~]*)")
 
 
 def byte_characters() -> list[str]:
@@ -50,10 +51,11 @@ def merge_of(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | Non
     return (parts[0], parts[1]) if len(parts) == 2 else None
 
 
-class ByteBpe:
-    """Encoder and decoder for a file of ranks."""
+class ByteBpe(dict):
+    """Encoder and decoder for a file of ranks; as a dictionary, the ids of each unit."""
 
     def __init__(self, path: str, pattern: str):
+        super().__init__()
         ranks = read_ranks(path)
         table = byte_characters()
         shown = {token: "".join(table[b] for b in token) for token in ranks}
@@ -64,7 +66,6 @@ class ByteBpe:
             pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
         ])
         self.table = table
-        self.known: dict[str, bytes] = {}
         # decoding: the byte behind each character of each id's token, all in one run
         back = {c: b for b, c in enumerate(table)}
         tokens = [b""] * (max(ranks.values()) + 1)
@@ -82,30 +83,19 @@ class ByteBpe:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        units = self.units(text)
-        missing = set(units).difference(self.known)
-        if missing:
-            if len(self.known) + len(missing) > KEPT_UNITS:
-                self.known, missing = {}, set(units)
-            self._learn(missing)
-        return b"".join(map(self.known.__getitem__, units))
-
-    def _learn(self, units: set[str]) -> None:
-        rest = []
-        for unit in units:
-            plain = PLAIN.fullmatch(unit)
-            if plain and len(unit) <= KEPT_CHARS:
-                parts = [plain[1], plain[2]] if plain[2] else [plain[1]]
-                ids = [t.id for p in parts for t in self.library.model.tokenize("".join([self.table[b] for b in p.encode()]))]
-                self.known[unit] = np.array(ids, "<u4").tobytes()
-            else:
-                rest.append(unit)
-        for unit, found in zip(rest, self.library.encode_batch(rest, add_special_tokens=False)):
-            self.known[unit] = np.array(found.ids, "<u4").tobytes()
-
-    def forget_long(self) -> None:
-        for unit in [u for u in self.known if len(u) > 4096]:
-            del self.known[unit]
+        return b"".join(map(self.__getitem__, self.units(text)))
+
+    def __missing__(self, unit: str) -> bytes:
+        plain = PLAIN.fullmatch(unit) if len(unit) <= KEPT_CHARS else None
+        if plain:
+            parts = [plain[1], plain[2]] if plain[2] else [plain[1]]
+            ids = [t.id for p in parts for t in self.library.model.tokenize("".join([self.table[b] for b in p.encode()]))]
+        else:
+            ids = self.library.encode(unit, add_special_tokens=False).ids
+        ids = array("I", ids).tobytes()
+        if len(self) < KEPT_UNITS and len(unit) <= KEPT_CHARS:
+            self[unit] = ids
+        return ids
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids. A character whose bytes are split over tokens is whole again here."""
@@ -150,7 +140,6 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern
             if offsets:
                 columns.append(pa.array([coder.offsets(np.frombuffer(i, "<u4"), t.encode()).tolist() for i, t in zip(ids, texts)], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *(f.name for f in added)])
-            coder.forget_long()
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *added]))
 

@@ -128,7 +128,6 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
                 pa.array(sizes, pa.int64()), pa.array(bins, pa.int32()), pa.array(ranks, pa.int64()), pa.array(found, pa.binary()),
             ], ["doc", *(f.name for f in fields)])
             row += len(found)
-            tokens.forget_long()
 
     folder = scratch_path(spark, "tokens")
     rows.mapInArrow(tokenise, T.StructType([rows.schema["doc"], *fields])).write.option("compression", "zstd").parquet(folder)

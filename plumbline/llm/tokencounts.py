@@ -38,7 +38,6 @@ def count_tokens(
                 [*batch.columns, pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())],
                 [*batch.schema.names, "n_bytes", "n_tokens"],
             )
-            tokens.forget_long()
 
     return rows.mapInArrow(count, schema).withColumn("over_limit", F.col("n_tokens") > limit)
 

@@ -1,8 +1,8 @@
 """Token ids of texts by a tokenizer that never joins white space, one encoding per distinct word.
 
 Such a tokenizer drops white space and treats every run between white space by itself, so a text's ids
-are those of its words in turn. Each word is given to the tokenizers library once and remembered;
-a worker forgets all when it holds too many.
+are those of its words in turn. A worker remembers the words that it met first, which hold the frequent
+ones; any other is encoded whenever it comes.
 """
 
 import json
@@ -13,17 +13,18 @@ from functools import lru_cache
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-# Words that a worker remembers (about 150 bytes each), and the longest of them in bytes.
-KEPT_WORDS, KEPT_BYTES = 400_000, 48
-# Letters whose lower case and composed form are plain, with one punctuation mark at most: the library's
-# model gets the letters directly, which saves its normaliser and its pattern.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([.,;:!?]?)")
+# Words that a worker remembers (about 200 bytes each), and the longest of them in bytes.
+KEPT_WORDS, KEPT_BYTES = 800_000, 48
+# Letters whose lower case and composed form are plain, then marks without an apostrophe: two matches of the
+# pattern. The library's model gets them directly, which saves its normaliser and its pattern.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ſ]*)([!-&(-/:-@[-`{-~]*)")
 
 
-class WordTokens:
-    """Ids of words, as little-endian unsigned 16-bit integers (``ids``), or their number (``counts``)."""
+class WordTokens(dict):
+    """The ids of each word, as little-endian unsigned 16-bit integers."""
 
     def __init__(self, path: str):
+        super().__init__()
         self.library = Tokenizer.from_file(path)
         setup = json.loads(self.library.to_str())
         steps = [s["type"] for s in (setup["normalizer"] or {}).get("normalizers", [])]
@@ -35,8 +36,6 @@ class WordTokens:
         # a lower-case start of a special string must not become one
         self.special = [t["content"][:2].encode() for t in setup["added_tokens"]]
         self.bytes = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known: dict[bytes, bytes] = {}
-        self.sizes: dict[bytes, int] = {}
 
     def words(self, raw: bytes) -> list[bytes]:
         """The words of a text. ASCII letters are lowered first, which the library would do itself.
@@ -49,47 +48,29 @@ class WordTokens:
         return raw.split()
 
     def ids(self, words: list[bytes]) -> bytes:
-        known = self._learn(words)
-        return b"".join(map(known.__getitem__, words))
+        return b"".join(map(self.__getitem__, words))
 
     def count(self, words: list[bytes]) -> int:
-        self._learn(words)
-        return sum(map(self.sizes.__getitem__, words))
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        missing = set(words).difference(self.known)
-        if not missing:
-            return self.known
-        if len(self.known) + len(missing) > KEPT_WORDS:
-            self.known, self.sizes = {}, {}
-            missing = set(words)
-        rest = []
-        for word in missing:
-            plain = PLAIN.fullmatch(word.decode())
-            if plain and len(word) <= KEPT_BYTES:
-                ids = self._letters(plain[1].lower())
-                if plain[2]:
-                    ids += self._letters(plain[2])
-                self._keep(word, ids)
-            else:
-                rest.append(word)
-        for word, found in zip(rest, self.library.encode_batch([w.decode() for w in rest], add_special_tokens=False)):
-            self._keep(word, found.ids)
-        return self.known
-
-    def _letters(self, text: str) -> list[int]:
-        if not text.isascii():
-            text = self.bytes.pre_tokenize_str(text)[0][0]
-        return [token.id for token in self.library.model.tokenize(text)]
-
-    def _keep(self, word: bytes, ids: list[int]) -> None:
-        self.known[word] = array("H", ids).tobytes()
-        self.sizes[word] = len(ids)
-
-    def forget_long(self) -> None:
-        """Drop remembered words beyond the usual length; called between batches."""
-        for word in [w for w in self.known if len(w) > 4096]:
-            del self.known[word], self.sizes[word]
+        return len(self.ids(words)) // 2
+
+    def __missing__(self, word: bytes) -> bytes:
+        plain = PLAIN.fullmatch(word.decode()) if len(word) <= KEPT_BYTES else None
+        if plain and plain[1] and plain[2]:
+            ids = self[plain[1].encode()] + self[plain[2].encode()]
+        elif plain:
+            ids = self._packed(t.id for t in self.library.model.tokenize(self._shown(plain[0].lower())))
+        else:
+            ids = self._packed(self.library.encode(word.decode(), add_special_tokens=False).ids)
+        if len(self) < KEPT_WORDS and len(word) <= KEPT_BYTES:
+            self[word] = ids
+        return ids
+
+    def _shown(self, text: str) -> str:
+        return text if text.isascii() else self.bytes.pre_tokenize_str(text)[0][0]
+
+    @staticmethod
+    def _packed(ids) -> bytes:
+        return array("H", ids).tobytes()
 
 
 @lru_cache(maxsize=4)
