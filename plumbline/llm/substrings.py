@@ -12,7 +12,9 @@ WINDOW = 50
 # Words of the grams whose least hash routes a window to a shard.
 GRAM = 10
 # Passages of one gram that an automaton takes in; the windows of a commoner gram are routed one by one.
-COMMON = 300
+COMMON = 24
+# A stretch begins where the hash of a gram is the least of so many on either side.
+REACH = 4
 SECOND_BASE = 0xC2B2AE3D27D4EB4F
 
 
@@ -130,8 +132,10 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     hash of its grams of ``gram`` words, and a passage is a run of windows with one such gram. Grams of one
     document alone are dropped. The passages of a gram are merged where equal, make one suffix automaton, and
     are streamed through it; matching statistics of ``window`` words give each window its smallest owner.
-    Where a gram has more than ``common`` passages its windows are routed one by one, by 128 bits of their
-    hashes, and merged before the shuffle, so that no group is larger than that. No other limit applies.
+    Where a gram has more than ``common`` passages, they are cut into short stretches at places that their words
+    decide, and equal stretches (128 bits of hash) are merged before the shuffle. A stretch that an earlier
+    document has goes as a whole; the windows of any other are looked up one by one in the same way. The earliest document
+    of a window is the earliest of its stretch, too, so none is missed, and no group is larger than ``common``.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType
@@ -157,9 +161,9 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         for batch in text_slices(batches):
             words = Words(batch.column("text"))
             hashes, raw = words.hashes(), words.data.tobytes()
-            rows = {c: [] for c in ("at", "first", "key", "key2", "passage")}
+            rows = {c: [] for c in ("at", "firsts", "runs", "key", "key2", "passage", "windows")}
             for at, spots in enumerate(batch.column("spots").to_pylist()):
-                base, lone = words.first[at], []
+                base, lone, own = words.first[at], [], {}  # what a text holds more than once is one row with all its places
                 for spot in spots:
                     if spot["common"]:
                         lone.append(np.arange(spot["first"], spot["first"] + spot["runs"]))
@@ -167,41 +171,60 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                         begin = base + spot["first"]
                         end = begin + spot["runs"] + window - 1
                         span = raw[words.starts[begin] : words.ends[end - 1]]
-                        for name, value in zip(rows, (at, spot["first"], spot["gram"], 0, b" ".join(span.split()).decode())):
-                            rows[name].append(value)
+                        own.setdefault((spot["runs"], spot["gram"], 0, b" ".join(span.split()).decode(), None), []).append(spot["first"])
                 if lone:
-                    lone = np.concatenate(lone)
-                    begin = int(lone.min()) + base
-                    own = hashes[begin : int(lone.max()) + base + window]
-                    one, two = (_window_hashes(own, window, b)[lone + base - begin].view(np.int64) for b in (WORD_BASE, SECOND_BASE))
-                    for name, values in zip(rows, ([at] * len(lone), lone.tolist(), one.tolist(), two.tolist(), [None] * len(lone))):
-                        rows[name].extend(values)
-            at = pa.array(rows["at"], pa.int64())
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc").take(at), batch.column("row").take(at), pa.array(rows["first"], pa.int32()), pa.array(rows["key"], pa.int64()),
-                pa.array(rows["key2"], pa.int64()), pa.array(rows["passage"], pa.string()),
-            ], ["doc", "row", "first", "key", "key2", "passage"])
+                    lone = np.sort(np.concatenate(lone))
+                    begin = int(lone[0])
+                    first, *stretches = _stretches(hashes[base + begin : base + int(lone[-1]) + window], lone - begin, window, gram)
+                    for place, runs, one, two, windows in zip((first + begin).tolist(), *stretches):
+                        own.setdefault((runs, one, two, None, windows), []).append(place)
+                for (runs, one, two, passage, windows), firsts in own.items():
+                    for name, value in zip(rows, (at, firsts, runs, one, two, passage, windows)):
+                        rows[name].append(value)
+            at, kinds = pa.array(rows.pop("at"), pa.int64()), [pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc").take(at), batch.column("row").take(at), *(pa.array(v, k) for v, k in zip(rows.values(), kinds))], ["doc", "row", *rows]
+            )
 
-    schema = T.StructType([doc, T.StructField("row", long), T.StructField("first", integer), T.StructField("key", long), T.StructField("key2", long), T.StructField("passage", T.StringType())])
+    place = [doc, T.StructField("row", long), T.StructField("firsts", T.ArrayType(integer))]
+    keys = [T.StructField("key", long), T.StructField("key2", long)]
+    schema = T.StructType([*place, T.StructField("runs", integer), *keys, T.StructField("passage", T.StringType()), T.StructField("windows", T.BinaryType())])
     folder = scratch_path(spark, "passages")
     found = body.join(spots, ["doc", "row"]).mapInArrow(extract, schema).withColumn("passage_id", F.xxhash64("passage"))
     found.write.option("compression", "zstd").parquet(folder)
     found = spark.read.parquet(folder)
 
-    lone = found.where(F.col("passage").isNull()).groupBy("key", "key2").agg(F.min("doc").alias("owner"))
-    lone = lone.select("key", "key2", F.xxhash64(F.lit(None).cast("string")).alias("passage_id"), F.array(F.struct(F.lit(1).alias("runs"), F.col("owner"))).alias("owners"))
+    # passages of a gram that is not common: one automaton per gram
     merged = found.where(F.col("passage").isNotNull()).groupBy("key", "passage", "passage_id").agg(F.min("doc").alias("owner"))
     owners = T.ArrayType(T.StructType([T.StructField("runs", integer), T.StructField("owner", kind)]))
-    answer = T.StructType([T.StructField("key", long), T.StructField("key2", long), T.StructField("passage_id", long), T.StructField("owners", owners)])
-    sharded = merged.repartition("key").sortWithinPartitions("key", "owner", "passage").mapInArrow(lambda b: _match(b, window, answer), answer)
-    owned = sharded.unionByName(lone)
-    # a passage of the smallest owner alone is no repeat anywhere
-    hits = (
-        found.select("doc", "row", "first", "key", "key2", "passage_id").join(owned, ["key", "key2", "passage_id"])
-        .where(F.exists("owners", lambda o: o["owner"] < F.col("doc")))
-        .select("doc", "row", "first", F.transform("owners", lambda o: F.struct(o["runs"].alias("runs"), (o["owner"] < F.col("doc")).alias("gone"))).alias("gone"))
-        .groupBy("doc", "row").agg(F.collect_list(F.struct("first", "gone")).alias("hits"))
-    )
+    answer = T.StructType([keys[0], T.StructField("passage_id", long), T.StructField("owners", owners)])
+    owned = merged.repartition("key").sortWithinPartitions("key", "owner", "passage").mapInArrow(lambda b: _match(b, window, answer), answer)
+    earlier = F.exists("owners", lambda o: o["owner"] < F.col("doc"))
+    hits = found.where(F.col("passage").isNotNull()).select("doc", "row", "firsts", "key", "passage_id").join(owned, ["key", "passage_id"]).where(earlier)
+    hits = hits.select("doc", "row", "firsts", F.transform("owners", lambda o: F.struct(o["runs"].alias("runs"), (o["owner"] < F.col("doc")).alias("gone"))).alias("gone"))
+
+    # stretches of a common gram, then the windows of those that no earlier document has
+    stretches = found.where(F.col("passage").isNull()).select("doc", "row", "firsts", "runs", "key", "key2", "windows")
+    first = stretches.groupBy("key", "key2").agg(F.min("doc").alias("owner"))
+    whole = stretches.drop("windows").join(first, ["key", "key2"]).where(F.col("owner") < F.col("doc"))
+    lone = stretches.join(first.withColumnRenamed("owner", "doc"), ["key", "key2", "doc"]).select("doc", "row", "firsts", "windows")
+
+    def single(batches):
+        for batch in batches:
+            pairs = [np.frombuffer(w, np.int64).reshape(-1, 2) for w in batch.column("windows").to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(pairs)), [len(p) for p in pairs]))
+            firsts = [[f + k for f in own] for own, p in zip(batch.column("firsts").to_pylist(), pairs) for k in range(len(p))]
+            both = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc").take(at), batch.column("row").take(at), pa.array(firsts, pa.list_(pa.int32())), pa.array(both[:, 0]), pa.array(both[:, 1])],
+                ["doc", "row", "firsts", "key", "key2"],
+            )
+
+    lone = lone.mapInArrow(single, T.StructType([*place, *keys]))
+    lone = lone.join(lone.groupBy("key", "key2").agg(F.min("doc").alias("owner")), ["key", "key2"]).where(F.col("owner") < F.col("doc"))
+    for rows, runs in ((whole, F.col("runs")), (lone, F.lit(1))):
+        hits = hits.unionByName(rows.select("doc", "row", "firsts", F.array(F.struct(runs.alias("runs"), F.lit(True).alias("gone"))).alias("gone")))
+    hits = hits.groupBy("doc", "row").agg(F.collect_list(F.struct("firsts", "gone")).alias("hits"))
     rest = docs.drop("n_words", "n_removed", "spans", "kept_text")
     names = rest.columns
     marked = rest.withColumn("__row", F.xxhash64(F.col(text))).join(
@@ -216,12 +239,12 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
             for at, hits in enumerate(batch.column("__hits").to_pylist()):
                 gone = np.zeros(words.counts[at] + 1, np.int64)
                 for hit in hits or ():
-                    place = hit["first"]
-                    for run in hit["gone"]:
-                        if run["gone"]:
-                            gone[place] += 1
-                            gone[place + run["runs"] + window - 1] -= 1
-                        place += run["runs"]
+                    for place in hit["firsts"]:
+                        for run in hit["gone"]:
+                            if run["gone"]:
+                                gone[place] += 1
+                                gone[place + run["runs"] + window - 1] -= 1
+                            place += run["runs"]
                 edges = np.diff(np.concatenate([[0], (np.cumsum(gone)[:-1] > 0).astype(np.int8), [0]]))
                 own = list(zip(np.flatnonzero(edges > 0).tolist(), np.flatnonzero(edges < 0).tolist()))
                 spans.append([{"first": a, "words": b - a} for a, b in own])
@@ -244,9 +267,25 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     ]))
 
 
-def _window_hashes(hashes: np.ndarray, n: int, base: int) -> np.ndarray:
-    starts = np.arange(len(hashes) - n + 1)
-    return span_hashes(running_sums(hashes, base), starts, starts + n, base)
+def _stretches(hashes: np.ndarray, windows: np.ndarray, size: int, gram: int) -> tuple:
+    """Runs of consecutive windows: first window, windows, two hashes of the words, and two hashes of each window as bytes.
+
+    A run begins where the windows have a gap, and where the first gram of a window has the least hash around.
+    """
+    sums, more = running_sums(hashes, WORD_BASE), running_sums(hashes, SECOND_BASE)
+    starts = np.arange(len(hashes) - gram + 1)
+    grams = span_hashes(sums, starts, starts + gram, WORD_BASE)
+    ahead = np.full(REACH, np.iinfo(np.uint64).max, np.uint64)
+    least = _sliding_least(np.concatenate([ahead, grams]), 2 * REACH + 1)[: len(grams)]
+    cut = grams[windows] == least[windows]
+    cut[0] = True
+    cut[1:] |= windows[1:] != windows[:-1] + 1
+    begins = np.flatnonzero(cut)
+    runs = np.diff(np.append(begins, len(windows)))
+    first = windows[begins]
+    one, two = (span_hashes(s, first, first + runs + size - 1, b).view(np.int64).tolist() for s, b in ((sums, WORD_BASE), (more, SECOND_BASE)))
+    each = np.stack([span_hashes(s, windows, windows + size, b).view(np.int64) for s, b in ((sums, WORD_BASE), (more, SECOND_BASE))], axis=1)
+    return first, runs.tolist(), one, two, [each[a : a + n].tobytes() for a, n in zip(begins, runs)]
 
 
 def _match(batches, window: int, schema: T.StructType):
@@ -256,7 +295,7 @@ def _match(batches, window: int, schema: T.StructType):
     def solve():
         if len(group) == 1:
             key, passage, number, owner = group[0]
-            yield {"key": key, "key2": 0, "passage_id": number, "owners": [{"runs": passage.count(" ") + 2 - window, "owner": owner}]}
+            yield {"key": key, "passage_id": number, "owners": [{"runs": passage.count(" ") + 2 - window, "owner": owner}]}
             return
         automaton, texts = SuffixAutomaton(), [p.split(" ") for _, p, _, _ in group]
         for words, (_, _, _, owner) in zip(texts, group):
@@ -269,7 +308,7 @@ def _match(batches, window: int, schema: T.StructType):
                     runs[-1]["runs"] += 1
                 else:
                     runs.append({"runs": 1, "owner": owner})
-            yield {"key": key, "key2": 0, "passage_id": number, "owners": runs}
+            yield {"key": key, "passage_id": number, "owners": runs}
 
     rows = []
     for batch in batches:
