@@ -1,5 +1,7 @@
 """A training corpus from the documents: language, quality, near duplicates, repeated passages, packing."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm import jaccard, language, packing, repetition, substrings
@@ -9,6 +11,12 @@ from plumbline.plans.staging import scratch_path
 SURE = 0.35
 
 
+def _beside(operator: Callable[[DataFrame], DataFrame], docs: DataFrame) -> DataFrame:
+    """``operator`` on the documents, with their columns, whatever their names, set aside in ``__own``."""
+    text = F.col("text")
+    return operator(docs.select(F.col("doc_id"), text, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__own")))
+
+
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised: not ``und``, and a score of at least ``SURE``.
 
@@ -18,13 +26,13 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     model = language.fit(docs)
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = language.predict(docs, model)
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= SURE)).select(*docs.columns)
+    found = _beside(lambda rows: language.predict(rows, model), docs)
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= SURE)).select("__own.*")
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the repetition rules."""
-    return repetition.repetition(docs).where("kept").select(*docs.columns)
+    return _beside(repetition.repetition, docs).where("kept").select("__own.*")
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,19 +40,20 @@ def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Rows without an id are in no class and stay.
     """
-    found = jaccard.similarity_classes(docs).where("is_kept").withColumn("__row", F.xxhash64("text"))
+    found = _beside(jaccard.similarity_classes, docs).where("is_kept").withColumn("__row", F.xxhash64("text"))
     named = found.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "__row"])
-    return named.unionByName(found.where(F.col("doc_id").isNull())).select(*docs.columns)
+    return named.unionByName(found.where(F.col("doc_id").isNull())).select("__own.*")
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has; ``n_chars`` is brought up to date, empty ones go."""
-    found = substrings.repeated_spans(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    columns = [F.col(c) for c in docs.columns if c not in ("text", "n_chars")]
-    left = found.where((F.col("n_removed") < F.col("n_words")) | (F.col("n_removed") == 0))
-    left = left.select(*columns, text.alias("text"), F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
-    return left.select(*docs.columns)
+    found = _beside(substrings.repeated_spans, docs)
+    changed = F.col("n_removed") > 0
+    found = found.where((F.col("n_removed") < F.col("n_words")) | ~changed)
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType)}
+    return found.select(*[
+        (F.when(changed, new[c]).otherwise(F.col("__own")[c]) if c in new else F.col("__own")[c]).alias(c) for c in docs.columns
+    ])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +70,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-# Learned language models cannot be told in SQL; tests compare the stages with brute force.
+# A learned language model cannot be told in SQL; tests compare the other stages with SQL and brute force.
 ORACLE_SQL = None
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-from plumbline.llm.text import text_slices
+from plumbline.llm.text import positional, text_slices
 
 RANKS = "byte_bpe_50k.tiktoken"
 # Units that a worker remembers, the ones met first (about 250 bytes each), and the longest of them in characters.
@@ -129,7 +129,8 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
     if offsets:
         added.append(T.StructField("offsets", T.ArrayType(T.IntegerType())))
-    rows = docs.drop("n_tokens", "ids", "offsets")
+    rest = docs.drop("n_tokens", "ids", "offsets")
+    rows, (text,) = positional(rest, text)
 
     def run(batches):
         coder = byte_bpe(path, pattern)
@@ -141,7 +142,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern
                 columns.append(pa.array([coder.offsets(np.frombuffer(i, "<u4"), t.encode()).tolist() for i, t in zip(ids, texts)], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *(f.name for f in added)])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *added]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *added])).toDF(*rest.columns, *(f.name for f in added))
 
 
 def decode(rows: DataFrame, ids: str = "ids", path: str | None = None, pattern: str | None = None, as_text: bool = False) -> DataFrame:
@@ -151,7 +152,8 @@ def decode(rows: DataFrame, ids: str = "ids", path: str | None = None, pattern:
     give no bytes. An id beyond the vocabulary is an error.
     """
     path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
-    rest = rows.drop("decoded")
+    names = rows.drop("decoded").columns
+    rows, (ids,) = positional(rows.drop("decoded"), ids)
     field = T.StructField("decoded", T.StringType() if as_text else T.BinaryType())
 
     def run(batches):
@@ -161,4 +163,4 @@ def decode(rows: DataFrame, ids: str = "ids", path: str | None = None, pattern:
             column = pa.array([f.decode(errors="replace") for f in found], pa.string()) if as_text else pa.array(found, pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "decoded"])
 
-    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, field]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, field])).toDF(*names, "decoded")

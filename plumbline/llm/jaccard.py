@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from plumbline.llm.components import components
-from plumbline.llm.text import Words, mixed, sums_between, text_slices
+from plumbline.llm.text import Words, mixed, positional, sums_between, text_slices
 from plumbline.plans.staging import scratch_path
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -102,7 +102,9 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     kind = docs.schema[key].dataType
     rest = docs.drop("class_id", "n_links", "n_shingles", "is_kept")
-    body = rest.select(F.col(f"`{key}`").alias("doc"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("row"))
+    names, added = rest.columns, ["class_id", "n_links", "n_shingles", "is_kept"]
+    rest, (key, text) = positional(rest, key, text)
+    body = rest.select(F.col(key).alias("doc"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("row"))
     body = body.where(F.col("doc").isNotNull() & F.col("text").isNotNull())
 
     def sign(batches):
@@ -169,17 +171,13 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     )
     classes = placed.groupBy("root").agg(F.min("low").alias("first"))
     placed = placed.join(classes, "root").select("set1", "set2", "first", F.col("n").alias("n_shingles"), (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    members = signed.select("doc", "row", "set1", "set2").distinct().join(placed, ["set1", "set2"]).select(
-        F.col("doc").alias("__doc"), F.col("row").alias("__row"), "first", "n_shingles", "n_links"
-    )
-    names = rest.columns
-    out = rest.withColumn("__hash", F.xxhash64(F.col(text)))
-    out = out.join(members, (F.col(key) == F.col("__doc")) & (F.col("__hash") == F.col("__row")), "left")
-    own = (F.col("first.doc") == F.col(key)) & (F.col("first.row") == F.col("__hash"))
+    members = signed.select("doc", "row", "set1", "set2").distinct().join(placed, ["set1", "set2"]).select("doc", "row", "first", "n_shingles", "n_links")
+    out = rest.join(members, (F.col(key) == F.col("doc")) & (F.xxhash64(F.col(text)) == F.col("row")), "left")
+    own = (F.col("first.doc") == F.col("doc")) & (F.col("first.row") == F.col("row"))
     return out.select(
-        *[F.col(f"`{c}`") for c in names], F.coalesce(F.col("first.doc"), F.col(key)).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        *rest.columns, F.coalesce(F.col("first.doc"), F.col(key)).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"), F.coalesce(own, F.lit(True)).alias("is_kept"),
-    )
+    ).toDF(*names, *added)
 
 
 def _blocks(rows: DataFrame, blocks) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from plumbline.llm.text import mixed, raw_bytes, text_slices
+from plumbline.llm.text import mixed, positional, raw_bytes, text_slices
 
 # Hashed n-grams of bytes: their lengths, and the number of features.
 GRAMS, FEATURES = (1, 2, 3), 2_048
@@ -172,7 +172,8 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     family. Rows are judged one by one; the model (a few hundred kilobytes per language) goes along with the
     tasks. Columns of ``docs`` with the name of an added one are replaced.
     """
-    rows = docs.drop("lang_pred", "score")
+    rest = docs.drop("lang_pred", "score")
+    rows, (text,) = positional(rest, text)
     schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -191,4 +192,4 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
                     [*part.schema.names, "lang_pred", "score"],
                 )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*rest.columns, "lang_pred", "score")

@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from plumbline.llm.text import Words, mixed, raw_bytes, text_slices
+from plumbline.llm.text import Words, mixed, positional, raw_bytes, text_slices
 from plumbline.plans.staging import scratch_path
 
 # Token classes: 0 stands for the outside of a text, RARE hash classes for the words outside the vocabulary.
@@ -86,11 +86,13 @@ def pseudo_likelihood(docs: DataFrame, text: str = "text", rounds: int = ROUNDS)
     Word counts cover the corpus. In each round every partition trains from the common weights on one masked
     token in ``MASKED`` of all its documents, at places that change with the round; weights are averaged by
     tokens, ``FAN_IN`` at a time. What the driver receives is the vocabulary and at most ``FAN_IN`` sets of
-    weights. Equal texts get equal scores. Columns of ``docs`` with the name of an added one are replaced.
+    weights. Equal texts get equal scores, up to
+    rounding in single precision. Columns of ``docs`` with the name of an added one are replaced.
     """
     spark = docs.sparkSession
     rest = docs.drop("n_tokens", "log_likelihood", "per_token")
-    vocabulary = _vocabulary(docs.select(F.col(text).alias("text")))
+    rows, (text,) = positional(rest, text)
+    vocabulary = _vocabulary(rows.select(F.col(text).alias("text")))
 
     def encode(batches):
         known = np.sort(vocabulary)
@@ -98,13 +100,11 @@ def pseudo_likelihood(docs: DataFrame, text: str = "text", rounds: int = ROUNDS)
             words = Words(batch.column(text))
             classes = _classes(words.hashes(), known).astype(np.uint8)
             coded = [classes[a:b].tobytes() for a, b in zip(words.first[:-1], words.first[1:])]
-            keep = [c for c, name in zip(batch.columns, batch.schema.names) if name != text]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(coded, pa.binary())], [*(n for n in batch.schema.names if n != text), "__coded"])
+            yield pa.RecordBatch.from_arrays([pa.array(coded, pa.binary())], ["coded"])
 
     # classes of the words, one byte each, are all that training needs
     folder = scratch_path(spark, "classes")
-    coded = T.StructType([T.StructField("__coded", T.BinaryType())])
-    docs.select(text).mapInArrow(encode, coded).write.option("compression", "zstd").parquet(folder)
+    rows.select(text).mapInArrow(encode, "coded binary").write.option("compression", "zstd").parquet(folder)
     corpus = spark.read.parquet(folder)
     weights = Network().weights
     for number in range(rounds):
@@ -125,8 +125,9 @@ def pseudo_likelihood(docs: DataFrame, text: str = "text", rounds: int = ROUNDS)
             sums = [float(values[a + 1 : b + 1].sum()) for a, b in zip(words.first[:-1], words.first[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words.counts.astype(np.int64)), pa.array(sums, pa.float64())], [*batch.schema.names, "n_tokens", "log_likelihood"])
 
-    scored = rest.mapInArrow(score, T.StructType([*rest.schema.fields, *added]))
-    return scored.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
+    scored = rows.mapInArrow(score, T.StructType([*rows.schema.fields, *added]))
+    scored = scored.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
+    return scored.toDF(*rest.columns, "n_tokens", "log_likelihood", "per_token")
 
 
 def _vocabulary(texts: DataFrame) -> np.ndarray:
@@ -153,8 +154,8 @@ def _round(corpus: DataFrame, weights: np.ndarray, number: int) -> np.ndarray:
     """One pass of all partitions from the same weights, and the average of what they learned."""
     def train(batches):
         network, seen, held = Network(weights.copy()), 0, None
-        for batch in text_slices(batches, "__coded", 1 << 20):
-            tokens, starts = raw_bytes(batch.column("__coded"))
+        for batch in text_slices(batches, "coded", 1 << 20):
+            tokens, starts = raw_bytes(batch.column("coded"))
             tokens = tokens.astype(np.int64)
             place = np.arange(len(tokens), dtype=np.uint64) + np.uint64(seen)
             at = np.flatnonzero(mixed(place * np.uint64(MASKED) + np.uint64(number)) % np.uint64(MASKED) == 0)

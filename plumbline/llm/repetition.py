@@ -5,7 +5,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from plumbline.llm.text import BASE, Words, covered, mixed, span_hashes, sums_between, text_slices
+from plumbline.llm.text import BASE, Words, covered, mixed, positional, span_hashes, sums_between, text_slices
 
 # Words of an n-gram, and the largest share of a text's word characters that repeated ones may cover.
 NGRAM_SHARES = {5: 0.40, 8: 0.30, 10: 0.30}
@@ -32,7 +32,8 @@ def repetition(
     shares = NGRAM_SHARES if shares is None else shares
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_chars", "dup_line_chars"]
     added = [*counts, *(f"repeated_chars_{n}" for n in shares)]
-    rows = docs.drop(*added, "base_failed", "kept")
+    rest = docs.drop(*added, "base_failed", "kept")
+    rows, (text,) = positional(rest, text)
     schema = T.StructType([*rows.schema.fields, *(T.StructField(c, T.LongType()) for c in added)])
 
     def measure(batches):
@@ -47,7 +48,8 @@ def repetition(
     fine = F.col("dup_line_chars") <= F.col("line_chars") * line_share
     for n, share in shares.items():
         fine &= F.col(f"repeated_chars_{n}") <= F.col("word_chars") * share
-    return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & fine)
+    out = measured.withColumn("base_failed", failed).withColumn("kept", ~failed & fine)
+    return out.toDF(*rest.columns, *added, "base_failed", "kept")
 
 
 def coverage(column: pa.Array, lengths: list[int]) -> dict[str, np.ndarray]:

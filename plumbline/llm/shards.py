@@ -36,9 +36,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, key: str = "doc_id", size:
     of ``docs`` with the name of an added one are replaced.
     """
     rows = docs.drop("shard", "slot")
-    names = rows.columns
     rows = rows.select(
-        *[F.col(f"`{n}`") for n in names], F.struct(F.coalesce(order, F.lit("")).alias("hash"), F.col(key).alias("key")).alias("__place"),
+        F.struct(*[F.col(f"`{n}`") for n in rows.columns]).alias("__own"), F.struct(F.coalesce(order, F.lit("")).alias("hash"), F.col(key).alias("key")).alias("__place"),
         F.col(size).cast("long").alias("__size"),
     )
     narrow = cut(rows.select("__place", "__size"))
@@ -75,7 +74,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, key: str = "doc_id", size:
 
     starts = placed(narrow).groupBy("shard").agg(F.min("__row").alias("__start"))  # one row per shard
     return placed(rows).join(F.broadcast(starts), "shard").select(
-        *[F.col(f"`{n}`") for n in names], "shard", (F.col("__row") - F.col("__start")).alias("slot")
+        "__own.*", "shard", (F.col("__row") - F.col("__start")).alias("slot")
     )
 
 

@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from plumbline.llm.text import WORD_BASE, Words, running_sums, span_hashes, text_slices
+from plumbline.llm.text import WORD_BASE, Words, positional, running_sums, span_hashes, text_slices
 from plumbline.plans.staging import scratch_path
 
 WINDOW = 50
@@ -138,7 +138,9 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     of a window is the earliest of its stretch, too, so none is missed, and no group is larger than ``common``.
     """
     spark = docs.sparkSession
+    rest = docs.drop("n_words", "n_removed", "spans", "kept_text")
     kind = docs.schema[key].dataType
+    docs, (key, text) = positional(rest, key, text)
     body = docs.select(F.col(f"`{key}`").alias("doc"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("row"))
     body = body.where(F.col("doc").isNotNull() & F.col("text").isNotNull())
     doc = T.StructField("doc", kind)
@@ -225,18 +227,16 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     for rows, runs in ((whole, F.col("runs")), (lone, F.lit(1))):
         hits = hits.unionByName(rows.select("doc", "row", "firsts", F.array(F.struct(runs.alias("runs"), F.lit(True).alias("gone"))).alias("gone")))
     hits = hits.groupBy("doc", "row").agg(F.collect_list(F.struct("firsts", "gone")).alias("hits"))
-    rest = docs.drop("n_words", "n_removed", "spans", "kept_text")
-    names = rest.columns
-    marked = rest.withColumn("__row", F.xxhash64(F.col(text))).join(
-        hits.select(F.col("doc").alias("__doc"), F.col("row").alias("__hash"), "hits"), (F.col(key) == F.col("__doc")) & (F.col("__row") == F.col("__hash")), "left"
-    ).select(*[F.col(f"`{n}`") for n in names], F.col("hits").alias("__hits"))
+    names = docs.columns
+    same = (F.col(key) == F.col("doc")) & (F.xxhash64(F.col(text)) == F.col("row"))
+    marked = docs.join(hits, same, "left").select(*names, "hits")
 
     def remove(batches):
         for batch in text_slices(batches, text):
             words = Words(batch.column(text))
             raw, texts = words.data.tobytes(), batch.column(text).to_pylist()
             removed, spans = [], []
-            for at, hits in enumerate(batch.column("__hits").to_pylist()):
+            for at, hits in enumerate(batch.column("hits").to_pylist()):
                 gone = np.zeros(words.counts[at] + 1, np.int64)
                 for hit in hits or ():
                     for place in hit["firsts"]:
@@ -263,8 +263,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     span_type = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())]))
     span = T.ArrayType(T.StructType([T.StructField("first", integer), T.StructField("words", integer)]))
     return marked.mapInArrow(remove, T.StructType([
-        *rest.schema.fields, T.StructField("n_words", long), T.StructField("n_removed", long), T.StructField("spans", span), T.StructField("kept_text", T.StringType()),
-    ]))
+        *docs.schema.fields, T.StructField("n_words", long), T.StructField("n_removed", long), T.StructField("spans", span), T.StructField("kept_text", T.StringType()),
+    ])).toDF(*rest.columns, "n_words", "n_removed", "spans", "kept_text")
 
 
 def _stretches(hashes: np.ndarray, windows: np.ndarray, size: int, gram: int) -> tuple:

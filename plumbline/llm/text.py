@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 # Bytes of text that are looked at together; bounds the memory of a task. A longer text stands alone.
 SLICE_BYTES = 4 << 20
@@ -35,6 +36,12 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             start = end
 
 
+def positional(rows: DataFrame, *named: str) -> tuple[DataFrame, list[str]]:
+    """``rows`` with columns _0, _1, ... that no other name clashes with, and what the ``named`` ones are called now."""
+    now = {name: f"_{i}" for i, name in enumerate(rows.columns)}
+    return rows.toDF(*now.values()), [now[n] for n in named]
+
+
 def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text column, and where each row's begin (with the end as last entry); null is empty."""
     column = pc.fill_null(column.cast(pa.large_binary()), b"")

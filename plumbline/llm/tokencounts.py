@@ -4,7 +4,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from plumbline.llm.text import WHITE, text_slices
+from plumbline.llm.text import WHITE, positional, text_slices
 from plumbline.llm.wordtokens import WordTokens, word_tokens
 
 TOKENIZER = "word_bpe_49k.json"
@@ -25,7 +25,8 @@ def count_tokens(
     one are replaced.
     """
     path = path or public_tokenizers.path(TOKENIZER)
-    rows = docs.drop("n_bytes", "n_tokens", "over_limit")
+    rest = docs.drop("n_bytes", "n_tokens", "over_limit")
+    rows, (text,) = positional(rest, text)
     schema = T.StructType([*rows.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def count(batches):
@@ -39,7 +40,8 @@ def count_tokens(
                 [*batch.schema.names, "n_bytes", "n_tokens"],
             )
 
-    return rows.mapInArrow(count, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    counted = rows.mapInArrow(count, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return counted.toDF(*rest.columns, "n_bytes", "n_tokens", "over_limit")
 
 
 def chunked_count(tokens: WordTokens, raw: bytes, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
