@@ -41,7 +41,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, key: str = "doc_id", size:
         F.col(size).cast("long").alias("__size"),
     )
     narrow = cut(rows.select("__place", "__size"))
-    splitters = _splitters(narrow, RANGES)
+    splitters = _splitters(narrow, narrow.agg(F.sum("__size")).first()[0], RANGES)
     while True:
         ranges = _with_range(narrow, splitters).groupBy("__range").agg(
             F.sum("__size").alias("bytes"), F.count("*").alias("rows"), F.min("__place").alias("low"), F.max("__place").alias("high")
@@ -54,7 +54,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, key: str = "doc_id", size:
         found = {tuple(r["high"]) for r in full}
         for r in full:  # at most RANGES / OVERFULL of them
             inside = narrow.where((F.col("__place") >= _literal(r["low"], narrow)) & (F.col("__place") <= _literal(r["high"], narrow)))
-            found |= set(_splitters(inside, PARTS))
+            found |= set(_splitters(inside, r["bytes"], PARTS))
         if not found - set(splitters):
             break
         splitters = sorted(found | set(splitters), key=_ordered)
@@ -87,14 +87,16 @@ def _literal(place: tuple, narrow: DataFrame) -> Column:
     return F.struct(F.lit(place[0]).alias("hash"), F.lit(place[1]).cast(kind).alias("key"))
 
 
-def _splitters(narrow: DataFrame, parts: int) -> list[tuple]:
+def _splitters(narrow: DataFrame, total: int | None, parts: int) -> list[tuple]:
     """At most ``parts`` - 1 places that cut a size-weighted sample in equal parts.
 
     The sample holds the rows with the smallest -ln(u) / size, u being a hash of the place: a draw without
-    replacement in which each next row is taken in proportion to its size, the same in every run.
+    replacement in which each next row is taken in proportion to its size, the same in every run. About twice
+    as many rows as the sample holds lie below ``2 * SAMPLE / total``; only those are sorted and sent on.
     """
     chance = (F.pmod(F.xxhash64("__place", F.lit(17)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    sample = narrow.select("__place", (-F.log(chance) / F.col("__size")).alias("rank")).orderBy("rank", "__place").limit(SAMPLE)
+    sample = narrow.select("__place", (-F.log(chance) / F.col("__size")).alias("rank"))
+    sample = sample.where(F.col("rank") < 2 * SAMPLE / max(total or 1, 1)).orderBy("rank", "__place").limit(SAMPLE)
     places = sorted((tuple(r["__place"]) for r in sample.collect()), key=_ordered)
     return sorted({places[len(places) * i // parts] for i in range(1, parts)} if places else [], key=_ordered)
 
