@@ -15,7 +15,7 @@ from plumbline.llm.text import positional, text_slices
 
 RANKS = "byte_bpe_50k.tiktoken"
 # Units that a worker remembers, the ones met first (about 250 bytes each), and the longest of them in characters.
-KEPT_UNITS, KEPT_CHARS = 600_000, 48
+KEPT_UNITS, KEPT_CHARS = 500_000, 48
 # Fixed value: the characters with the Unicode property White_Space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # A word with the space before it, or white space. The pattern's matches never reach across two units.

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 # Bytes of text that are looked at together; bounds the memory of a task. A longer text stands alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95
 _rng = np.random.default_rng(20240611)

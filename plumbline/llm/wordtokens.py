@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
 # Words that a worker remembers (about 200 bytes each), and the longest of them in bytes.
-KEPT_WORDS, KEPT_BYTES = 800_000, 48
+KEPT_WORDS, KEPT_BYTES = 600_000, 48
 # Letters whose lower case and composed form are plain, then marks without an apostrophe: two matches of the
 # pattern. The library's model gets them directly, which saves its normaliser and its pattern.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ſ]*)([!-&(-/:-@[-`{-~]*)")
