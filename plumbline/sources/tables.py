@@ -29,10 +29,14 @@ DAY_FIRST_FORMATS = {
 
 
 def read_delimited(
-    spark: SparkSession, path: str | Sequence[str], delimiter: str | None = None, relaxed: bool = False
+    spark: SparkSession, path: str | Sequence[str], delimiter: str | None = None, relaxed: bool = False, multi_line: bool = True
 ) -> DataFrame:
     """Read CSV, TSV or TXT files with a header, every column as text.
 
+    A doubled quote inside quotes is a quote, and a backslash is an ordinary character. Quoted fields may
+    hold newlines, for which each file is read by one task; ``multi_line=False`` splits large files, and is right
+    only if no field holds a newline.
+
     Blanks after a delimiter are skipped. ``relaxed`` also takes ragged rows and loose quotes and
     leaves out rows without any value. An unknown extension is read as comma-separated.
     """
@@ -41,7 +45,8 @@ def read_delimited(
         delimiter = "\t" if first.lower().endswith(".tsv") else ","
     reader = (
         spark.read.option("header", True).option("sep", delimiter).option("inferSchema", False)
-        .option("ignoreLeadingWhiteSpace", True).option("mode", "PERMISSIVE").option("multiLine", False)
+        .option("ignoreLeadingWhiteSpace", True).option("mode", "PERMISSIVE").option("multiLine", multi_line)
+        .option("quote", '"').option("escape", '"')
     )
     if not relaxed:
         return reader.csv(path)
