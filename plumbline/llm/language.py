@@ -81,14 +81,16 @@ def gram_counts(column: pa.Array, features: int = FEATURES) -> np.ndarray:
 
 
 def linear_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, strength: float = 1e-3, rounds: int = 300) -> np.ndarray:
-    """Weights of a linear support vector machine: squared hinge, by accelerated gradient steps. y is -1 or 1."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    """Weights of a linear support vector machine: squared hinge, by accelerated gradient steps. y is -1 or 1.
+
+    The last column of ``x`` is 1 in every row. No copy of ``x`` is made.
+    """
     weight = weight / weight.sum()
-    step = 1 / (2 * (weight[:, None] * x * x).sum() + strength)
+    step = 1 / (2 * (weight @ np.einsum("ij,ij->i", x, x)) + strength)
     now = ahead = np.zeros(x.shape[1])
     for k in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ ahead))
-        slope = -2 * (weight * slack * y) @ x + strength * ahead
+        slack = np.maximum(0, 1 - y * (x @ ahead.astype(x.dtype)))
+        slope = -2 * ((weight * slack * y).astype(x.dtype) @ x) + strength * ahead
         new = ahead - step * slope
         ahead, now = new + k / (k + 3) * (new - now), new
     return now
@@ -127,22 +129,30 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
         return None
     languages = sorted(counts)
     share = sample // len(languages)
-    draw = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) / float(1 << 30)
+    order = F.xxhash64("key", "text")
+    draw = F.pmod(order, F.lit(1 << 30)) / float(1 << 30)
     limit = F.element_at(F.create_map(*[v for k in languages for v in (F.lit(k), F.lit(share / counts[k]))]), F.col("label"))
-    chosen = known.where(draw < limit).select("label", "text")
+    chosen = known.where(draw < limit).select("label", order.alias("order"), "text")
 
     def features(batches):
         for batch in text_slices(batches):
             rows = gram_counts(batch.column("text")).astype("<f4")
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([r.tobytes() for r in rows], pa.binary())], ["label", "features"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("label"), batch.column("order"), pa.array([r.tobytes() for r in rows], pa.binary())], ["label", "order", "features"]
+            )
 
-    found = sorted(((r["label"], bytes(r["features"])) for r in chosen.mapInArrow(features, "label string, features binary").collect()))
-    languages = sorted({label for label, _ in found})
-    if not languages:
+    # equal texts under one key have equal features, so the order of the rows is always the same
+    found = chosen.mapInArrow(features, "label string, order long, features binary").toArrow().sort_by([("label", "ascending"), ("order", "ascending")])
+    if not found.num_rows:
         return None
-    x = np.stack([np.frombuffer(f, "<f4") for _, f in found]).astype(np.float64)
-    y = np.array([languages.index(label) for label, _ in found])
-    family = families_of(np.stack([x[y == i].mean(0) for i in range(len(languages))]))
+    labels = found.column("label").to_pylist()
+    languages = sorted(set(labels))
+    x = np.ones((len(labels), FEATURES + 1), np.float32)
+    for i, row in enumerate(found.column("features")):
+        x[i, :-1] = np.frombuffer(row.as_buffer(), "<f4")
+    del found
+    y = np.array([languages.index(label) for label in labels])
+    family = families_of(np.stack([x[y == i, :-1].mean(0, dtype=np.float64) for i in range(len(languages))]))
     groups = range(family.max() + 1)
     machines = []
     for g in groups if len(groups) > 1 else []:
