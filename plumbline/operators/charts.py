@@ -83,10 +83,11 @@ def heatmap(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Da
     return correlation_matrix(df, columns, by)
 
 
-def importance_bars(ranking: DataFrame, top: int = 10, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., feature, importance, relative, rank, methods) from a consensus ranking."""
+def importance_bars(ranking: DataFrame, top: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., feature, importance, relative, rank, methods) from a consensus ranking; the ``top`` features if given."""
     strength = F.round(1 / F.nullif(F.col("average_rank"), F.lit(0.0)), 4)
-    bars = ranking.where(F.col("consensus_rank") <= top).withColumn("importance", F.coalesce(strength, F.lit(0.0)))
+    kept = ranking if top is None else ranking.where(F.col("consensus_rank") <= top)
+    bars = kept.withColumn("importance", F.coalesce(strength, F.lit(0.0)))
     best = F.max("importance").over(Window.partitionBy(*(by or [F.lit(0)])))
     return bars.select(
         *by, "feature", "importance", F.round(F.col("importance") / best, 4).alias("relative"),
@@ -100,13 +101,16 @@ def forecast_band(forecasts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return forecasts.select(*by, name, "predicted", "lower", "upper")
 
 
-def dependence_lines(dependence: DataFrame, most: int = 4) -> DataFrame:
-    """(feature, x, y) of at most ``most`` features."""
-    names = dependence.select("feature").distinct().orderBy("feature").limit(most)
-    return dependence.join(names, "feature", "left_semi").select(
-        "feature", F.round("value", 4).alias("x"), F.round("average", 4).alias("y")
-    )
+def dependence_lines(dependence: DataFrame, ranking: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """(feature, x, y) of all features, or of the ``most`` leading ones of a ``ranking`` (feature, rank)."""
+    lines = dependence
+    if most is not None:
+        if ranking is None:
+            raise ValueError("the leading features need a ranking")
+        lines = lines.join(ranking.where(F.col("rank") <= most).select("feature"), "feature", "left_semi")
+    return lines.select("feature", F.round("value", 4).alias("x"), F.round("average", 4).alias("y"))
 
 
-def attribution_bars(attributions: DataFrame, top: int = 15) -> DataFrame:
-    return attributions.where(F.col("rank") <= top).select("feature", "mean_abs", "share", "rank")
+def attribution_bars(attributions: DataFrame, top: int | None = None) -> DataFrame:
+    bars = attributions.select("feature", "mean_abs", "share", "rank")
+    return bars if top is None else bars.where(F.col("rank") <= top)

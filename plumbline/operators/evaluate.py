@@ -75,6 +75,21 @@ def problem_type(df: DataFrame, target: str) -> DataFrame:
     return listed.select(F.when(F.coalesce(few, F.lit(True)), "classification").otherwise("regression").alias("problem"))
 
 
+def class_labels(df: DataFrame, label: str) -> list[float]:
+    """The distinct class labels in rising order. A classifier needs all of them; their number is that of its outputs."""
+    return sorted(r[0] for r in df.where(F.col(label).isNotNull()).select(measure(label)).distinct().collect())
+
+
+def label_index(column: Column, labels: Sequence[float]) -> Column:
+    """The place of a label among the sorted ``labels``, as double; order is kept, so the larger of two is 1."""
+    return (F.array_position(F.array(*[F.lit(float(v)) for v in labels]), column.cast("double")) - 1).cast("double")
+
+
+def label_at(column: Column, labels: Sequence[float]) -> Column:
+    """The label at a place among the sorted ``labels``."""
+    return F.get(F.array(*[F.lit(float(v)) for v in labels]), column.cast("int"))
+
+
 # ---- metrics -------------------------------------------------------------------------------------
 
 def regression_metrics(df: DataFrame, target: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:

@@ -15,7 +15,6 @@ from .evaluate import regression_metrics
 from .models import score_linear, with_score
 
 REPEATS = 10
-SHAPLEY_ROWS = 200
 LOCAL_SAMPLES = 1000
 GRID_POINTS = 50
 GRID_ENDS = (0.05, 0.95)
@@ -122,20 +121,23 @@ def shapley_sampled(
     predict: Predict,
     features: Sequence[str],
     key: Sequence[str],
-    rows: int = SHAPLEY_ROWS,
+    rows: int | None = None,
     orders: int = 8,
     seed: int = SEED,
 ) -> DataFrame:
-    """(feature, mean_abs, share, rank) over a sample of rows, for any model.
+    """(feature, mean_abs, share, rank) over all complete rows, for any model; over ``rows`` of them if given.
 
-    Every sampled row gets random feature orders and a background row each; along an order the
-    features switch from background to row, and the change of the prediction is the attribution.
+    Every row gets random feature orders and a background row each; along an order the features switch
+    from background to row, and the change of the prediction is the attribution. A prediction counts for the
+    feature that switched last and against the one that switches next, so sums per row and feature suffice.
     """
     features = list(features)
     hashed = df.dropna(subset=features).select(
         *key, *[measure(f).alias(f) for f in features], F.xxhash64(*key, F.lit(seed)).alias("_h")
     )
-    sample = positions(hashed.orderBy("_h", *key).limit(rows), ["_h", *key], name="_i").drop("_h")
+    if rows is not None:
+        hashed = hashed.orderBy("_h", *key).limit(rows)
+    sample = positions(hashed, ["_h", *key], name="_i").drop("_h")
     sample = cut(sample)
     n = sample.count()
     turns = sample.withColumn("_m", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))))
@@ -152,13 +154,15 @@ def shapley_sampled(
         "_i", "_m", "_step", "_order",
         *[F.when(place[f] <= F.col("_step"), F.col(f)).otherwise(F.col(f"_back.{f}")).alias(f) for f in features],
     )
-    path = Window.partitionBy("_i", "_m").orderBy("_step")
-    moved = predict(mixed).select(
-        "_i", "_step", "_order", (F.col("prediction") - F.lag("prediction").over(path)).alias("_gain")
-    ).where("_step > 0")
     names = F.array(*[F.lit(f) for f in features])
-    gains = moved.select("_i", F.element_at(names, F.element_at("_order", F.col("_step")) + 1).alias("feature"), "_gain")
-    per_row = gains.groupBy("_i", "feature").agg(F.avg("_gain").alias("phi"))
+    # get() is null before the first and after the last feature
+    switch = lambda at: F.get(names, F.get("_order", at))
+    sides = F.explode(F.array(
+        F.struct(switch(F.col("_step") - 1).alias("feature"), F.col("prediction").alias("_gain")),
+        F.struct(switch(F.col("_step")).alias("feature"), (-F.col("prediction")).alias("_gain")),
+    )).alias("_g")
+    gains = predict(mixed).select("_i", sides).select("_i", "_g.*").where(F.col("feature").isNotNull())
+    per_row = gains.groupBy("_i", "feature").agg((F.sum("_gain") / orders).alias("phi"))
     found = per_row.groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs"))
     return _ranked(_with_share(found, "mean_abs"), "mean_abs")
 
@@ -170,13 +174,13 @@ def local_surrogate(
     key: Sequence[str],
     instances: DataFrame,
     samples: int = LOCAL_SAMPLES,
-    top: int = 10,
+    top: int | None = None,
     seed: int = SEED,
 ) -> DataFrame:
     """(key..., feature, contribution, rank): a weighted linear fit around each instance.
 
     Noise of one standard deviation per feature, weighted by closeness; one row of weighted sums per
-    instance is solved where it lives.
+    instance is solved where it lives. ``top`` keeps that many features of each instance.
     """
     features = list(features)
     spread = df.agg(*[F.stddev_pop(measure(f)).alias(f) for f in features]).first()
@@ -209,7 +213,8 @@ def local_surrogate(
         *key, F.col("_p").getField("feature").alias("feature"), F.col("_p").getField("value").alias("contribution")
     )
     order = Window.partitionBy(*key).orderBy(F.desc(F.abs("contribution")), "feature")
-    return long.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    ranked = long.withColumn("rank", F.row_number().over(order))
+    return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
 def grids(df: DataFrame, features: Sequence[str], points: int = GRID_POINTS) -> dict[str, list[float]]:
@@ -235,7 +240,7 @@ def partial_dependence(
 
     Copies of a row are made and summed inside its task; only one sum per grid value is shuffled.
     """
-    of = list(of or features[:5])
+    of = list(of or features)
     rows = df.select(*[measure(f).alias(f) for f in features]).dropna()
     values = grids(rows, of, points)
     settings = F.explode(F.array(*[
@@ -253,7 +258,7 @@ def partial_dependence_linear(
 ) -> DataFrame:
     """The same for a linear model in closed form: one mean per feature."""
     names = list(coefficients)
-    of = list(of or names[:5])
+    of = list(of or names)
     rows = df.dropna(subset=names)
     values = grids(rows, of, points)
     means = rows.agg(*[F.avg(measure(c)).alias(c) for c in names])
@@ -324,10 +329,12 @@ def explain(
     classification: bool,
     repeats: int = REPEATS,
     local_instances: int = 1,
+    top: int | None = None,
 ) -> dict[str, DataFrame]:
-    """Every method that suits the model, the consensus of their ranks and partial dependence of the top features.
+    """Every method that suits the model, the consensus of their ranks and partial dependence of the features.
 
-    ``train`` and ``test`` hold the feature columns.
+    ``train`` and ``test`` hold the feature columns. ``local`` explains the first ``local_instances`` test rows;
+    ``top`` keeps that many leading features in the partial dependence.
     """
     features = list(features)
     spark = train.sparkSession
@@ -355,7 +362,7 @@ def explain(
             ranked = part if ranked is None else ranked.unionByName(part)
     report["consensus"] = consensus(ranked)
     lead = next(m for m in ("shapley", "permutation", "builtin", "coefficients") if m in report)
-    top = [r["feature"] for r in report[lead].where("rank <= 3").orderBy("rank").collect()]
-    report["partial_dependence"] = partial_dependence(train, soft, features, top[:4])
+    leading = [r["feature"] for r in report[lead].orderBy("rank").collect()]
+    report["partial_dependence"] = partial_dependence(train, soft, features, leading[:top])
     return report
 

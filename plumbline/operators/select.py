@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.linalg import VIF_CAP, inflation, vif as vif_column, without_noise
 from ..plans.moments import complete_moments, moments_row
 from ..plans.segments import measure
+from .evaluate import class_labels, label_index
 from .features import scale, scale_parameters
 from .infer import pearson
 
@@ -122,15 +123,18 @@ def lasso_selection(df: DataFrame, columns: Sequence[str], target: str, alpha: f
 def importance_selection(
     df: DataFrame, columns: Sequence[str], target: str, top_k: int | None = None, threshold: float = 0.01, seed: int = 42
 ) -> DataFrame:
-    """(column, importance, place, selected) by a random forest; a classifier for few whole target values."""
+    """(column, importance, place, selected) by a random forest; a classifier for few whole target values, however coded."""
     columns = list(columns)
     rows = df.select(*[measure(c).alias(c) for c in columns], measure(target).alias("_y")).dropna()
     facts = rows.agg(
-        F.approx_count_distinct("_y").alias("kinds"), F.bool_and(F.col("_y") == F.floor("_y")).alias("whole"), F.min("_y").alias("low")
+        F.approx_count_distinct("_y").alias("kinds"), F.bool_and(F.col("_y") == F.floor("_y")).alias("whole")
     ).first()
+    classify = facts["kinds"] <= 10 and facts["whole"]
+    if classify:
+        rows = rows.withColumn("_y", label_index(F.col("_y"), class_labels(rows, "_y")))
     assembled = VectorAssembler(inputCols=columns, outputCol="_x").transform(rows)
     common = dict(featuresCol="_x", labelCol="_y", numTrees=100, seed=seed)
-    if facts["kinds"] <= 10 and facts["whole"] and facts["low"] >= 0:
+    if classify:
         forest = RandomForestClassifier(maxDepth=10, **common)
     else:
         forest = RandomForestRegressor(maxDepth=10, featureSubsetStrategy="all", **common)

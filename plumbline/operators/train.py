@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import features
 from .evaluate import (
-    SEED, TEST_SHARE, VALIDATION_SHARE, best_model, classification_metrics, folds, long_metrics, problem_type,
-    regression_metrics, split,
+    SEED, TEST_SHARE, VALIDATION_SHARE, best_model, class_labels, classification_metrics, folds, label_at, label_index, long_metrics,
+    problem_type, regression_metrics, split,
 )
 from .models import assemble, with_score
 
@@ -34,7 +34,7 @@ GRIDS = {
     },
     "logistic": {"C": [0.01, 0.1, 1.0, 10.0], "maxIter": [1000, 2000]},
     "ridge": {"alpha": [0.01, 0.1, 1.0, 10.0]},
-    "neural_network": {"hidden": [(32,), (64,), (32, 16)], "stepSize": [0.01, 0.03, 0.1]},
+    "neural_network": {"hidden": [(32,), (64,), (32, 16)]},
     "gradient_boosting": {"maxIter": [50, 100, 200], "maxDepth": [3, 5, 7], "stepSize": [0.01, 0.05, 0.1]},
 }
 
@@ -61,6 +61,14 @@ class Experiment:
     best_score: float | None = None
     cross_validation: dict[str, dict] = field(default_factory=dict)
     data: DataFrame | None = None
+    # Class labels as given, in rising order; ``data``, models and metrics work on their places 0..k-1.
+    labels: list[float] = field(default_factory=list)
+
+    def as_given(self, scored: DataFrame) -> DataFrame:
+        """Scored rows with the class labels as given in ``label`` and ``prediction``."""
+        if not self.labels:
+            return scored
+        return scored.withColumns({c: label_at(F.col(c), self.labels) for c in ("label", "prediction") if c in scored.columns})
 
 
 def model_matrix(
@@ -94,7 +102,7 @@ def estimator(name: str, problem: str, shape: Shape, parameters: dict | None = N
     classify = problem == "classification"
     if name == "random_forest":
         p.setdefault("numTrees", 100)
-        p.setdefault("maxDepth", 10)
+        p.setdefault("maxDepth", 30)
         return (RandomForestClassifier if classify else RandomForestRegressor)(seed=seed, **p)
     if name == "logistic":
         strength = p.pop("C", 1.0)
@@ -105,7 +113,7 @@ def estimator(name: str, problem: str, shape: Shape, parameters: dict | None = N
         return LinearRegression(regParam=alpha / shape.rows * shape.target_std, elasticNetParam=0.0, standardization=False, solver="normal")
     if name == "neural_network":
         hidden = p.pop("hidden", (64, 32))
-        return MultilayerPerceptronClassifier(layers=[shape.inputs, *hidden, shape.classes], maxIter=100, seed=seed, **p)
+        return MultilayerPerceptronClassifier(layers=[shape.inputs, *hidden, shape.classes], maxIter=600, seed=seed, **p)
     if name == "gradient_boosting":
         p = {"maxIter": 20, "maxDepth": 5, **p}
         if not classify:
@@ -236,17 +244,21 @@ def run_experiment(
 ) -> Experiment:
     """Split, fit baselines, tune every model, measure on all parts, cross-validate and pick the best.
 
-    The best model is chosen on the validation part; ``select_on="test"`` chooses on the test part.
+    The best model is chosen on the validation part; ``select_on="test"`` chooses on the test part. Classes
+    may have any numeric codes.
     """
     matrix, names = model_matrix(df, dependent, predictors, key, types)
     problem = problem or problem_type(matrix, "label").first()["problem"]
     stratify = "label" if problem == "classification" else None
+    labels = class_labels(matrix, "label") if stratify else []
+    if labels:
+        matrix = matrix.withColumn("label", label_index(F.col("label"), labels))
     data = split(matrix, key, test, validation, stratify, seed=seed).persist()
     sizes = {r["split"]: r["n"] for r in data.groupBy("split").agg(F.count("*").alias("n")).collect()}
     train = data.where("split = 'train'")
-    facts = train.agg(F.max("label").alias("high"), F.stddev_pop("label").alias("std")).first()
-    shape = Shape(sizes.get("train", 0), len(names), int(facts["high"]) + 1 if stratify else 0, facts["std"] or 1.0)
-    found = Experiment(problem, names, sizes, data=data)
+    std = train.agg(F.stddev_pop("label")).first()[0]
+    shape = Shape(sizes.get("train", 0), len(names), len(labels), std or 1.0)
+    found = Experiment(problem, names, sizes, data=data, labels=labels)
     metrics = baselines(data, problem, shape, seed).withColumn("split", F.lit("test"))
     for name in [m for m in available_models(problem) if models is None or m in models]:
         model, how = tune(train, name, problem, shape, key, method, draws, min(k, 3) if method != "none" else k, seed=seed)

@@ -67,9 +67,14 @@ def is_numeric(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, T.NumericType)
 
 
+def quoted(column: str) -> Column:
+    """The column with exactly this name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def measure(column: str) -> Column:
-    """A numeric column as double, with NaN read as missing."""
-    return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+    """A column as double, with NaN and text that is no number read as missing; any name will do."""
+    return F.nanvl(quoted(column).try_cast("double"), F.lit(None).cast("double"))
 
 
 def as_long(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

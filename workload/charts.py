@@ -59,7 +59,9 @@ def forecast_band(spark, folder):
 
 
 def dependence_lines(spark, folder):
-    return rounded(c.dependence_lines(x.partial_dependence_linear(_lineitem(spark, folder), 5.0, WEIGHTS), 2), 3)
+    """The lines of the two leading features."""
+    lineitem = _lineitem(spark, folder)
+    return rounded(c.dependence_lines(x.partial_dependence_linear(lineitem, 5.0, WEIGHTS), x.shapley_linear(lineitem, WEIGHTS), 2), 3)
 
 
 def attribution_bars(spark, folder):
@@ -129,7 +131,7 @@ ORACLES = {
       consensus_rank AS rank, methods FROM (SELECT *, round(1 / average_rank, 4) AS importance FROM ({workload_models.ORACLES['consensus_ranking']}))""",
     "forecast_band": f"""SELECT o_orderstatus, 'Period ' || period AS name, predicted, lower, upper FROM ({workload_models.ORACLES['forecast']})""",
     "dependence_lines": f"""SELECT feature, {r('value', 3)} AS x, {r('average', 3)} AS y FROM ({workload_models.ORACLES['linear_dependence']})
-      WHERE feature IN ('l_discount', 'l_quantity')""",
+      WHERE feature IN (SELECT feature FROM {workload_models._attributions()} WHERE rank <= 2)""",
     "attribution_bars": f"SELECT feature, {r('mean_abs', 4)} AS mean_abs, {r('share', 4)} AS share, rank FROM {workload_models._attributions()}",
     "model_comparison": " UNION ALL ".join(
         f"""SELECT '{n}' AS model, {r('max(r2) FILTER (WHERE test)', 4)} AS test_r2, {r('max(rmse) FILTER (WHERE test)', 4)} AS test_rmse,

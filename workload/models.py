@@ -176,8 +176,8 @@ def metrics_of_labels(spark, folder):
 # ---- fitted models -------------------------------------------------------------------------------
 
 def _embedded(spark, folder):
-    width = 4
     vectors = table(spark, folder, "embeddings")
+    width = vectors.agg(F.max(F.size("embedding"))).first()[0]
     return vectors.select("vec_id", "label", *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(width)])
 
 
@@ -187,12 +187,12 @@ def logistic_metrics(spark, folder):
 
 
 def forest_metrics(spark, folder):
-    fitted = m.random_forest(_lineitem(spark, folder), "l_extendedprice", ["l_quantity", "l_discount"], LINE_KEY, trees=10, depth=5)
+    fitted = m.random_forest(_lineitem(spark, folder), "l_extendedprice", ["l_quantity", "l_discount"], LINE_KEY)
     return rounded(fitted.metrics, 2)
 
 
 def forest_of_classes(spark, folder):
-    fitted = m.random_forest(_lineitem(spark, folder), "returned", ["l_quantity", "l_extendedprice"], LINE_KEY, trees=10, depth=5)
+    fitted = m.random_forest(_lineitem(spark, folder), "returned", ["l_quantity", "l_extendedprice"], LINE_KEY)
     return rounded(fitted.metrics, 3)
 
 
@@ -254,10 +254,10 @@ def experiment_untuned(spark, folder):
 def network_fit(spark, folder):
     """A small network on the vector labels, measured on the test part."""
     vectors = _embedded(spark, folder)
-    matrix, names = t.model_matrix(vectors, "label", ["e0", "e1", "e2", "e3"], ["vec_id"])
+    matrix, names = t.model_matrix(vectors, "label", [c for c in vectors.columns if c not in ("vec_id", "label")], ["vec_id"])
     data = e.split(matrix, ["vec_id"])
     classes = int(matrix.agg(F.max("label")).first()[0]) + 1
-    network = t.estimator("neural_network", "classification", t.Shape(0, len(names), classes), {"hidden": (8,)})
+    network = t.estimator("neural_network", "classification", t.Shape(0, len(names), classes))
     scored = network.fit(data.where("split = 'train'")).transform(data.where("split = 'test'"))
     return rounded(t.measures(scored, "classification"), 2)
 
@@ -265,7 +265,7 @@ def network_fit(spark, folder):
 def cross_validation(spark, folder):
     events = table(spark, folder, "events").withColumn("hour", F.hour("ts"))
     matrix, names = t.model_matrix(events, "value", ["hour", "user_id"], ["event_id"])
-    found = t.cross_validate(matrix, "ridge", "regression", t.Shape(events.count(), len(names)), ["event_id"], k=3)
+    found = t.cross_validate(matrix, "ridge", "regression", t.Shape(events.count(), len(names)), ["event_id"])
     scores = F.array(*[F.struct(F.lit(k).alias("fold"), F.lit(v).alias("score")) for k, v in enumerate(found["scores"])])
     return rounded(matrix.groupBy().agg(F.count("*").alias("n")).select("n", F.explode(scores).alias("s")).select("n", "s.*"), 4)
 
@@ -287,7 +287,7 @@ WEIGHTS = {"l_quantity": 1500.0, "l_discount": -200.0, "l_tax": 50.0}
 
 def permutation_importance(spark, folder):
     found = x.permutation_importance(
-        _lineitem(spark, folder), x.linear_predictor(0.0, WEIGHTS), list(WEIGHTS), "l_extendedprice", LINE_KEY, False, repeats=3
+        _lineitem(spark, folder), x.linear_predictor(0.0, WEIGHTS), list(WEIGHTS), "l_extendedprice", LINE_KEY, False
     )
     return rounded(found.select("feature", "importance", "rank"), 3)
 
@@ -304,7 +304,7 @@ def sampled_attributions(spark, folder):
 def local_surrogates(spark, folder):
     customers = table(spark, folder, "customer")
     predict = lambda df: df.withColumn("prediction", F.col("c_acctbal") * 2 + F.col("c_nationkey") * F.col("c_nationkey"))
-    found = x.local_surrogate(customers, predict, ["c_acctbal", "c_nationkey"], ["c_custkey"], customers, samples=40)
+    found = x.local_surrogate(customers, predict, ["c_acctbal", "c_nationkey"], ["c_custkey"], customers)
     return rounded(found, 3)
 
 
@@ -332,7 +332,7 @@ def odds_table(spark, folder):
 
 def forest_importance(spark, folder):
     lineitem = _lineitem(spark, folder)
-    fitted = m.random_forest(lineitem, "l_extendedprice", ["l_quantity", "l_discount"], LINE_KEY, trees=5, depth=4)
+    fitted = m.random_forest(lineitem, "l_extendedprice", ["l_quantity", "l_discount"], LINE_KEY)
     return rounded(x.builtin_importance(spark, fitted.model, ["l_quantity", "l_discount"]), 3)
 
 
@@ -364,11 +364,11 @@ def consensus_ranking(spark, folder):
 def explanation_report(spark, folder):
     """All methods on a forest of the parts; the rows of the consensus."""
     parts = table(spark, folder, "part").withColumns({"size": F.col("p_size").cast("double"), "place": F.col("p_partkey").cast("double")})
-    fitted = m.random_forest(parts, "p_retailprice", ["size", "place"], ["p_partkey"], trees=5, depth=4)
+    fitted = m.random_forest(parts, "p_retailprice", ["size", "place"], ["p_partkey"])
     data = e.split(parts, ["p_partkey"])
     report = x.explain(
         data.where("split = 'train'"), data.where("split = 'test'"), fitted.model, ["size", "place"], "p_retailprice", ["p_partkey"],
-        False, repeats=2,
+        False,
     )
     return rounded(report["consensus"], 3)
 
