@@ -4,6 +4,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from plumbline.llm.text import mixed, positional, raw_bytes, text_slices
@@ -141,16 +142,20 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
                 [batch.column("label"), batch.column("order"), pa.array([r.tobytes() for r in rows], pa.binary())], ["label", "order", "features"]
             )
 
-    # equal texts under one key have equal features, so the order of the rows is always the same
-    found = chosen.mapInArrow(features, "label string, order long, features binary").toArrow().sort_by([("label", "ascending"), ("order", "ascending")])
+    found = chosen.mapInArrow(features, "label string, order long, features binary").toArrow()
     if not found.num_rows:
         return None
-    labels = found.column("label").to_pylist()
+    # equal texts under one key have equal features, so the order of the rows is always the same
+    place = pc.sort_indices(found.select(["label", "order"]), [("label", "ascending"), ("order", "ascending")]).to_numpy()
+    labels = found.column("label").take(place).to_pylist()
     languages = sorted(set(labels))
+    rank = np.empty(len(place), np.int64)
+    rank[place] = np.arange(len(place))
     x = np.ones((len(labels), FEATURES + 1), np.float32)
-    for i, row in enumerate(found.column("features")):
+    for i, row in zip(rank, found.column("features")):
         x[i, :-1] = np.frombuffer(row.as_buffer(), "<f4")
     del found
+    pa.default_memory_pool().release_unused()
     y = np.array([languages.index(label) for label in labels])
     family = families_of(np.stack([x[y == i, :-1].mean(0, dtype=np.float64) for i in range(len(languages))]))
     groups = range(family.max() + 1)
