@@ -46,3 +46,12 @@ def tidy(text: Column, case: str = "title", strip: bool = True, collapse: bool =
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching characters of the two texts; the order of the arguments matters."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
+
+
+def edit_ratio(a: Column, b: Column) -> Column:
+    """1 less the share of the longer text's characters that must be inserted, deleted or replaced."""
+    return F.lit(1.0) - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
+
+
+# The ways to score two texts; an edit ratio never passes where the bounds of the similarity join forbid it.
+RATIOS = {"sequence": sequence_ratio, "levenshtein": edit_ratio}

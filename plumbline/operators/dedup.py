@@ -5,7 +5,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import sequence_ratio, strip_blanks
+from ..functions.text import RATIOS, strip_blanks
 from ..plans.segments import text_columns
 from ..plans.similar import KEYS, allowed, check_threshold, left_keys, right_keys
 from ..plans.staging import cut
@@ -13,7 +13,6 @@ from ..plans.staging import cut
 FUZZY_THRESHOLD = 0.9
 # A key shared by more candidate pairs than this is thinned out by leaders before pairs are formed.
 HOT_PAIRS = 1_000_000
-THINNING_ROUNDS = 20
 
 
 # ---- exact ---------------------------------------------------------------------------------------
@@ -95,7 +94,7 @@ def _keyed(reps: DataFrame, names: list[str], lanes: dict, free: bool, threshold
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def _matches(left: DataFrame, right: DataFrame, reps: DataFrame, names: list[str], threshold: float) -> DataFrame:
+def _matches(left: DataFrame, right: DataFrame, reps: DataFrame, names: list[str], threshold: float, form: str) -> DataFrame:
     """(i, j) with i before j for the keyed rows that match in every column."""
     a = left.select(F.col("id").alias("i"), "lane", *KEYS, *[F.col(n).alias(f"a_{n}") for n in names])
     b = right.select(F.col("id").alias("j"), "lane", *KEYS, *[F.col(n).alias(f"b_{n}") for n in names])
@@ -106,7 +105,7 @@ def _matches(left: DataFrame, right: DataFrame, reps: DataFrame, names: list[str
     pairs = a.join(b, ["lane", *KEYS]).where(near).drop("lane", *KEYS).distinct()
     for n in names:
         x, y = F.col(f"a_{n}"), F.col(f"b_{n}")
-        score = F.when((x == y) | (x == "") | (y == ""), 1.0).otherwise(sequence_ratio(x, y))
+        score = F.when((x == y) | (x == "") | (y == ""), 1.0).otherwise(RATIOS[form](x, y))
         pairs = pairs.where(score >= threshold)
     return pairs.select("i", "j")
 
@@ -117,14 +116,18 @@ def fuzzy_groups(
     columns: Sequence[str] | None = None,
     threshold: float = FUZZY_THRESHOLD,
     hot_pairs: int = HOT_PAIRS,
+    form: str = "sequence",
 ) -> DataFrame:
     """(key, leader) of every row in a group of at least two near-duplicates.
 
     Two rows match when each compared column is equal, empty on a side, or similar enough. A row
     leads unless an earlier leader matches it; it belongs to the earliest leader that matches it.
-    ``key`` is unique and gives the order.
+    ``key`` is unique and gives the order. ``form`` is "sequence" (share of matching characters) or
+    "levenshtein" (share of characters left alone by the shortest edit of the longer text).
     """
     check_threshold(threshold)
+    if form not in RATIOS:
+        raise ValueError(f"unknown form {form!r}")
     names = list(columns or text_columns(df, exclude=[key]))
     tidy = df.select(
         F.col(key).alias("id"), *[F.lower(strip_blanks(F.coalesce(F.col(c).cast("string"), F.lit("")))).alias(c) for c in names]
@@ -149,7 +152,8 @@ def fuzzy_groups(
 
     open_rows = reps.select("id")
     leaders, early = [], []
-    for _ in range(THINNING_ROUNDS):
+    # The earliest open row leads in every round, so the rounds end.
+    while True:
         block = ["lane", *KEYS]
         load = left.groupBy(*block).agg(F.count("*").alias("x"), F.min("id").alias("first")).join(
             right.groupBy(*block).agg(F.count("*").alias("y")), block
@@ -164,14 +168,14 @@ def fuzzy_groups(
             .agg(F.max(F.when(F.col("first") < F.col("id"), 1).otherwise(0)).alias("later"))
             .where("later = 0").select("id")
         )
-        led = cut(_matches(with_text(left.join(chosen, "id", "left_semi")), with_text(right), reps, names, threshold))
+        led = cut(_matches(with_text(left.join(chosen, "id", "left_semi")), with_text(right), reps, names, threshold, form))
         leaders.append(chosen)
         early.append(led)
         gone = chosen.union(led.select(F.col("j").alias("id"))).distinct()
         open_rows = cut(open_rows.join(gone, "id", "left_anti"))
         left = cut(left.join(gone, "id", "left_anti"))
         right = cut(right.join(gone, "id", "left_anti"))
-    pairs = cut(_matches(with_text(left), with_text(right), reps, names, threshold))
+    pairs = cut(_matches(with_text(left), with_text(right), reps, names, threshold, form))
 
     links = pairs
     while True:
@@ -195,7 +199,7 @@ def fuzzy_groups(
             led.select(F.col("j").alias("id")), "id", "left_semi"
         )
         found = found.union(led.select("i", "j")).union(
-            _matches(with_text(keyed_left), with_text(keyed_right), reps, names, threshold)
+            _matches(with_text(keyed_left), with_text(keyed_right), reps, names, threshold, form)
         )
     owner = found.groupBy(F.col("j").alias("id")).agg(F.min("i").alias("_leader"))
     settled = texts.join(owner, "id", "left").withColumn("_leader", F.coalesce("_leader", "id")).drop("id")
@@ -212,9 +216,10 @@ def drop_fuzzy_duplicates(
     columns: Sequence[str] | None = None,
     threshold: float = FUZZY_THRESHOLD,
     keep: str = "first",
+    form: str = "sequence",
 ) -> DataFrame:
     """Keep the first, the last or no row of each group of near-duplicates."""
-    groups = fuzzy_groups(df, key, columns, threshold)
+    groups = fuzzy_groups(df, key, columns, threshold, form=form)
     if keep == "first":
         extra = groups.where(F.col(key) != F.col("leader")).select(key)
     elif keep == "last":

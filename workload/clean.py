@@ -292,6 +292,16 @@ def fuzzy_duplicates_dropped(spark, folder):
     return d.drop_fuzzy_duplicates(parts, "p_partkey", ["p_name", "p_brand"], keep="last")
 
 
+def fuzzy_by_edits(spark, folder):
+    """Near-duplicate names of parts by edit distance."""
+    return d.fuzzy_groups(table(spark, folder, "part"), "p_partkey", ["p_name", "p_type"], form="levenshtein")
+
+
+def fuzzy_by_edits_dropped(spark, folder):
+    parts = table(spark, folder, "part").select("p_partkey", "p_name", "p_brand")
+    return d.drop_fuzzy_duplicates(parts, "p_partkey", ["p_name", "p_brand"], keep="last", form="levenshtein")
+
+
 # ---- missing values ------------------------------------------------------------------------------
 
 def _gappy_events(spark, folder):
@@ -366,6 +376,12 @@ def iterative_filled(spark, folder):
     return rounded(m.fill_iterative(parts, ["price", "size", "key"]).select("p_partkey", "price", "size"))
 
 
+def iterative_filled_line(spark, folder):
+    """One gappy column: the chained equations settle on its least-squares line."""
+    parts = table(spark, folder, "part").select("p_partkey", F.expr(PRICE_GAPS).alias("price"), F.col("p_partkey").cast("double").alias("key"))
+    return rounded(m.fill_iterative(parts, ["price", "key"]).select("p_partkey", "price"), 4)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -376,10 +392,34 @@ QUERIES = {
         duplicates_kept_first, duplicates_kept_last, duplicates_kept_none, duplicate_documents, fuzzy_duplicates,
         fuzzy_duplicates_dropped, rows_dropped, mean_filled, median_filled, mode_filled, zero_filled,
         forward_filled, backward_filled, forward_filled_spread, model_filled, type_filled, suggested_filled,
-        neighbour_filled, iterative_filled,
+        neighbour_filled, iterative_filled, iterative_filled_line, fuzzy_by_edits, fuzzy_by_edits_dropped,
     )
 }
 
+
+
+def _edit_groups(*columns, threshold=0.9):
+    """Greedy groups of the parts: pairs in order, where a row that follows another leads nobody."""
+    tidy = ", ".join(f"lower(trim({c})) AS {c}" for c in columns)
+    near = " AND ".join(
+        f"1.0 - CAST(levenshtein(a.{c}, b.{c}) AS DOUBLE) / greatest(length(a.{c}), length(b.{c})) >= {threshold}" for c in columns
+    )
+    lengths = " AND ".join(f"least(length(a.{c}), length(b.{c})) >= {threshold} * greatest(length(a.{c}), length(b.{c})) - 1e-9" for c in columns)
+    return f"""tidy AS (SELECT p_partkey, {tidy} FROM part),
+reps AS (SELECT min(p_partkey) AS id, {", ".join(columns)} FROM tidy GROUP BY ALL),
+pairs AS (SELECT a.id AS i, b.id AS j FROM reps a JOIN reps b ON a.id < b.id WHERE {lengths} AND {near}),
+followers AS (
+    SELECT unnest(list_reduce(list_prepend(CAST([] AS BIGINT[]), list([CAST(i AS BIGINT), CAST(j AS BIGINT)] ORDER BY i, j)),
+        lambda acc, p: CASE WHEN list_contains(acc, p[1]) OR list_contains(acc, p[2]) THEN acc ELSE list_append(acc, p[2]) END)) AS id FROM pairs
+),
+led AS (SELECT j AS id, min(i) AS leader FROM pairs WHERE i NOT IN (SELECT id FROM followers) GROUP BY j),
+assigned AS (
+    SELECT tidy.p_partkey, coalesce(led.leader, reps.id) AS leader
+    FROM tidy JOIN reps USING ({", ".join(columns)}) LEFT JOIN led ON led.id = reps.id
+),
+groups AS (SELECT p_partkey, leader FROM (SELECT *, count(*) OVER (PARTITION BY leader) AS size FROM assigned) WHERE size > 1)"""
+
+
 _EVENTS = f"(SELECT event_id, ts, user_id, event_type, {EVENT_VALUE} AS value, {EVENT_TYPE} AS kind FROM events)"
 _TITLE = "array_to_string(list_transform(regexp_extract_all(lower({}), '[a-z]+|[^a-z]+'), lambda x: upper(x[1]) || x[2:]), '')"
 _TIDY = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
@@ -540,4 +580,11 @@ ORACLES = {
         {r('coalesce(p.size, b.v, (SELECT avg(size) FROM ' + _NEAREST + '))')} AS size
       FROM {_NEAREST} p LEFT JOIN {_nearest('price', 'size')} a ON a.p_partkey = p.p_partkey
       LEFT JOIN {_nearest('size', 'price')} b ON b.p_partkey = p.p_partkey""",
+    "fuzzy_by_edits": f"WITH {_edit_groups('p_name', 'p_type')} SELECT p_partkey, leader FROM groups",
+    "fuzzy_by_edits_dropped": f"""WITH {_edit_groups('p_name', 'p_brand')}
+      SELECT p_partkey, p_name, p_brand FROM part WHERE p_partkey NOT IN (
+        SELECT p_partkey FROM groups WHERE p_partkey NOT IN (SELECT max(p_partkey) FROM groups GROUP BY leader))""",
+    "iterative_filled_line": f"""SELECT p_partkey, {r('coalesce(price, a + b * p_partkey)', 4)} AS price
+      FROM (SELECT p_partkey, {PRICE_GAPS} AS price FROM part),
+        (SELECT regr_intercept(price, p_partkey) AS a, regr_slope(price, p_partkey) AS b FROM (SELECT p_partkey, {PRICE_GAPS} AS price FROM part))""",
 }

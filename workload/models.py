@@ -596,4 +596,10 @@ ORACLES = {
       row_number() OVER (ORDER BY avg(rank), feature) AS consensus_rank FROM (SELECT feature, rank FROM {_attributions()} UNION ALL
         SELECT feature, row_number() OVER (ORDER BY size DESC, feature) AS rank FROM ({' UNION ALL '.join(
           f"SELECT '{c}' AS feature, abs(corr({c}, l_extendedprice)) AS size FROM lineitem" for c in WEIGHTS)})) GROUP BY feature""",
+    "cross_validation": f"""WITH e AS (SELECT value AS y, CAST(hour(ts) AS DOUBLE) AS h, CAST(user_id AS DOUBLE) AS u,
+        CAST(floor({_hash('event_id', salt='fold42')} * 5) AS BIGINT) AS f FROM events WHERE value IS NOT NULL AND ts IS NOT NULL AND user_id IS NOT NULL),
+      parts AS (SELECT g.i AS fold, e.* FROM e, range(5) AS g(i) WHERE e.f <> g.i),
+      fits AS ({_two_predictors('y', 'h', 'u', 'parts', 'fold')})
+      SELECT (SELECT count(*) FROM e) AS n, fold, {r('1 - avg(pow(y - intercept - b1 * h - b2 * u, 2)) / var_pop(y)', 4)} AS score
+      FROM e JOIN fits ON f = fold GROUP BY fold""",
 }
