@@ -13,6 +13,9 @@ from ..plans.staging import cut
 FUZZY_THRESHOLD = 0.9
 # A key shared by more candidate pairs than this is thinned out by leaders before pairs are formed.
 HOT_PAIRS = 1_000_000
+# Thinning goes on while each round leaves at most this share of the hottest key's pairs. Rows that match nobody
+# lead one by one; then forming the pairs costs less than more rounds. The result is the same either way.
+THINNING_SHARE = 0.9
 
 
 # ---- exact ---------------------------------------------------------------------------------------
@@ -152,16 +155,18 @@ def fuzzy_groups(
 
     open_rows = reps.select("id")
     leaders, early = [], []
-    # The earliest open row leads in every round, so the rounds end.
+    last = None
     while True:
         block = ["lane", *KEYS]
         load = left.groupBy(*block).agg(F.count("*").alias("x"), F.min("id").alias("first")).join(
             right.groupBy(*block).agg(F.count("*").alias("y")), block
         )
         load = cut(load)
-        worst = load.agg(F.max(F.col("x") * F.col("y"))).first()[0]
-        if worst is None or worst <= hot_pairs:
+        # A row meets itself under each of its keys; a key with one left row forms no pair.
+        worst = load.where("x > 1").agg(F.max(F.col("x") * F.col("y"))).first()[0]
+        if worst is None or worst <= hot_pairs or (last is not None and worst > THINNING_SHARE * last):
             break
+        last = worst
         # A row that comes first under all of its keys has no earlier open partner: it leads.
         chosen = cut(
             right.join(load.select(*block, "first"), block).groupBy("id")
