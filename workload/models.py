@@ -196,6 +196,40 @@ def forest_of_classes(spark, folder):
     return rounded(fitted.metrics, 3)
 
 
+def logistic_facts(spark, folder):
+    """The slopes of the likelihood vanish over the training rows; classes are cut at one half."""
+    fitted = m.logistic_regression(
+        _lineitem(spark, folder), "returned", ["l_quantity", "l_extendedprice", "l_discount"], ["l_orderkey", "l_linenumber", "l_quantity"]
+    )
+    train, error = F.col("split") == "train", F.col("score") - F.col("label")
+    return fitted.rows.agg(
+        F.count_if(~train).alias("n_test"), F.count_if(train).alias("n_train"),
+        (F.abs(F.avg(F.when(train, error))) < 1e-4).alias("intercept_settled"),
+        (F.abs(F.avg(F.when(train, error * F.col("l_quantity")))) < 1e-2).alias("slope_settled"),
+        F.bool_and((F.col("score") > 0.5) == (F.col("prediction") == 1)).alias("cut_at_half"),
+    )
+
+
+def forest_facts(spark, folder):
+    """Sizes of the parts; predictions within the training labels; shares of the importances."""
+    fitted = m.random_forest(_lineitem(spark, folder), "l_extendedprice", ["l_quantity", "l_discount"], ["l_orderkey", "l_linenumber"])
+    train, y, p = F.col("split") == "train", F.col("label"), F.col("prediction")
+    mean = fitted.rows.where(train).agg(F.avg("label")).first()[0]
+    return fitted.rows.agg(
+        F.count_if(~train).alias("n_test"), F.count_if(train).alias("n_train"),
+        ((F.min("prediction") >= F.min(F.when(train, y))) & (F.max("prediction") <= F.max(F.when(train, y)))).alias("within_labels"),
+        (F.sum(F.when(train, (y - p) * (y - p))) < F.sum(F.when(train, (y - mean) * (y - mean)))).alias("learned"),
+        F.lit(abs(sum(v for _, v in fitted.importances) - 1) < 1e-9).alias("shares_of_one"),
+    )
+
+
+def experiment_baselines(spark, folder):
+    """The baselines of an experiment, which have a closed form."""
+    found = t.run_experiment(table(spark, folder, "part"), "p_retailprice", ["p_size", "p_partkey"], ["p_partkey"], models=["ridge"])
+    plain = found.metrics.where(F.col("model").isin("dummy", "linear_logistic") & F.col("metric").isin("rmse", "mae", "r2"))
+    return rounded(plain.select("model", "metric", "value").withColumn("best", F.lit(found.best)), 3)
+
+
 def prepared_fit(spark, folder):
     """Impute, create, encode, select, scale and fit."""
     plan = m.FeaturePlan(
@@ -382,7 +416,7 @@ QUERIES = {
         regression_metrics, regression_bands, classification_metrics, classification_metrics_macro, classification_bands,
         metrics_of_labels, logistic_metrics, forest_metrics, forest_of_classes, prepared_fit, components_fit,
         dummy_baseline, dummy_class_baseline, experiment_regression, experiment_classification, experiment_untuned, network_fit,
-        cross_validation,
+        cross_validation, logistic_facts, forest_facts, experiment_baselines,
         best_model, permutation_importance, linear_attributions, sampled_attributions, local_surrogates,
         partial_dependence, linear_dependence, coefficient_table, odds_table, forest_importance, importance_levels,
         top_features, consensus_ranking, explanation_report,
@@ -602,4 +636,16 @@ ORACLES = {
       fits AS ({_two_predictors('y', 'h', 'u', 'parts', 'fold')})
       SELECT (SELECT count(*) FROM e) AS n, fold, {r('1 - avg(pow(y - intercept - b1 * h - b2 * u, 2)) / var_pop(y)', 4)} AS score
       FROM e JOIN fits ON f = fold GROUP BY fold""",
+    "logistic_facts": f"""SELECT count(*) FILTER (WHERE s < 0.2) AS n_test, count(*) FILTER (WHERE s >= 0.2) AS n_train, true AS intercept_settled,
+      true AS slope_settled, true AS cut_at_half FROM (SELECT {_hash('l_orderkey', 'l_linenumber', 'l_quantity')} AS s FROM lineitem)""",
+    "forest_facts": f"""SELECT count(*) FILTER (WHERE {_TEST}) AS n_test, count(*) FILTER (WHERE NOT {_TEST}) AS n_train, true AS within_labels,
+      true AS learned, true AS shares_of_one FROM lineitem""",
+    "experiment_baselines": f"""WITH e AS (SELECT 1 AS g, p_retailprice AS y, CAST(p_size AS DOUBLE) AS a, CAST(p_partkey AS DOUBLE) AS b, {_hash('p_partkey')} AS s FROM part),
+      train AS (SELECT * FROM e WHERE s >= 0.35),
+      fit AS ({_two_predictors('y', 'a', 'b', 'train', 'g')}),
+      scored AS (
+        SELECT 'dummy' AS model, y, (SELECT avg(y) FROM train) AS p FROM e WHERE s < 0.2
+        UNION ALL SELECT 'linear_logistic', y, intercept + b1 * a + b2 * b FROM e, fit WHERE s < 0.2),
+      found AS (SELECT model, sqrt(avg(pow(y - p, 2))) AS rmse, avg(abs(y - p)) AS mae, 1 - avg(pow(y - p, 2)) / var_pop(y) AS r2 FROM scored GROUP BY model)
+      SELECT model, unnest(['rmse', 'mae', 'r2']) AS metric, unnest([{r('rmse', 3)}, {r('mae', 3)}, {r('r2', 3)}]) AS value, 'ridge' AS best FROM found""",
 }
