@@ -11,6 +11,8 @@ TASK_ROWS = 4_000_000
 BUFFER_VALUES = 1_000_000
 # Rows up to which a table of statistics or a dictionary is sent to every executor.
 BROADCAST_ROWS = 100_000
+# Bytes of text in such a table up to which the same holds.
+BROADCAST_BYTES = 32 << 20
 
 
 def same_keys(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -18,9 +20,20 @@ def same_keys(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]
     return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in pairs])
 
 
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has few rows and little text; at most one row more than ``rows`` is looked at."""
+    text = F.lit(0).cast("long")
+    for place, field in enumerate(df.schema.fields):
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            text = text + F.coalesce(F.octet_length(F.col(f"_{place}")), F.lit(0))
+    places = df.toDF(*[f"_{place}" for place in range(len(df.columns))])
+    facts = places.select(text.alias("bytes")).limit(rows + 1).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    return facts["n"] <= rows and (facts["bytes"] or 0) <= BROADCAST_BYTES
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if a count shows that it is small; Spark joins by shuffle otherwise."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """``df`` marked for broadcast if its rows and their text are few; Spark joins by shuffle otherwise."""
+    return F.broadcast(df) if fits_broadcast(df, rows) else df
 
 
 def attach(
@@ -29,7 +42,7 @@ def attach(
     """Add each segment's statistics to its rows.
 
     Without segments there is exactly one row of statistics, which becomes literals. With segments
-    the number of segments is counted (a scan of the key columns only): few of them are broadcast,
+    the segments and the bytes of their text are counted (a scan of keys and text only): few are broadcast,
     so the rows need no shuffle; many are joined by shuffle, where Spark splits skewed segments.
     ``few`` skips the count: True for a known bound, False to leave the choice to Spark.
     """
@@ -41,7 +54,8 @@ def attach(
         *[F.col(k).alias(f"__{k}") for k in by], *[F.col(c) for c in stats.columns if c not in by]
     )
     if few is None:
-        few = stats.select(*by).limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        texts = [f.name for f in stats.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in by]
+        few = fits_broadcast(stats.select(*by, *[stats[f"`{c}`"] for c in texts]))
     if few:
         keyed = F.broadcast(keyed)
     joined = rows.join(keyed, same_keys(rows, keyed, [(k, f"__{k}") for k in by]), how)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import clean, dedup, neighbours
-from plumbline.plans import similar
+from plumbline.plans import segments, similar
 
 
 def edited(rng, text, edits):
@@ -142,3 +142,21 @@ def test_similarity_runs_over_distinct_texts_only(spark):
     rows = [(i, "same text") for i in range(400)] + [(1000 + i, w) for i, w in enumerate(words(8, 20, 10))]
     found = dedup.fuzzy_groups(spark.createDataFrame(rows, "id long, name string"), "id", ["name"], 0.9)
     assert found.where(F.col("leader") == 0).count() >= 400
+
+
+def test_wide_text_is_not_broadcast(spark, monkeypatch):
+    lookup = spark.createDataFrame([("a" * 30, 1), (None, 2)], "`a.b` string, n long")
+    plan = lambda df: df._jdf.queryExecution().logical().toString().lower()
+    assert "hint" in plan(segments.small(lookup))
+    assert "hint" not in plan(segments.small(lookup, rows=1))
+    monkeypatch.setattr(segments, "BROADCAST_BYTES", 20)
+    assert "hint" not in plan(segments.small(lookup))
+
+
+def test_groups_by_edits(spark):
+    rows = ["abcdefghij", "abcdefghix", "jihgfedcba", "abcdefgh"]
+    data = spark.createDataFrame(list(enumerate(rows)), "id long, name string")
+    found = dedup.fuzzy_groups(data, "id", ["name"], 0.9, form="levenshtein")
+    assert {r["id"]: r["leader"] for r in found.collect()} == {0: 0, 1: 0}
+    with pytest.raises(ValueError):
+        dedup.fuzzy_groups(data, "id", ["name"], 0.9, form="other")
