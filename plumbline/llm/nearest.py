@@ -20,7 +20,7 @@ ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 @dataclass
 class Coder:
-    """Rotation to binary codes, and the Hamming radius that reaches the nearest vectors."""
+    """Rotation to binary codes, and the Hamming radius that most searches begin and end with."""
 
     mean: np.ndarray
     turn: np.ndarray
@@ -29,10 +29,13 @@ class Coder:
     def codes(self, vectors: np.ndarray) -> np.ndarray:
         return np.packbits((vectors - self.mean) @ self.turn > 0, axis=1)
 
-    def reach(self) -> list[int]:
-        """Bits that may differ in each substring: codes within the radius agree that well in one at least."""
-        whole, more = divmod(self.radius, TABLES)
-        return [min(whole if t <= more else whole - 1, WIDTH) for t in range(TABLES)]
+
+def reach_of(radius: int) -> list[int]:
+    """Bits that may differ in each substring: codes within the radius agree that well in one at least; -1 where no probe is needed."""
+    whole, more = divmod(radius, TABLES)
+    if whole >= WIDTH:  # the first table has everything
+        return [WIDTH] + [-1] * (TABLES - 1)
+    return [whole if t <= more else whole - 1 for t in range(TABLES)]
 
 
 def learn(sample: np.ndarray, k: int, seed: int = 7) -> Coder:
@@ -72,9 +75,11 @@ def nearest(rows: DataFrame, query: Column, k: int = 10, key: str = "vec_id", ve
 
     Codes of 64 bits come from a rotation learned on ``sample`` vectors. Each of their eight bytes has a
     table. A query probes every table entry that differs in so few bits that, by the pigeonhole principle, it
-    meets every code within the learned Hamming radius; a code is looked at in the first table that gives it
-    away. What lies within the radius is ranked by its floats. Entries of more than 4,096 vectors or queries
-    are split into blocks. The index holds each distinct vector eight times, once per table.
+    meets every code within a Hamming radius; a code is looked at in the first table that gives it away. What
+    lies within the radius is ranked by its floats. The first radius is the learned one; queries that meet fewer
+    than ``k`` other rows there, or than there are, go through rounds with a radius wider by a bit per table,
+    up to all bits, until none is short. Entries of more than 4,096 vectors or queries are split into blocks. The
+    index holds each distinct vector eight times, once per table.
     """
     shape = rows.schema[vector].dataType
     kind = "<f4" if isinstance(shape.elementType, T.FloatType) else "<f8"
@@ -98,16 +103,15 @@ def nearest(rows: DataFrame, query: Column, k: int = 10, key: str = "vec_id", ve
     chance = F.pmod(F.xxhash64("class"), F.lit(1 << 40)) / float(1 << 40)
     drawn = classes.where(chance < 2 * sample / max(classes.count(), 1)).orderBy(chance, "class").limit(sample).select("vector").collect()
     coder = learn(np.array([r["vector"] for r in drawn], np.float64), k)
-    reach = coder.reach()
-    masks = [[m for m in range(256) if ONES[m] <= r] for r in reach]
-
-    def entries(batches, probing: bool):
+    def entries(batches, masks: list[list[int]]):
         for batch in batches:
             ids, vectors = batch.column("class").to_numpy(), np.stack(batch.column("vector").to_numpy(zero_copy_only=False)).astype(kind)
             codes = coder.codes(vectors.astype(np.float64))
             raw, code = [v.tobytes() for v in vectors], [c.tobytes() for c in codes]
             for table in range(TABLES):
-                flips = masks[table] if probing else [0]
+                flips = masks[table]
+                if not flips:
+                    continue
                 for start in range(0, len(ids), 256):
                     part = slice(start, start + 256)
                     values = (codes[part, table][:, None] ^ np.array(flips, np.uint8)[None, :]).astype(np.int32)
@@ -119,45 +123,65 @@ def nearest(rows: DataFrame, query: Column, k: int = 10, key: str = "vec_id", ve
 
     layout = "id long, entry int, code binary, raw binary"
     vectors = classes.select("class", "vector")
-    index = vectors.mapInArrow(lambda b: entries(b, False), layout)
-    probes = classes.where("asks").select("class", "vector").mapInArrow(lambda b: entries(b, True), layout)
-    fill, asked = _blocks(index), _blocks(probes)
-    cells = _spread(probes, asked, fill).groupBy("entry", "asked", "fill").cogroup(_spread(index, fill, asked, own="fill", other="asked").groupBy("entry", "asked", "fill"))
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query": [], "found": [], "away": []}
-        if left.num_rows and right.num_rows:
-            table = left.column("entry")[0].as_py() // 256
-            ids = right.column("id").to_numpy()
-            order = np.argsort(ids)
-            ids = ids[order]
-            codes = _stacked(right, "code", np.uint8)[order]
-            floats = _stacked(right, "raw", kind)[order].astype(np.float64)
-            asking, own = _stacked(left, "code", np.uint8), _stacked(left, "raw", kind).astype(np.float64)
-            for i, query in enumerate(left.column("id").to_pylist()):
-                bits = ONES[codes ^ asking[i]]
-                hit = bits.sum(1) <= coder.radius
-                for earlier in range(table):
-                    hit &= bits[:, earlier] > reach[earlier]
-                hit = np.flatnonzero(hit)
-                if not len(hit):
-                    continue
-                away = np.sqrt(((floats[hit] - own[i]) ** 2).sum(1))
-                best = np.argsort(away, kind="stable")[: k + 1]
-                out["query"].append(query)
-                out["found"].append(ids[hit[best]].tolist())
-                out["away"].append(away[best].tolist())
-        return pa.table(out, pa.schema([("query", pa.int64()), ("found", pa.list_(pa.int64())), ("away", pa.list_(pa.float64()))]))
-
-    near = cells.applyInArrow(compare, "query long, found array<long>, away array<double>")
-    # a query meets at most 8 * 256 entries times the blocks, and has k + 1 rows from each
-    near = near.select("query", F.explode(F.arrays_zip("found", "away")).alias("hit")).select("query", "hit.found", "hit.away")
-    near = near.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("away", "found"))).where(F.col("place") <= k + 1)
-    answers = (
-        near.join(classes.select(F.col("class").alias("found"), "ids"), "found")
-        .select("query", "away", F.explode("ids").alias("id")).groupBy("query")
-        .agg(F.slice(F.sort_array(F.collect_list(F.struct("away", "id"))), 1, k + 1).alias("hits"))
-    )
+    index = vectors.mapInArrow(lambda b: entries(b, [[0]] * TABLES), layout)
+    fill = _blocks(index)
+
+    def within(asking: DataFrame, radius: int) -> DataFrame:
+        """The nearest rows, its own among them, that each class of ``asking`` has within the radius: ``query``, ``hits``."""
+        reach = reach_of(radius)
+        masks = [[m for m in range(256) if ONES[m] <= r] for r in reach]
+        probes = asking.select("class", "vector").mapInArrow(lambda b: entries(b, masks), layout)
+        asked = _blocks(probes)
+        cells = _spread(probes, asked, fill).groupBy("entry", "asked", "fill").cogroup(_spread(index, fill, asked, own="fill", other="asked").groupBy("entry", "asked", "fill"))
+
+        def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = {"query": [], "found": [], "away": []}
+            if left.num_rows and right.num_rows:
+                table = left.column("entry")[0].as_py() // 256
+                ids = right.column("id").to_numpy()
+                order = np.argsort(ids)
+                ids = ids[order]
+                codes = _stacked(right, "code", np.uint8)[order]
+                floats = _stacked(right, "raw", kind)[order].astype(np.float64)
+                asking, own = _stacked(left, "code", np.uint8), _stacked(left, "raw", kind).astype(np.float64)
+                for i, query in enumerate(left.column("id").to_pylist()):
+                    bits = ONES[codes ^ asking[i]]
+                    hit = bits.sum(1) <= radius
+                    for earlier in range(table):
+                        hit &= bits[:, earlier] > reach[earlier]
+                    hit = np.flatnonzero(hit)
+                    if not len(hit):
+                        continue
+                    away = np.sqrt(((floats[hit] - own[i]) ** 2).sum(1))
+                    best = np.argsort(away, kind="stable")[: k + 1]
+                    out["query"].append(query)
+                    out["found"].append(ids[hit[best]].tolist())
+                    out["away"].append(away[best].tolist())
+            return pa.table(out, pa.schema([("query", pa.int64()), ("found", pa.list_(pa.int64())), ("away", pa.list_(pa.float64()))]))
+
+        near = cells.applyInArrow(compare, "query long, found array<long>, away array<double>")
+        # a query meets at most 8 * 256 entries times the blocks, and has k + 1 rows from each
+        near = near.select("query", F.explode(F.arrays_zip("found", "away")).alias("hit")).select("query", "hit.found", "hit.away")
+        near = near.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("away", "found"))).where(F.col("place") <= k + 1)
+        return (
+            near.join(classes.select(F.col("class").alias("found"), "ids"), "found")
+            .select("query", "away", F.explode("ids").alias("id")).groupBy("query")
+            .agg(F.slice(F.sort_array(F.collect_list(F.struct("away", "id"))), 1, k + 1).alias("hits"))
+        )
+
+    # the own row counts, so that a class has enough with one more than k, or with all there are
+    enough = min(k + 1, classes.agg(F.sum(F.size("ids"))).first()[0])
+    radius, short, answers = coder.radius, classes.where("asks").select("class", "vector"), None
+    while True:
+        found = cut(within(short, radius))
+        full = found if radius == TABLES * WIDTH else found.where(F.size("hits") >= enough)
+        answers = full if answers is None else answers.union(full)
+        if radius == TABLES * WIDTH:
+            break
+        short = cut(short.join(full.select(F.col("query").alias("class")), "class", "left_anti"))
+        if short.isEmpty():
+            break
+        radius = min(radius + TABLES, TABLES * WIDTH)
     asking = valid.where("asks").select(F.col("id").alias("query_id"), "vector").join(classes.where("asks").select("vector", "class"), "vector")
     return (
         asking.select("query_id", F.col("class").alias("query")).join(answers, "query")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,24 @@ def test_vectors_that_take_no_part(spark):
     assert [r.vec_id for r in found if r.query_id == 700] == [0, 701, 702, 703, 704] and {r.score for r in found} == {0.0}
     assert nearest.nearest(table.where("false"), F.col("vec_id") >= 0).collect() == []
     assert nearest.nearest(table.where("vec_id = 7"), F.col("vec_id") >= 0).collect() == []
+
+
+@pytest.mark.parametrize("size", [8, 11, 1_500])
+def test_lone_vectors_have_all_their_neighbours(spark, size):
+    """Dense groups make the learned radius small; what lies outside of them, and tiny tables, still get 10 rows or all."""
+    draw = np.random.default_rng(size)
+    centres = draw.normal(size=(7, 24))
+    lone = range(0, size, 30) if size > 100 else range(size)
+    points = [(i, (draw.normal(size=24) if i in lone else centres[i % 7] + 1e-4 * draw.normal(size=24)).tolist()) for i in range(size)]
+    table = spark.createDataFrame(points, "vec_id long, embedding array<double>")
+    asked = [i for i in range(size) if i % 2 == 0]
+    found = nearest.nearest(table, F.col("vec_id") % 2 == 0).collect()
+    ranks = {i: sorted(r["rank"] for r in found if r.query_id == i) for i in asked}
+    assert all(ranks[i] == list(range(1, min(10, size - 1) + 1)) for i in asked)
+    assert all(r.query_id != r.vec_id for r in found)
+    vectors = np.array([v for _, v in points])
+    hits = sum(
+        len(set(np.argsort(((vectors - vectors[i]) ** 2).sum(1), kind="stable")[1:11]) & {r.vec_id for r in found if r.query_id == i})
+        for i in asked if i in lone
+    )
+    assert hits >= 0.8 * min(10, size - 1) * sum(i in lone for i in asked)
