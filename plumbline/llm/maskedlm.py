@@ -12,8 +12,10 @@ from plumbline.plans.staging import scratch_path
 CLASSES, RARE = 256, 64
 # Tokens seen on each side, and sizes of the embedding and the hidden layer.
 SIDE, EMBEDDING, HIDDEN = 3, 8, 32
-# One token in so many is masked in a training round; every document takes part in each round.
+# One token in so many is masked in a training round.
 MASKED, ROUNDS, BATCH, RATE = 16, 2, 512, 0.01
+# Words whose counts go to all tasks; the others meet theirs in a join.
+SPREAD = 65_536
 # Weights averaged in one task.
 FAN_IN = 64
 
@@ -50,7 +52,7 @@ class Network:
         """One step of Adam on the mean negative log-probability."""
         table, inner, bias, outer, base = self.parts
         x, hidden, scores = self._forward(around)
-        slope = np.exp(scores)
+        slope = np.exp(scores, out=scores)
         slope /= slope.sum(1, keepdims=True)
         slope[np.arange(len(token)), token] -= 1
         slope /= len(token)
@@ -78,75 +80,148 @@ def neighbours(tokens: np.ndarray, doc_starts: np.ndarray, at: np.ndarray) -> np
 def pseudo_likelihood(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """``docs`` with ``n_tokens``, ``log_likelihood`` and ``per_token``.
 
-    Tokens are words, as classes: the most frequent of the corpus have one each, all others share ``RARE``
-    classes by a hash. ``log_likelihood`` sums, over all tokens of the whole text, the log-probability of the
-    token's class given three tokens on either side; ``per_token`` is its mean. Null texts and texts without a
-    word have 0 tokens, a sum of 0 and no mean.
+    Tokens are words. ``log_likelihood`` sums, over all tokens of the whole text, the log-probability of the
+    token given three tokens on either side; ``per_token`` is its mean. Null texts and texts without a word
+    have 0 tokens, a sum of 0 and no mean.
 
-    Word counts cover the corpus. In each round every partition trains from the common weights on one masked
-    token in ``MASKED`` of all its documents, at places that change with the round; weights are averaged by
-    tokens, ``FAN_IN`` at a time. What the driver receives is the vocabulary and at most ``FAN_IN`` sets of
-    weights. Equal texts get equal scores, up to
-    rounding in single precision. Columns of ``docs`` with the name of an added one are replaced.
+    The probability of a word is that of its class, by the network, times that of the word in its class. The most
+    frequent words have a class each, all others share ``RARE`` classes by a hash, where a word has its share of
+    the class's tokens in the corpus. All words of the corpus are counted and told apart, whatever their number:
+    counts of about ``SPREAD`` frequent words go to all tasks, those of the rest are joined.
+
+    In each round every partition trains from the common weights on one masked token in ``MASKED``, at places
+    that change with the round. Weights are averaged by tokens, ``FAN_IN`` at a time. What the driver receives is at most
+    ``SPREAD`` words, the sums of the classes and ``FAN_IN`` sets of weights. Equal texts get equal scores. Columns of
+    ``docs`` with the name of an added one are replaced.
     """
     spark = docs.sparkSession
     rest = docs.drop("n_tokens", "log_likelihood", "per_token")
     rows, (text,) = positional(rest, text)
-    vocabulary = _vocabulary(rows.select(F.col(text).alias("text")))
+    texts = rows.select(F.col(text).alias("text"), *_digest(text)).where(F.col("text").isNotNull())
+    folder = scratch_path(spark, "words")
+    _counted(texts.select("text")).write.parquet(folder)
+    counts = spark.read.parquet(folder)
+    top = counts.orderBy(F.desc("n"), "word").limit(CLASSES - RARE - 1).select("word").collect()
+    known = np.sort(np.array([r["word"] for r in top], np.int64))
+    totals = _rare_totals(counts, known)
+    spread = _frequent(counts, SPREAD).collect()
+    listed = np.array(sorted((r["word"], r["n"]) for r in spread), np.int64).reshape(-1, 2)
+    sent = spark.sparkContext.broadcast((known, totals, listed))
 
     def encode(batches):
-        known = np.sort(vocabulary)
-        for batch in text_slices(batches, text):
-            words = Words(batch.column(text))
-            classes = _classes(words.hashes(), known).astype(np.uint8)
-            coded = [classes[a:b].tobytes() for a, b in zip(words.first[:-1], words.first[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(coded, pa.binary())], ["coded"])
-
-    # classes of the words, one byte each, are all that training needs
+        known, totals, listed = sent.value
+        logs = np.log(listed[:, 1])
+        for batch in text_slices(batches):
+            words = Words(batch.column("text"))
+            hashes = words.hashes()
+            classes = _classes(hashes, known)
+            coded = classes.astype(np.uint8)
+            rare = classes <= RARE
+            place, hit = _found(hashes, listed[:, 0])
+            own = np.zeros(len(hashes))
+            own[hit] = logs[place[hit]]
+            own = np.where(rare, own - totals[classes], 0)
+            sums = [float(own[a:b].sum()) for a, b in zip(words.first[:-1], words.first[1:])]
+            left = rare & ~hit
+            ends = np.concatenate([[0], np.cumsum(left)])[words.first].astype(np.int32)
+            others = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.view(np.int64)[left], pa.int64()))
+            yield pa.RecordBatch.from_arrays([
+                batch.column("one"), batch.column("two"), pa.array([coded[a:b].tobytes() for a, b in zip(words.first[:-1], words.first[1:])], pa.binary()),
+                pa.array(sums, pa.float64()), others,
+            ], ["one", "two", "coded", "inside", "others"])
+
+    # classes of the words, one byte each, are all that training and scoring need
     folder = scratch_path(spark, "classes")
-    rows.select(text).mapInArrow(encode, "coded binary").write.option("compression", "zstd").parquet(folder)
+    texts.mapInArrow(encode, "one long, two long, coded binary, inside double, others array<long>").write.option("compression", "zstd").parquet(folder)
     corpus = spark.read.parquet(folder)
     weights = Network().weights
     for number in range(rounds):
-        weights = _round(corpus, weights, number)
-    sent = spark.sparkContext.broadcast((weights, np.sort(vocabulary)))
-    added = [T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType())]
+        weights = _round(corpus.select("coded"), weights, number)
+    learned = spark.sparkContext.broadcast(weights)
 
     def score(batches):
-        weights, known = sent.value
-        network = Network(weights)
-        for batch in text_slices(batches, text, 1 << 20):
-            words = Words(batch.column(text))
-            classes = _classes(words.hashes(), known)
-            values = np.zeros(len(classes) + 1)
-            for start in range(0, len(classes), 8_192):
-                at = np.arange(start, min(start + 8_192, len(classes)))
-                values[at + 1] = network.log_probabilities(neighbours(classes, words.first, at), classes[at])
-            sums = [float(values[a + 1 : b + 1].sum()) for a, b in zip(words.first[:-1], words.first[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words.counts.astype(np.int64)), pa.array(sums, pa.float64())], [*batch.schema.names, "n_tokens", "log_likelihood"])
-
-    scored = rows.mapInArrow(score, T.StructType([*rows.schema.fields, *added]))
-    scored = scored.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
-    return scored.toDF(*rest.columns, "n_tokens", "log_likelihood", "per_token")
-
-
-def _vocabulary(texts: DataFrame) -> np.ndarray:
-    """Hashes of the most frequent words, most frequent first; ties go to the smaller hash."""
+        network = Network(learned.value)
+        for batch in text_slices(batches, "coded", 1 << 18):
+            tokens, starts = raw_bytes(batch.column("coded"))
+            tokens = tokens.astype(np.int64)
+            values = np.zeros(len(tokens))
+            for start in range(0, len(tokens), 2_048):
+                at = np.arange(start, min(start + 2_048, len(tokens)))
+                values[at] = network.log_probabilities(neighbours(tokens, starts, at), tokens[at])
+            sums = [float(values[a:b].sum()) for a, b in zip(starts[:-1], starts[1:])]
+            sums = np.array(sums, np.float64) + batch.column("inside").to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("one"), batch.column("two"), pa.array(np.ones(len(sums), np.int64)), pa.array(np.diff(starts).astype(np.int64)), pa.array(sums)],
+                ["one", "two", "copies", "tokens", "value"],
+            )
+
+    # the words whose counts were not sent; a word met once adds log(1)
+    shares = corpus.select("one", "two", F.explode("others").alias("word")).join(counts.where(F.col("n") > 1), "word")
+    shares = shares.select("one", "two", F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("tokens"), F.log(F.col("n").cast("double")).alias("value"))
+    scored = corpus.select("one", "two", "coded", "inside").mapInArrow(score, "one long, two long, copies long, tokens long, value double").union(shares)
+    scored = scored.groupBy("one", "two").agg(F.sum("copies").alias("copies"), F.sum("tokens").alias("tokens"), F.sum("value").alias("value"))
+    folder = scratch_path(spark, "scores")
+    scored.select("one", "two", (F.col("tokens") / F.col("copies")).cast("long").alias("tokens"), (F.col("value") / F.col("copies")).alias("value")).write.parquet(folder)
+    scored = spark.read.parquet(folder)
+    one, two = _digest(text)
+    out = rows.withColumns({"__one": F.when(F.col(text).isNotNull(), one), "__two": two}).join(scored, (F.col("__one") == F.col("one")) & (F.col("__two") == F.col("two")), "left")
+    tokens, value = F.coalesce("tokens", F.lit(0)).cast("long"), F.coalesce("value", F.lit(0.0))
+    return out.select(*rows.columns, tokens, value, F.when(tokens > 0, value / tokens)).toDF(*rest.columns, "n_tokens", "log_likelihood", "per_token")
+
+
+def _digest(text: str) -> list:
+    """128 bits that stand for a text."""
+    return [F.xxhash64(F.col(text)).alias("one"), F.xxhash64(F.lit(1), F.col(text)).alias("two")]
+
+
+def _counted(texts: DataFrame) -> DataFrame:
+    """How often each word occurs: ``word`` (its hash) and ``n``."""
     def count(batches):
         for batch in text_slices(batches):
             found, number = np.unique(Words(batch.column("text")).hashes().view(np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(number.astype(np.int64))], ["word", "n"])
 
-    counts = texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(CLASSES - RARE - 1).collect()
-    return np.array([r["word"] for r in top], np.int64)
+    return texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _classes(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+def _frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words above a count that at most ``most`` words reach."""
+    level = F.floor(F.log2(F.col("n").cast("double")) * 8)
+    least, words = None, 0
+    for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("level")).collect():
+        words += r["words"]
+        if words > most:
+            break
+        least = r["least"]
+    return counts.where(F.lit(False) if least is None else F.col("n") >= least)
+
+
+def _rare_totals(counts: DataFrame, known: np.ndarray) -> np.ndarray:
+    """The logarithm of the tokens of each class of several words."""
+    def total(batches):
+        sums = np.zeros(CLASSES, np.int64)
+        for batch in batches:
+            classes = _classes(batch.column("word").to_numpy().view(np.uint64), known)
+            np.add.at(sums, classes, batch.column("n").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, RARE + 1)), pa.array(sums[1 : RARE + 1])], ["class", "n"])
+
+    sums = np.ones(CLASSES)
+    for r in counts.mapInArrow(total, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():
+        sums[r["class"]] = max(r["n"], 1)
+    return np.log(sums)
+
+
+def _found(hashes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each hash among the sorted ``known``, and whether it is there."""
     signed = hashes.view(np.int64)
     place = np.searchsorted(known, signed)
     hit = place < len(known)
     hit[hit] = known[place[hit]] == signed[hit]
+    return place, hit
+
+
+def _classes(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    place, hit = _found(hashes, known)
     return np.where(hit, RARE + 1 + place, 1 + (mixed(hashes) % np.uint64(RARE)).astype(np.int64))
 
 
@@ -154,7 +229,7 @@ def _round(corpus: DataFrame, weights: np.ndarray, number: int) -> np.ndarray:
     """One pass of all partitions from the same weights, and the average of what they learned."""
     def train(batches):
         network, seen, held = Network(weights.copy()), 0, None
-        for batch in text_slices(batches, "coded", 1 << 20):
+        for batch in text_slices(batches, "coded", 1 << 18):
             tokens, starts = raw_bytes(batch.column("coded"))
             tokens = tokens.astype(np.int64)
             place = np.arange(len(tokens), dtype=np.uint64) + np.uint64(seen)

@@ -3,11 +3,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plumbline.llm import bytebpe, jaccard, language, maskedlm, nearest, packing, repetition, shards, substrings, tokencounts
+from plumbline.llm.text import Words
 
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, n_words string, kept string, shard string, doc string, row long, "
@@ -141,3 +143,17 @@ def test_lone_vectors_have_all_their_neighbours(spark, size):
         for i in asked if i in lone
     )
     assert hits >= 0.8 * min(10, size - 1) * sum(i in lone for i in asked)
+
+
+def test_words_of_one_class_have_their_own_probability(spark):
+    words = [f"w{i}" for i in range(400)]
+    classes = maskedlm._classes(Words(pa.array(words, pa.large_string())).hashes(), np.zeros(0, np.int64))
+    common, seldom = next((a, b) for i, a in enumerate(words) for j, b in enumerate(words[:i]) if classes[i] == classes[j])
+    filler = " ".join(f"f{i}" for i in range(maskedlm.CLASSES))
+    texts = [*[filler] * 30, *[f"f1 f2 {common} f3 f4"] * 12, *[f"f1 f2 {seldom} f3 f4"] * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for spread in (maskedlm.SPREAD, maskedlm.CLASSES - 1):  # counts at hand, and joined
+        maskedlm.SPREAD, before = spread, maskedlm.SPREAD
+        found = {r.text: r.log_likelihood for r in maskedlm.pseudo_likelihood(docs).collect()}
+        maskedlm.SPREAD = before
+        assert found[texts[30]] - found[texts[-1]] == pytest.approx(np.log(12 / 3), abs=1e-4)
