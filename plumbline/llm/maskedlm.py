@@ -12,8 +12,8 @@ from plumbline.plans.staging import scratch_path
 CLASSES, RARE = 256, 64
 # Tokens seen on each side, and sizes of the embedding and the hidden layer.
 SIDE, EMBEDDING, HIDDEN = 3, 8, 32
-# One token in so many is masked in a training round.
-MASKED, ROUNDS, BATCH, RATE = 16, 2, 512, 0.01
+# The rounds of training share all tokens out: each is the target of one round.
+ROUNDS, BATCH, RATE = 2, 512, 0.01
 # Words whose counts go to all tasks; the others meet theirs in a join.
 SPREAD = 65_536
 # Weights averaged in one task.
@@ -89,8 +89,8 @@ def pseudo_likelihood(docs: DataFrame, text: str = "text", rounds: int = ROUNDS)
     the class's tokens in the corpus. All words of the corpus are counted and told apart, whatever their number:
     counts of about ``SPREAD`` frequent words go to all tasks, those of the rest are joined.
 
-    In each round every partition trains from the common weights on one masked token in ``MASKED``, at places
-    that change with the round. Weights are averaged by tokens, ``FAN_IN`` at a time. What the driver receives is at most
+    In each round every partition trains from the common weights; each token is the target in one of the
+    ``rounds``. Weights are averaged by tokens, ``FAN_IN`` at a time. What the driver receives is at most
     ``SPREAD`` words, the sums of the classes and ``FAN_IN`` sets of weights. Equal texts get equal scores. Columns of
     ``docs`` with the name of an added one are replaced.
     """
@@ -136,7 +136,7 @@ def pseudo_likelihood(docs: DataFrame, text: str = "text", rounds: int = ROUNDS)
     corpus = spark.read.parquet(folder)
     weights = Network().weights
     for number in range(rounds):
-        weights = _round(corpus.select("coded"), weights, number)
+        weights = _round(corpus.select("coded"), weights, number, rounds)
     learned = spark.sparkContext.broadcast(weights)
 
     def score(batches):
@@ -220,20 +220,24 @@ def _found(hashes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return place, hit
 
 
+def targets(places: np.ndarray, number: int, rounds: int) -> np.ndarray:
+    """Which places round ``number`` predicts; the rounds part all places among them."""
+    return np.flatnonzero(mixed(places.astype(np.uint64)) % np.uint64(rounds) == number)
+
+
 def _classes(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
     place, hit = _found(hashes, known)
     return np.where(hit, RARE + 1 + place, 1 + (mixed(hashes) % np.uint64(RARE)).astype(np.int64))
 
 
-def _round(corpus: DataFrame, weights: np.ndarray, number: int) -> np.ndarray:
+def _round(corpus: DataFrame, weights: np.ndarray, number: int, rounds: int) -> np.ndarray:
     """One pass of all partitions from the same weights, and the average of what they learned."""
     def train(batches):
         network, seen, held = Network(weights.copy()), 0, None
         for batch in text_slices(batches, "coded", 1 << 18):
             tokens, starts = raw_bytes(batch.column("coded"))
             tokens = tokens.astype(np.int64)
-            place = np.arange(len(tokens), dtype=np.uint64) + np.uint64(seen)
-            at = np.flatnonzero(mixed(place * np.uint64(MASKED) + np.uint64(number)) % np.uint64(MASKED) == 0)
+            at = targets(np.arange(seen, seen + len(tokens)), number, rounds)
             seen += len(tokens)
             pairs = neighbours(tokens, starts, at), tokens[at]
             held = pairs if held is None else tuple(np.concatenate(p) for p in zip(held, pairs))

@@ -157,3 +157,9 @@ def test_words_of_one_class_have_their_own_probability(spark):
         found = {r.text: r.log_likelihood for r in maskedlm.pseudo_likelihood(docs).collect()}
         maskedlm.SPREAD = before
         assert found[texts[30]] - found[texts[-1]] == pytest.approx(np.log(12 / 3), abs=1e-4)
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 5])
+def test_every_token_is_a_target_once(rounds):
+    parts = [maskedlm.targets(np.arange(7_000), number, rounds) for number in range(rounds)]
+    assert sorted(np.concatenate(parts).tolist()) == list(range(7_000))
