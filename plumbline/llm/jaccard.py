@@ -15,10 +15,10 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, BAND = 32, 5
 # MinHash values compared at a time, and the posterior chance of reaching the threshold below which a pair is dropped.
 STEP, TOLERANCE = 32, 1e-7
-# Documents of one bucket, and shingles of one cluster, that meet in a task; larger ones are dealt in blocks.
+# Documents of one bucket or cluster, and shingles of one cluster, that meet in a task; larger ones are dealt in blocks.
 BUCKET, CELL = 2_048, 300_000
-# Columns of an incidence matrix held at a time.
-WIDE = 8_192
+# Rows of a product of incidence matrices, and numbers of such a matrix, held at a time.
+STRIPE, HELD = 256, 1 << 23
 
 _random = np.random.default_rng(99)
 FACTORS = _random.integers(0, 2**63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -155,10 +155,10 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     clusters = clusters.select("node", F.col("root").alias("cluster"))
     clusters = clusters.union(clusters.select(F.col("cluster").alias("node"), "cluster").distinct())
     inside = clusters.join(chosen.select("node", "copies", "n", "doc", "row"), "node")
-    weights = inside.groupBy("cluster").agg(F.sum("n").alias("shingles"))
+    weights = inside.groupBy("cluster").agg(F.sum("n").alias("shingles"), F.count("*").alias("nodes"))
     inside = inside.join(weights, "cluster")
-    texts = body.join(inside, ["doc", "row"]).select("node", "cluster", "copies", "shingles", "text")
-    cells = _blocks(texts, F.ceil(F.col("shingles") / CELL)).select("cluster", "one", "two", "own", "node", "copies", "text")
+    texts = body.join(inside, ["doc", "row"]).select("node", "cluster", "copies", "shingles", "nodes", "text")
+    cells = _blocks(texts, F.greatest(F.ceil(F.col("shingles") / CELL), F.ceil(F.col("nodes") / BUCKET))).select("cluster", "one", "two", "own", "node", "copies", "text")
     cells = cells.repartition("cluster", "one", "two").sortWithinPartitions("cluster", "one", "two")
     folder = scratch_path(spark, "links")
     cells.mapInArrow(lambda b: _verified(b, threshold, size), "node long, root long, links long").write.parquet(folder)
@@ -257,25 +257,32 @@ def _survivors(batches, fewest: list[tuple[int, int]]):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def common_shingles(grams: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    """The number of shingles that each two sets share, from products of incidence matrices a stretch of shingles at a time."""
+def common_shingles(grams: np.ndarray, firsts: np.ndarray):
+    """Row by row, in stripes: the first row, and the number of shingles that each set of the stripe shares with every set.
+
+    Products of incidence matrices, a stretch of the stripe's shingles at a time.
+    """
     size = len(firsts) - 1
     row = np.repeat(np.arange(size), np.diff(firsts))
     _, column, count = np.unique(grams, return_inverse=True, return_counts=True)
-    useful = count > 1
-    place = np.cumsum(useful) - 1
-    keep = useful[column]
-    row, column = row[keep], place[column[keep]]
+    keep = count[column] > 1
+    row, column = row[keep], column[keep]
     order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    out = np.zeros((size, size), np.float64)
-    width = int(useful.sum())
-    for start in range(0, width, WIDE):
-        low, high = np.searchsorted(column, [start, start + WIDE])
-        part = np.zeros((size, min(WIDE, width - start)), np.float32)
-        part[row[low:high], column[low:high] - start] = 1
-        out += part @ part.T
-    return out
+    by_column, ends = row[order], np.concatenate([[0], np.cumsum(np.where(count > 1, count, 0))])
+    wide = max(HELD // max(size, 1), 64)
+    for start in range(0, size, STRIPE):
+        stop = min(start + STRIPE, size)
+        low, high = np.searchsorted(row, [start, stop])
+        own = np.unique(column[low:high])
+        out = np.zeros((stop - start, size), np.float64)
+        for first in range(0, len(own), wide):
+            some = own[first : first + wide]
+            times = ends[some + 1] - ends[some]
+            spots = np.repeat(ends[some] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+            part = np.zeros((size, len(some)), np.float32)
+            part[by_column[spots], np.repeat(np.arange(len(some)), times)] = 1
+            out += part[start:stop] @ part.T
+        yield start, out
 
 
 def _verified(batches, threshold: float, size: int):
@@ -286,19 +293,23 @@ def _verified(batches, threshold: float, size: int):
         if len(group) > 1:
             node, copies = [r[4] for r in group], np.array([r[5] for r in group])
             grams, firsts = shingle_sets(pa.array([r[6] for r in group], pa.large_string()), size)
-            shared, sizes = common_shingles(grams, firsts), np.diff(firsts)
-            linked = shared >= threshold * (sizes[:, None] + sizes[None, :] - shared) - 1e-9
-            np.fill_diagonal(linked, False)
-            if group[0][1] != group[0][2]:
-                own = np.array([r[3] for r in group])
-                linked &= own[:, None] != own[None, :]
-            forest = _Forest(len(group))
-            for i in np.flatnonzero(linked.any(1)).tolist():
-                for j in np.flatnonzero(linked[i, :i]).tolist():
-                    forest.join(i, j)
-            links = linked @ copies
+            sizes, root, links = np.diff(firsts), np.arange(len(group)), np.zeros(len(group), np.int64)
+            own = None if group[0][1] == group[0][2] else np.array([r[3] for r in group])
+            for start, shared in common_shingles(grams, firsts):
+                rows = np.arange(start, start + len(shared))
+                linked = shared >= threshold * (sizes[rows][:, None] + sizes[None, :] - shared) - 1e-9
+                linked[rows - start, rows] = False
+                if own is not None:
+                    linked &= own[rows][:, None] != own[None, :]
+                links[rows] = linked @ copies
+                for i in rows[linked.any(1)].tolist():
+                    met = np.unique(root[linked[i - start]])
+                    met = met[met != root[i]]
+                    if len(met):
+                        met = np.append(met, root[i])
+                        root[np.isin(root, met)] = met.min()
             for i in np.flatnonzero(links).tolist():
-                for name, value in zip(out, (node[i], node[forest.find(i)], int(links[i]))):
+                for name, value in zip(out, (node[i], node[root[i]], int(links[i]))):
                     out[name].append(value)
         if len(out["node"]) > 20_000:
             yield pa.RecordBatch.from_pydict(out, pa.schema([(c, pa.int64()) for c in out]))

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -163,3 +164,23 @@ def test_words_of_one_class_have_their_own_probability(spark):
 def test_every_token_is_a_target_once(rounds):
     parts = [maskedlm.targets(np.arange(7_000), number, rounds) for number in range(rounds)]
     assert sorted(np.concatenate(parts).tolist()) == list(range(7_000))
+
+
+def test_many_short_texts_of_one_template_in_bounded_memory():
+    size, template = 3_000, " ".join(f"w{i}" for i in range(19))
+    cell = [(1, 0, 0, 0, i, 1 + i % 2, f"{template} end{i}" if i < size - 5 else " ".join(f"x{i}y{j}" for j in range(20))) for i in range(size)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*cell)], ["cluster", "one", "two", "own", "node", "copies", "text"])
+    tracemalloc.start()
+    found = pa.Table.from_batches(jaccard._verified(iter([batch]), jaccard.THRESHOLD, jaccard.SHINGLE)).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    copies = sum(1 + i % 2 for i in range(size - 5))
+    assert {r["node"]: r["links"] for r in found} == {i: copies - 1 - i % 2 for i in range(size - 5)} and {r["root"] for r in found} == {0}
+    assert peak < 100e6
+
+
+def test_short_texts_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BUCKET", 50)
+    template = " ".join(f"w{i}" for i in range(19))
+    docs = spark.createDataFrame([(i, f"{template} end{i}") for i in range(220)], "doc_id long, text string")
+    assert {(r.class_id, r.n_links) for r in jaccard.similarity_classes(docs).collect()} == {(0, 219)}
