@@ -10,7 +10,7 @@ from ..plans.segments import BUFFER_VALUES, small, stack_columns
 from ..sources.tables import any_timestamp
 
 FEW_VALUES = 15
-# Columns with at most this many distinct values (by sketch) have their values listed and counted exactly.
+# Numbers without a hint in their name are continuous, and not listed, above this many distinct values (by sketch).
 LISTED_VALUES = 50
 # Fixed values.
 BOOLEAN_WORDS = ["true", "yes", "1", "false", "no", "0"]
@@ -51,17 +51,23 @@ def _seen(field: T.StructField) -> Column:
     return F.col(field.name)
 
 
-def _listed(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
-    """(column, distinct_values, unique_values, words): exact facts about few-valued columns."""
+def value_rows(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
+    """(column, value, number): every distinct value of the columns as a row, where a list would be too long for one."""
     cells = F.explode(F.array(*[
         F.struct(F.lit(f.name).alias("column"), _seen(f).cast("string").alias("value"), _number(f).alias("number"))
         for f in fields
     ]))
-    values = df.select(cells.alias("_c")).select("_c.*").where(F.col("value").isNotNull()).distinct()
+    return df.select(cells.alias("_c")).select("_c.*").where(F.col("value").isNotNull()).distinct()
+
+
+def _listed(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
+    """(column, distinct_values, unique_values, words): exact facts about columns; dates are counted but not listed."""
+    values = value_rows(df, fields)
+    listed = F.col("column").isin([f.name for f in fields if _kind(f) != "datetime"])
     cleaned = F.lower(F.trim(F.col("value")))
     return values.groupBy("column").agg(
         F.count("*").alias("distinct_values"),
-        F.transform(F.array_sort(F.collect_list(F.struct("number", "value"))), lambda v: v["value"]).alias("unique_values"),
+        F.transform(F.array_sort(F.collect_list(F.when(listed, F.struct("number", "value")))), lambda v: v["value"]).alias("unique_values"),
         F.count_distinct(F.when(cleaned != "", cleaned)).alias("cleaned_values"),
         F.bool_and((cleaned == "") | cleaned.isin(BOOLEAN_WORDS)).alias("words"),
     )
@@ -71,7 +77,9 @@ def profile(df: DataFrame, count_null: bool = True, bound: int = BUFFER_VALUES)
     """One row per column: semantic type, code flags, missing values and basic measures.
 
     ``count_null`` counts a missing value as one more distinct value when the type is decided, so a
-    0/1 column with gaps is ordinal; without it such a column is binary.
+    0/1 column with gaps is ordinal; without it such a column is binary. ``distinct_count`` is exact but for
+    continuous columns, where it is a sketch; ``unique_values`` holds every value of columns that are neither
+    continuous nor dates.
     """
     fields = df.schema.fields
     rough = df.agg(*[F.approx_count_distinct(_seen(f)).alias(f.name) for f in fields]).first()
@@ -99,7 +107,7 @@ def profile(df: DataFrame, count_null: bool = True, bound: int = BUFFER_VALUES)
         wide = wide.withColumns({f"median__{c}": F.lit(row[f"pct__{c}"][0]).cast("double") for c in numeric})
     names = [f.name for f in fields]
     facts = stack_columns(wide, names, _FIELDS)
-    few = [f for f in fields if rough[f.name] <= LISTED_VALUES]
+    few = [f for f in fields if _kind(f) != "numeric" or any(hints(f.name)[1:3]) or rough[f.name] <= LISTED_VALUES]
     if few:
         facts = facts.join(_listed(df, few).withColumnRenamed("column", "_c"), F.col("column") == F.col("_c"), "left").drop("_c")
     else:

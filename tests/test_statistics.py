@@ -360,3 +360,12 @@ def test_dependence_in_closed_form_and_by_scoring(table):
     assert len(scored) == len(closed) == 20
     for r in scored:
         assert r["average"] == pytest.approx(closed[r["feature"], round(r["value"], 9)])
+
+
+def test_every_value_of_a_categorical_column_is_listed(spark):
+    data = spark.range(6_000).selectExpr("concat('w', id % 60) AS word", "id % 80 AS region_code", "concat('n', id) AS name", "date_add(DATE'2020-01-01', CAST(id % 900 AS int)) AS day")
+    found = {r["column"]: r for r in profile.profile(data).collect()}
+    assert found["word"]["unique_values"] == sorted(f"w{i}" for i in range(60))
+    assert found["region_code"]["type"] == "categorical" and found["region_code"]["unique_values"] == [str(i) for i in range(80)]
+    assert {c: r["distinct_count"] for c, r in found.items()} == {"word": 60, "region_code": 80, "name": 6_000, "day": 900}
+    assert len(found["name"]["unique_values"]) == 6_000 and found["day"]["unique_values"] is None
