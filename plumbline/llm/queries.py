@@ -3,7 +3,7 @@
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import bytebpe, jaccard, language, maskedlm, nearest, packing, repetition, shards, substrings, tokencounts
+from plumbline.llm import bytebpe, jaccard, language, licenses, maskedlm, nearest, packing, repetition, shards, substrings, tokencounts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -70,6 +70,15 @@ def repetition_rules(spark, folder):
     return repetition.repetition(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
 
 
+def license_scan(spark, folder):
+    found = licenses.license_notices(table(spark, folder, "documents").select("doc_id", "text"))
+    word = F.transform("places", lambda p: p["word"])
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(word).alias("first_word"), F.array_max(word).alias("last_word"),
+        "base_labels", "labels", "score", F.size("blocks").cast("long").alias("n_blocks"),
+    )
+
+
 QUERIES = {
     "op1_substring_dedup": substring_dedup,
     "op2_length_packing": length_packing,
@@ -81,6 +90,7 @@ QUERIES = {
     "op8_multi_index_search": multi_index_search,
     "op9_byte_bpe": byte_bpe,
     "op10_repetition_rules": repetition_rules,
+    "op13_license_scan": license_scan,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -127,6 +137,15 @@ _KEPT = " AND ".join([
 ])
 _FAILED = f"n_words < {repetition.LEAST_WORDS} OR 100 * n_repeat_words > {repetition.REPEATED_PERCENT} * n_words"
 
+def _license_words(text: str) -> str:
+    small = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"list_filter(regexp_split_to_array({small}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 ORACLES = {
     "op1_substring_dedup": f"""
 WITH {_WORDS},
@@ -201,5 +220,40 @@ counted AS (
     FROM words LEFT JOIN chars USING (doc_id) LEFT JOIN lines USING (doc_id) {" ".join(f"LEFT JOIN covered_{n} USING (doc_id)" for n in _LENGTHS)}
 )
 SELECT *, {_FAILED} AS base_failed, NOT ({_FAILED}) AND {_KEPT} AS kept FROM counted
+""",
+    "op13_license_scan": f"""
+WITH parsed AS (SELECT doc_id, {_license_words("coalesce(text, '')")} AS w FROM documents),
+each AS (SELECT doc_id, len(w) AS n_words, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM parsed),
+phrases(phrase, label) AS (VALUES {", ".join(f"({_quoted(p)}, {_quoted(l)})" for p, l in licenses.PHRASES.items())}),
+places AS (
+    SELECT doc_id, i - 1 AS word, label FROM (
+        SELECT doc_id, w, label, {_license_words("phrase")} AS p, unnest(range(1, len(w) + 1)) AS i FROM parsed, phrases
+    ) WHERE w[i:i + len(p) - 1] = p
+),
+templates AS (
+    SELECT t, label, {_license_words("notice")} AS w, CAST(ceil(len(w) * {licenses.STRETCH}) AS BIGINT) AS length, len(list_distinct(w)) AS m
+    FROM (VALUES {", ".join(f"({i}, {_quoted(l)}, {_quoted(n)})" for i, (l, n) in enumerate(licenses.TEMPLATES))}) AS v(t, label, notice)
+),
+tokens AS (SELECT t, label, length, m, unnest(list_distinct(w)) AS word FROM templates),
+blocks AS (
+    SELECT doc_id, t, label, m, s, count(DISTINCT word) AS n FROM (
+        SELECT doc_id, t, label, m, word, length, n_words, unnest(range(greatest(i - length + 1, 1), i + 1)) AS s FROM each JOIN tokens USING (word)
+    ) WHERE s <= greatest(n_words - length + 1, 1) GROUP BY doc_id, t, label, m, s HAVING n >= ceil(m * {licenses.CONTAINMENT} - 1e-9)
+),
+runs AS (
+    SELECT doc_id, count(*) AS n_blocks FROM (
+        SELECT doc_id, t, s - lag(s) OVER (PARTITION BY doc_id, t ORDER BY s) AS step FROM blocks
+    ) JOIN templates USING (t) WHERE step IS NULL OR step >= length GROUP BY doc_id
+),
+base AS (
+    SELECT doc_id, count(*) AS n_base, min(word) AS first_word, max(word) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY doc_id
+),
+every AS (
+    SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION ALL SELECT doc_id, label FROM blocks) GROUP BY doc_id
+),
+best AS (SELECT doc_id, max(n / m) AS share FROM blocks GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base.labels, '') AS base_labels,
+       coalesce(every.labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0) END AS score, coalesce(n_blocks, 0) AS n_blocks
+FROM parsed LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN runs USING (doc_id)
 """,
 }

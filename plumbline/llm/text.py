@@ -84,11 +84,16 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
 
 
 class Words:
-    """The words of a text column: byte ``starts`` and ``ends``, the row ``doc`` of each, ``first`` word of each row."""
+    """The words of a text column: byte ``starts`` and ``ends``, the row ``doc`` of each, ``first`` word of each row.
 
-    def __init__(self, column: pa.Array):
+    ``between`` tells the bytes that separate words, ``fold`` what each byte counts as.
+    """
+
+    def __init__(self, column: pa.Array, between: np.ndarray = WHITE, fold: np.ndarray | None = None):
         self.data, self.offsets = raw_bytes(column)
-        solid = ~WHITE[self.data]
+        if fold is not None:
+            self.data = fold[self.data]
+        solid = ~between[self.data]
         begins, finishes = solid.copy(), solid.copy()
         begins[1:] &= ~solid[:-1]
         finishes[:-1] &= ~solid[1:]
