@@ -3,7 +3,7 @@
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import bytebpe, jaccard, language, licenses, maskedlm, nearest, packing, repetition, shards, substrings, tokencounts
+from plumbline.llm import bytebpe, jaccard, language, licenses, maskedlm, nearest, packing, repetition, shards, substrings, tokencounts, tries
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def repetition_rules(spark, folder):
     return repetition.repetition(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
 
 
+def conversation_trie(spark, folder):
+    return tries.prefix_trie(tries.rebuilt_turns(table(spark, folder, "conversations")))
+
+
 def license_scan(spark, folder):
     found = licenses.license_notices(table(spark, folder, "documents").select("doc_id", "text"))
     word = F.transform("places", lambda p: p["word"])
@@ -90,6 +94,7 @@ QUERIES = {
     "op8_multi_index_search": multi_index_search,
     "op9_byte_bpe": byte_bpe,
     "op10_repetition_rules": repetition_rules,
+    "op12_conversation_trie": conversation_trie,
     "op13_license_scan": license_scan,
     "pipeline": corpus_pipeline.run,
 }
@@ -99,13 +104,14 @@ _WORDS = r"""words AS (
     SELECT doc_id, text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
 )"""
 
-# CRC-32 of a text's bytes, by the usual table.
-_CRC = """
+def _crc(texts: str) -> str:
+    """CRC-32 of the bytes of the texts ``t`` that a query gives, by the usual table."""
+    return f"""
 codes AS (
     SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
         lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS codes
 ),
-texts AS (SELECT DISTINCT coalesce(text, '') AS t FROM documents),
+texts AS ({texts}),
 crcs AS (
     SELECT t, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
         list_filter(regexp_split_to_array(regexp_replace(hex(encode(t)), '(..)', '\\1 ', 'g'), ' '), lambda h: h <> ''),
@@ -165,7 +171,7 @@ SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n
 FROM words LEFT JOIN kept ON words.doc_id = kept.doc_id
 """,
     "op4_byte_shards": f"""
-WITH {_CRC},
+WITH {_crc("SELECT DISTINCT coalesce(text, '') AS t FROM documents")},
 sized AS (SELECT doc_id, coalesce(text, '') AS t, md5(coalesce(text, '')) AS h, coalesce(strlen(text), 0) + 1 AS size FROM documents),
 placed AS (
     SELECT doc_id, t, h, size,
@@ -220,6 +226,43 @@ counted AS (
     FROM words LEFT JOIN chars USING (doc_id) LEFT JOIN lines USING (doc_id) {" ".join(f"LEFT JOIN covered_{n} USING (doc_id)" for n in _LENGTHS)}
 )
 SELECT *, {_FAILED} AS base_failed, NOT ({_FAILED}) AND {_KEPT} AS kept FROM counted
+""",
+    "op12_conversation_trie": f"""
+WITH {_crc("SELECT DISTINCT CAST(conv_id AS VARCHAR) AS t FROM conversations WHERE conv_id IS NOT NULL")},
+convs AS (SELECT CAST(t AS BIGINT) AS c, crc % 4 AS h FROM crcs),
+turns AS (
+    SELECT conv_id AS c, id, n, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) - 1 AS place FROM (
+        SELECT conv_id, turn, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+               len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n
+        FROM conversations WHERE conv_id IS NOT NULL
+    )
+),
+rebuilt AS (
+    SELECT convs.c, 0 AS part, place, id, n FROM convs JOIN turns ON turns.c = convs.c - convs.c % 20 AND place < h
+    UNION ALL
+    SELECT convs.c, 1 AS part, place, id, n FROM convs JOIN turns ON turns.c = convs.c AND place >= h
+),
+paths AS (
+    SELECT convs.c, coalesce(ids, []) AS ids, coalesce(ns, []) AS ns FROM convs
+    LEFT JOIN (SELECT c, list(id ORDER BY part, place) AS ids, list(n ORDER BY part, place) AS ns FROM rebuilt GROUP BY c) USING (c)
+),
+members AS (
+    SELECT c, d, len(ids) = d AS over, CASE WHEN d > 0 THEN ns[d] ELSE 0 END AS n, md5(array_to_string(ids[1:d], ',')) AS k, md5(array_to_string(ids[1:d - 1], ',')) AS up
+    FROM (SELECT c, ids, ns, unnest(range(0, len(ids) + 1)) AS d FROM paths)
+),
+nodes AS (
+    SELECT d, k, min(up) AS up, min(c) AS c, count(*) AS n_convs, max(n) AS n, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (over), '')) AS ends
+    FROM members GROUP BY d, k
+),
+children AS (SELECT d - 1 AS d, up AS k, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+figures AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (d, k)),
+sums AS (
+    SELECT members.d, members.k, sum((n_convs - 1) * figures.n) AS saved, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS leaves
+    FROM figures JOIN members ON members.c = figures.c AND members.d <= figures.d GROUP BY ALL
+)
+SELECT f.c AS conv_id, CAST(f.d AS BIGINT) AS depth, p.c AS parent_conv_id, f.n_convs, f.n_children, CAST(leaves AS BIGINT) AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, f.ends AS ends_sha256
+FROM figures f JOIN sums USING (d, k) LEFT JOIN nodes p ON p.d = f.d - 1 AND p.k = f.up AND f.d > 0
 """,
     "op13_license_scan": f"""
 WITH parsed AS (SELECT doc_id, {_license_words("coalesce(text, '')")} AS w FROM documents),
