@@ -3,7 +3,7 @@
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import bytebpe, jaccard, language, licenses, maskedlm, nearest, packing, repetition, shards, substrings, tokencounts, tries
+from plumbline.llm import bytebpe, jaccard, language, licenses, maskedlm, nearest, packing, repetition, rtree, shards, substrings, tokencounts, tries
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -70,6 +70,11 @@ def repetition_rules(spark, folder):
     return repetition.repetition(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
 
 
+def hard_negatives(spark, folder):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return rtree.hard_negatives(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
 def conversation_trie(spark, folder):
     return tries.prefix_trie(tries.rebuilt_turns(table(spark, folder, "conversations")))
 
@@ -94,6 +99,7 @@ QUERIES = {
     "op8_multi_index_search": multi_index_search,
     "op9_byte_bpe": byte_bpe,
     "op10_repetition_rules": repetition_rules,
+    "op11_hard_negatives": hard_negatives,
     "op12_conversation_trie": conversation_trie,
     "op13_license_scan": license_scan,
     "pipeline": corpus_pipeline.run,
@@ -226,6 +232,26 @@ counted AS (
     FROM words LEFT JOIN chars USING (doc_id) LEFT JOIN lines USING (doc_id) {" ".join(f"LEFT JOIN covered_{n} USING (doc_id)" for n in _LENGTHS)}
 )
 SELECT *, {_FAILED} AS base_failed, NOT ({_FAILED}) AND {_KEPT} AS kept FROM counted
+""",
+    "op11_hard_negatives": """
+WITH valid AS (
+    SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scores AS (
+    SELECT a.id AS anchor, b.id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS score
+    FROM (SELECT * FROM valid WHERE id % 100 = 0) a JOIN valid b ON a.id <> b.id AND len(a.v) = len(b.v)
+),
+positives AS (
+    SELECT anchor, id, score FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor AS anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank,
+       n.id AS negative_id, CAST(p.score AS BIGINT) AS positive_score, CAST(n.score AS BIGINT) AS negative_score
+FROM positives p JOIN scores n ON n.anchor = p.anchor AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+QUALIFY rank <= 5
 """,
     "op12_conversation_trie": f"""
 WITH {_crc("SELECT DISTINCT CAST(conv_id AS VARCHAR) AS t FROM conversations WHERE conv_id IS NOT NULL")},
