@@ -10,7 +10,7 @@ from plumbline.plans.segments import small
 from plumbline.plans.staging import scratch_path
 
 # Conversations and turns of their suffixes that a container holds at most before it is burst.
-LIMIT = 20_000
+LIMIT = 2_000
 # Turns of a conversation that a running aggregate takes in one task, and ids that are joined to one piece before hashing.
 STRETCH, PIECE = 65_536, 8_192
 # Conversations of one family share first turns: family, and most of them.
