@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.bands import skewness_label
-from ..plans.quantiles import fits_buffer, percentiles, percentiles_of_counts, value_counts
+from ..plans.quantiles import percentiles, value_counts
 from ..plans.segments import BUFFER_VALUES, as_long_text, attach, measure, numeric_columns, stack_columns
 
 FIELDS = [
@@ -18,13 +18,12 @@ OUTLIER_FACTOR = 1.5
 def describe(
     df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = (), bound: int = BUFFER_VALUES
 ) -> DataFrame:
-    """Numeric summary: one pass for the moments, one that condenses the table to counted values.
+    """Numeric summary: a pass for the moments, two that select the quartiles, and one that counts values for mode and outliers.
 
-    Quartiles, mode and outliers come from the counted values, which both uses share.
+    An exact mode needs all values counted; copies are merged before that shuffle.
     """
     columns = list(columns or numeric_columns(df, exclude=by))
     keys = [*by, "column"]
-    held = fits_buffer(df, columns, bound)
     aggregates = []
     for c in columns:
         v = measure(c)
@@ -44,16 +43,15 @@ def describe(
         df.groupBy(*by).agg(*aggregates), columns,
         ["count", "null_count", "mean", "std", "variance", "min", "max", "skewness", "kurtosis"], by,
     )
-    counts = value_counts(df, columns, by)
-    placed = percentiles_of_counts(counts, [0.25, 0.5, 0.75], keys, held).drop("total")
     q1, median, q3 = (F.col("percentiles")[i] for i in range(3))
-    placed = placed.select(*keys, "top", q1.alias("q1"), median.alias("median"), q3.alias("q3"), (q3 - q1).alias("iqr"))
+    placed = percentiles(df, columns, [0.25, 0.5, 0.75], by, bound)
+    placed = placed.select(*keys, q1.alias("q1"), median.alias("median"), q3.alias("q3"), (q3 - q1).alias("iqr"))
     lower, upper = F.col("q1") - OUTLIER_FACTOR * F.col("iqr"), F.col("q3") + OUTLIER_FACTOR * F.col("iqr")
     value, n = F.col("value"), F.col("n")
     # Without segments there is one row per column, which is a proven bound.
     few = None if by else True
-    shape = attach(counts, placed, keys, few=few).groupBy(*keys).agg(
-        F.min(F.when(n == F.col("top"), value)).alias("mode"),
+    shape = attach(value_counts(df, columns, by), placed, keys, few=few).groupBy(*keys).agg(
+        F.max_by(value, F.struct(n, -value)).alias("mode"),
         F.sum(F.when((value < lower) | (value > upper), n).otherwise(0)).alias("outlier_count"),
         *[F.first(c).alias(c) for c in ("q1", "median", "q3", "iqr")],
     )

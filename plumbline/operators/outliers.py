@@ -28,8 +28,7 @@ def bounds(
             ]
         return df.groupBy(*by).agg(*limits)
     width = IQR_FACTOR if factor is None else factor
-    counts = df.groupBy(*by).agg(*[F.count(measure(c)).alias(f"n__{c}") for c in columns])
-    wide = attach(wide_percentiles(df, columns, [0.25, 0.75], by), counts, by, few=False)
+    wide = wide_percentiles(df, columns, [0.25, 0.75], by)
     limits = []
     for c in columns:
         q1, q3 = F.col(f"pct__{c}")[0], F.col(f"pct__{c}")[1]

@@ -102,7 +102,7 @@ def profile(df: DataFrame, count_null: bool = True, bound: int = BUFFER_VALUES)
             aggregates.append(middle.alias(f"median__{c}"))
     wide = df.agg(*aggregates)
     if not held:
-        medians = wide_percentiles(df, numeric, [0.5], bound=0)
+        medians = wide_percentiles(df, numeric, [0.5])
         row = medians.first()
         wide = wide.withColumns({f"median__{c}": F.lit(row[f"pct__{c}"][0]).cast("double") for c in numeric})
     names = [f.name for f in fields]
