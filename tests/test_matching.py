@@ -3,6 +3,7 @@
 import random
 from difflib import SequenceMatcher, get_close_matches
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,15 +113,15 @@ def test_typos_match_brute_force(spark):
     assert all(score(found[v], v) == pytest.approx(score(expected[v], v)) for v in found)
 
 
-@pytest.mark.parametrize("per_bucket", [500, 5])
-def test_nearest_rows_match_brute_force(spark, per_bucket):
-    rng = random.Random(per_bucket)
+@pytest.mark.parametrize("per_cell", [500, 5])
+def test_nearest_rows_match_brute_force(spark, per_cell):
+    rng = random.Random(per_cell)
     rows = []
     for i in range(120):
         values = [float(rng.randint(0, 40)), rng.gauss(0, 10), float(rng.choice([1, 1, 1, 2]))]
         rows.append((i, *[None if rng.random() < 0.15 else v for v in values]))
     data = spark.createDataFrame(rows, "id long, a double, b double, c double")
-    got = {r["id"]: (r["a"], r["b"], r["c"]) for r in neighbours.fill_nearest(data, ["a", "b", "c"], ["id"], per_bucket=per_bucket).collect()}
+    got = {r["id"]: (r["a"], r["b"], r["c"]) for r in neighbours.fill_nearest(data, ["a", "b", "c"], ["id"], per_cell=per_cell).collect()}
 
     def distance(x, y):
         shared = [(p - q) ** 2 for p, q in zip(x[1:], y[1:]) if p is not None and q is not None]
@@ -160,3 +161,37 @@ def test_groups_by_edits(spark):
     assert {r["id"]: r["leader"] for r in found.collect()} == {0: 0, 1: 0}
     with pytest.raises(ValueError):
         dedup.fuzzy_groups(data, "id", ["name"], 0.9, form="other")
+
+
+def test_cells_split_points():
+    draw = np.random.default_rng(1)
+    points = draw.normal(size=(1000, 3))
+    parts = neighbours.cells_of(points, 16)
+    assert sorted(np.concatenate(parts).tolist()) == list(range(1000)) and max(map(len, parts)) <= 16
+    assert len(neighbours.cells_of(np.zeros((50, 2)), 16)) == 4
+
+
+def test_nearest_rows_meet_a_small_share_of_the_cells(spark, monkeypatch):
+    """Four measures with gaps: a search meets less than a quarter of the cells."""
+    seen = []
+    search = neighbours._nearest
+    monkeypatch.setattr(neighbours, "_nearest", lambda tasks, cells, width, k: seen.append((tasks, cells, search(tasks, cells, width, k))) or seen[-1][2])
+    draw = np.random.default_rng(2)
+    rows = [(i, *[None if draw.random() < 0.02 else float(v) for v in draw.normal(size=4)]) for i in range(20_000)]
+    data = spark.createDataFrame(rows, "id long, a double, b double, c double, d double")
+    filled = neighbours.fill_nearest(data, ["a", "b", "c", "d"], ["id"], per_cell=64)
+    assert filled.count() == 20_000 and filled.dropna().count() == 20_000
+    tasks, cells, (_, pairs) = seen[0]
+    assert pairs.count() < 0.25 * tasks.count() * cells.count()
+    plan = filled._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Union") >= 1
+
+
+def test_nearest_rows_of_odd_tables(spark):
+    schema = "id long, `a.b` double, c double, _0 string"
+    empty = spark.createDataFrame([], schema)
+    assert neighbours.fill_nearest(empty, ["a.b", "c"], ["id"]).collect() == []
+    lone = spark.createDataFrame([(1, None, 2.0, "x"), (2, None, None, "y"), (3, None, 4.0, None)], schema)
+    assert sorted(map(tuple, neighbours.fill_nearest(lone, ["a.b", "c"], ["id"]).collect())) == [(1, None, 2.0, "x"), (2, None, 3.0, "y"), (3, None, 4.0, None)]
+    nan = spark.createDataFrame([(1, float("nan"), 2.0, "x"), (2, 5.0, 2.0, "y"), (2, 5.0, 2.0, "y")], schema)
+    assert neighbours.fill_nearest(nan, ["a.b", "c"], ["id"]).where("id = 1").first()["a.b"] == 5.0

@@ -18,6 +18,12 @@ EVENT_VALUE = "CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END"
 EVENT_TYPE = "CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_type END"
 QUANTITY = "CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity END"
 PRICE_GAPS = "CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_retailprice END"
+GAP_KEY = ["l_orderkey", "l_linenumber", "l_partkey"]
+GAP_STEPS = [499, 491, 487, 479]
+MEASURE_GAPS = {
+    c: f"CASE WHEN l_orderkey % {n} = 0 THEN NULL ELSE {c} END"
+    for c, n in zip(["l_quantity", "l_extendedprice", "l_discount", "l_tax"], GAP_STEPS)
+}
 SIZE_GAPS = "CASE WHEN p_partkey % 17 = 5 THEN NULL ELSE p_size END"
 
 
@@ -367,10 +373,17 @@ def suggested_filled(spark, folder):
 
 def neighbour_filled(spark, folder):
     parts = table(spark, folder, "part").select("p_partkey", F.expr(PRICE_GAPS).alias("price"), F.expr(SIZE_GAPS).alias("size"))
-    filled = k.fill_nearest(parts, ["price", "size"], ["p_partkey"], per_bucket=100)
+    filled = k.fill_nearest(parts, ["price", "size"], ["p_partkey"])
     return rounded(filled)
 
 
+def neighbours_of_measures(spark, folder):
+    """Four measures with gaps in each; only the filled rows are given."""
+    rows = table(spark, folder, "lineitem").select(*GAP_KEY, *[F.expr(gap).alias(c) for c, gap in MEASURE_GAPS.items()])
+    filled = k.fill_nearest(rows, list(MEASURE_GAPS), GAP_KEY)
+    return rounded(filled.where(" OR ".join(f"l_orderkey % {n} = 0" for n in GAP_STEPS)))
+
+
 def iterative_filled(spark, folder):
     parts = table(spark, folder, "part").select("p_partkey", F.expr(PRICE_GAPS).alias("price"), F.expr(SIZE_GAPS).alias("size"), F.col("p_partkey").cast("double").alias("key"))
     return rounded(m.fill_iterative(parts, ["price", "size", "key"]).select("p_partkey", "price", "size"))
@@ -392,7 +405,7 @@ QUERIES = {
         duplicates_kept_first, duplicates_kept_last, duplicates_kept_none, duplicate_documents, fuzzy_duplicates,
         fuzzy_duplicates_dropped, rows_dropped, mean_filled, median_filled, mode_filled, zero_filled,
         forward_filled, backward_filled, forward_filled_spread, model_filled, type_filled, suggested_filled,
-        neighbour_filled, iterative_filled, iterative_filled_line, fuzzy_by_edits, fuzzy_by_edits_dropped,
+        neighbour_filled, neighbours_of_measures, iterative_filled, iterative_filled_line, fuzzy_by_edits, fuzzy_by_edits_dropped,
     )
 }
 
@@ -480,6 +493,15 @@ def _nearest(column, other):
         AND q.{other} IS NOT NULL AND d.{other} IS NOT NULL) q WHERE place <= 5 GROUP BY q.p_partkey)"""
 
 
+def _nearest_measure(target):
+    """The mean of the five nearest rows that hold the measure, for each row without it."""
+    squares = " + ".join(f"coalesce((q.{c} - d.{c}) * (q.{c} - d.{c}), 0.0)" for c in MEASURE_GAPS)
+    shared = " + ".join(f"CASE WHEN q.{c} IS NULL OR d.{c} IS NULL THEN 0 ELSE 1 END" for c in MEASURE_GAPS)
+    return f"""SELECT l_orderkey, l_linenumber, l_partkey, list_avg(list_transform(near, lambda x: x.v)) AS f_{target} FROM (
+        SELECT q.l_orderkey, q.l_linenumber, q.l_partkey, min({{'d': sqrt(({squares}) * {len(MEASURE_GAPS)} / ({shared})), 'v': d.{target}}}, 5) AS near
+        FROM asked q JOIN gaps d ON q.{target} IS NULL AND d.{target} IS NOT NULL AND ({shared}) > 0 GROUP BY ALL)"""
+
+
 ORACLES = {
     "scan_delimited": f"""SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name,
       CAST(length(ltrim({SEGMENT})) AS INTEGER) AS segment_length FROM customer""",
@@ -580,6 +602,12 @@ ORACLES = {
         {r('coalesce(p.size, b.v, (SELECT avg(size) FROM ' + _NEAREST + '))')} AS size
       FROM {_NEAREST} p LEFT JOIN {_nearest('price', 'size')} a ON a.p_partkey = p.p_partkey
       LEFT JOIN {_nearest('size', 'price')} b ON b.p_partkey = p.p_partkey""",
+    "neighbours_of_measures": f"""WITH gaps AS (
+        SELECT l_orderkey, l_linenumber, l_partkey, {", ".join(f"{gap} AS {c}" for c, gap in MEASURE_GAPS.items())} FROM lineitem
+      ),
+      asked AS (SELECT * FROM gaps WHERE {" OR ".join(f"l_orderkey % {n} = 0" for n in GAP_STEPS)})
+      SELECT q.l_orderkey, CAST(q.l_linenumber AS BIGINT) AS l_linenumber, l_partkey, {", ".join(r(f"coalesce(q.{c}, f_{c}, (SELECT avg({c}) FROM gaps))") + f" AS {c}" for c in MEASURE_GAPS)}
+      FROM asked q {" ".join(f"LEFT JOIN ({_nearest_measure(c)}) USING (l_orderkey, l_linenumber, l_partkey)" for c in MEASURE_GAPS)}""",
     "fuzzy_by_edits": f"WITH {_edit_groups('p_name', 'p_type')} SELECT p_partkey, leader FROM groups",
     "fuzzy_by_edits_dropped": f"""WITH {_edit_groups('p_name', 'p_brand')}
       SELECT p_partkey, p_name, p_brand FROM part WHERE p_partkey NOT IN (
