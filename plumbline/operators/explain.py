@@ -9,7 +9,7 @@ from ..functions.bands import IMPORTANCE_BANDS, above
 from ..functions.linalg import least_squares
 from ..plans.order import positions
 from ..plans.quantiles import wide_percentiles
-from ..plans.segments import attach, measure
+from ..plans.segments import attach, measure, quoted
 from ..plans.staging import cut
 from .evaluate import regression_metrics
 from .models import score_linear, with_score
@@ -27,8 +27,10 @@ def predictor(model, features: Sequence[str], as_score: bool = False) -> Predict
     """A function that adds ``prediction`` to rows holding the feature columns of a fitted model."""
 
     def predict(df: DataFrame) -> DataFrame:
-        assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-        scored = with_score(model.transform(assembler.transform(df)))
+        names = [f"_x{i}" for i in range(len(features))]
+        assembler = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")
+        placed = df.withColumns({n: quoted(f) for n, f in zip(names, features)})
+        scored = with_score(model.transform(assembler.transform(placed))).drop(*names)
         if as_score and "score" in scored.columns:
             scored = scored.withColumn("prediction", F.col("score"))
         extra = [c for c in ("features", "rawPrediction", "probability", "score") if c in scored.columns and c not in df.columns]

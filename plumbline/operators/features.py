@@ -1,10 +1,11 @@
 """Feature creation, encoding and scaling."""
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..plans.segments import attach, is_numeric, measure, small
+from ..plans.segments import attach, is_numeric, measure, quoted, small
 
 FEW_CATEGORIES = 15
 SMOOTHING = 10.0
@@ -19,17 +20,17 @@ def date_parts(df: DataFrame, columns: Sequence[str], parts: Sequence[str] = DAT
     if "hour" in parts:
         found = df.agg(*[F.max(F.hour(c)).alias(c) for c in columns]).first()
         hours = {c for c in columns if (found[c] or 0) > 0}
-    made = {}
-    for c in columns:
-        for part in parts:
-            value = {
-                "year": F.year(c), "month": F.month(c), "day": F.dayofmonth(c), "day_of_week": F.weekday(c),
-                "hour": F.hour(c), "is_weekend": F.coalesce((F.weekday(c) >= 5).cast("int"), F.lit(0)),
-                "quarter": F.quarter(c), "week_of_year": F.weekofyear(c),
-            }[part]
-            if part != "hour" or c in hours:
-                made[f"{c}_{part}"] = value
-    return df.withColumns(made)
+    return reduce(lambda rows, c: date_columns(rows, c, [p for p in parts if p != "hour" or c in hours]), columns, df)
+
+
+def date_columns(df: DataFrame, column: str, parts: Sequence[str]) -> DataFrame:
+    """The given parts of one date."""
+    c = quoted(column)
+    value = {
+        "year": F.year(c), "month": F.month(c), "day": F.dayofmonth(c), "day_of_week": F.weekday(c), "hour": F.hour(c),
+        "is_weekend": F.coalesce((F.weekday(c) >= 5).cast("int"), F.lit(0)), "quarter": F.quarter(c), "week_of_year": F.weekofyear(c),
+    }
+    return df.withColumns({f"{column}_{part}": value[part] for part in parts})
 
 
 def ratios(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -108,7 +109,7 @@ def one_hot(df: DataFrame, columns: Sequence[str], levels: dict[str, list] | Non
     """0/1 columns ``<column>_<value>`` without the first value; a missing value is all zeros."""
     levels = one_hot_levels(df, columns) if levels is None else levels
     made = {
-        f"{c}_{value}": F.coalesce((F.col(c) == F.lit(value)).cast("int"), F.lit(0))
+        f"{c}_{value}": F.coalesce((quoted(c) == F.lit(value)).cast("int"), F.lit(0))
         for c, values in levels.items() for value in values
     }
     return df.withColumns(made).drop(*levels)
@@ -201,7 +202,7 @@ def _apply(df: DataFrame, parameters: DataFrame, columns: Sequence[str], by: Seq
     known = attach(df, parameters, by)
     changed = {}
     for c in columns:
-        shift, width = F.col(f"shift__{c}"), F.col(f"width__{c}")
+        shift, width = quoted(f"shift__{c}"), quoted(f"width__{c}")
         new: Column = measure(c) * width + shift if back else (measure(c) - shift) / width
         changed[c] = F.when(width.isNull(), measure(c)).otherwise(new)
     return known.withColumns(changed).drop(*[c for c in parameters.columns if c not in by])

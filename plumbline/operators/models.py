@@ -13,11 +13,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.linalg import solve
 from ..plans.moments import moments_row
 from ..plans.order import positions
-from ..plans.segments import TASK_ROWS, attach, measure
-from . import features, select
+from ..plans.segments import TASK_ROWS, attach, is_numeric, measure, quoted
 from .evaluate import SEED, TEST_SHARE, classification_metrics, regression_metrics, split
-from .impute import fill_for_model
 from .infer import fit_terms, predict_terms
+from .preparation import FeaturePlan, fit_preparation
 
 MIN_FIT_ROWS = 10
 MIN_HOLDOUT_ROWS = 30
@@ -290,80 +289,12 @@ def random_forest(
 
 # ---- pipeline ------------------------------------------------------------------------------------
 
-@dataclass
-class FeaturePlan:
-    """What happens to the predictors before the fit."""
-
-    date_columns: list[str] = field(default_factory=list)
-    date_parts: list[str] = field(default_factory=lambda: list(features.DATE_PARTS))
-    ratio_pairs: list[tuple[str, str]] = field(default_factory=list)
-    interaction_pairs: list[tuple[str, str]] = field(default_factory=list)
-    aggregate_columns: list[str] = field(default_factory=list)
-    aggregate_group: str | None = None
-    encoding: str | None = None
-    encoding_columns: list[str] = field(default_factory=list)
-    ordinal_orders: dict[str, list] = field(default_factory=dict)
-    drop_correlated: float | None = None
-    target_correlation: float | None = None
-    vif: float | None = None
-    lasso: float | None = None
-    pca: float | None = None
-    importance_top: int | None = None
-    scaling: str | None = None
-    scaling_exclude: list[str] = field(default_factory=list)
-
-
 def prepare(
     df: DataFrame, dependent: str, predictors: Sequence[str], types: dict[str, str], plan: FeaturePlan | None = None
 ) -> tuple[DataFrame, list[str], dict]:
-    """Impute, create, encode, select and scale; returns the table, the final predictors and a report."""
-    plan = plan or FeaturePlan()
-    report: dict = {}
-    chosen = [p for p in predictors if p in df.columns]
-    data = fill_for_model(df, dependent, chosen)
-
-    def grow(changed: DataFrame, name: str) -> DataFrame:
-        new = [c for c in changed.columns if c not in data.columns]
-        report[name] = new
-        chosen.extend(new)
-        return changed
-
-    if plan.date_columns:
-        data = grow(features.date_parts(data, plan.date_columns, plan.date_parts), "date_parts")
-    if plan.ratio_pairs:
-        data = grow(features.ratios(data, plan.ratio_pairs), "ratios")
-    if plan.interaction_pairs:
-        data = grow(features.interactions(data, plan.interaction_pairs), "interactions")
-    if plan.aggregate_columns:
-        data = grow(features.row_aggregates(data, plan.aggregate_columns, plan.aggregate_group), "aggregates")
-    named = [p for p in chosen if types.get(p) in ("categorical", "binary")]
-    targets = plan.encoding_columns or named
-    if targets:
-        before = set(data.columns)
-        data = features.encode(data, targets, plan.encoding or "auto", dependent, plan.ordinal_orders)
-        report["encoded"] = [c for c in data.columns if c not in before]
-        chosen = [p for p in chosen if p in data.columns] + report["encoded"]
-    chosen = [p for p in dict.fromkeys(chosen) if p != dependent and dict(data.dtypes)[p] not in ("string", "timestamp", "timestamp_ntz", "date")]
-    if plan.drop_correlated is not None:
-        chosen, report["correlated"] = select.correlated_features(data, chosen, plan.drop_correlated)
-    if plan.target_correlation is not None:
-        found = select.selected(select.target_correlations(data, chosen, dependent, plan.target_correlation))
-        chosen = [p for p in chosen if p in found]
-    if plan.vif is not None and len(chosen) > 2:
-        chosen, report["vif"] = select.vif_filter(data, chosen, plan.vif)
-    if plan.lasso is not None and len(chosen) >= 2:
-        found = select.selected(select.lasso_selection(data, chosen, dependent, plan.lasso))
-        chosen = [p for p in chosen if p in found]
-    if plan.pca is not None and len(chosen) >= 2:
-        data, shares = select.principal_components(data, chosen, variance=plan.pca)
-        chosen, report["pca"] = [f"PC{i + 1}" for i in range(len(shares))], shares
-    if plan.importance_top is not None and len(chosen) >= 2:
-        found = select.selected(select.importance_selection(data, chosen, dependent, plan.importance_top))
-        chosen = [p for p in chosen if p in found]
-    if plan.scaling:
-        data = features.scale(data, chosen, plan.scaling, exclude=[dependent, *plan.scaling_exclude])
-    report["predictors"] = chosen
-    return data, chosen, report
+    """A preparation learned on the table itself; returns the table, the final predictors and a report."""
+    fitted = fit_preparation(df, dependent, predictors, types, plan)
+    return fitted.apply(df), fitted.predictors, fitted.report
 
 
 def fit_model(
@@ -376,25 +307,34 @@ def fit_model(
     plan: FeaturePlan | None = None,
     order: Sequence[str] = (),
 ) -> tuple[Fitted, dict]:
-    """Choose a model, prepare the predictors and fit; the report tells what happened to the columns."""
+    """Choose a model, prepare the predictors and fit; the report tells what happened to the columns.
+
+    The preparation and the coefficients are learned on the training rows alone, 80 percent by the hash of ``key``; the
+    scored rows carry their ``split``, and ``extra`` holds the metrics of the test rows. Tables of fewer than 30 rows have no test rows.
+    """
     known = [p for p in predictors if p in df.columns]
     kind = model or choose_model(df, dependent, known, types)
     if kind == "timeseries":
         time_order = list(order) or [known[0], *key]
         trend = time_trend(df, dependent, time_order)
         return Fitted(kind, known[:1], metrics=trend, rows=forecast(trend)), {"predictors": known[:1]}
-    data, chosen, report = prepare(df, dependent, known, types, plan)
+    complete = df.where(measure(dependent).isNotNull() if is_numeric(df, dependent) else quoted(dependent).isNotNull())
+    parted = split(complete, key, TEST_SHARE)
+    if complete.limit(MIN_HOLDOUT_ROWS).count() < MIN_HOLDOUT_ROWS:
+        parted = complete.withColumn("split", F.lit("train"))
+    fitted = fit_preparation(parted.where("split = 'train'"), dependent, known, types, plan)
+    data, chosen, report = fitted.apply(parted), fitted.predictors, {**fitted.report, "preparation": fitted}
     if kind == "logistic":
         return logistic_regression(data, dependent, chosen, key), report
     if kind == "randomforest":
         return random_forest(data, dependent, chosen, key), report
     terms = polynomial_terms(chosen[0]) if kind == "polynomial" and len(chosen) == 1 else linear_terms(chosen)
-    fit = linear_model(data, dependent, terms)
+    fit = linear_model(data.where("split = 'train'"), dependent, terms)
     row = fit.first()
     if row is None:
         return Fitted(kind, chosen, extra={"note": "insufficient data"}), report
     rows = predict_terms(data, fit, measure(dependent), terms)
     return Fitted(
         kind, chosen, None, fit, rows, dict(zip(terms, row["coefficients"])), row["intercept"],
-        extra={"holdout": holdout(data, dependent, terms, key), "vif": dict(zip(terms, row["vif"]))},
+        extra={"holdout": regression_metrics(rows.where("split = 'test'"), dependent, "prediction"), "vif": dict(zip(terms, row["vif"]))},
     ), report

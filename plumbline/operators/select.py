@@ -1,6 +1,7 @@
 """Choosing and condensing features."""
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.classification import RandomForestClassifier
@@ -70,49 +71,68 @@ def vif_filter(df: DataFrame, columns: Sequence[str], threshold: float = 10.0) -
     return [columns[i] for i in kept], history
 
 
-def principal_components(
-    df: DataFrame, columns: Sequence[str], n_components: int | None = None, variance: float = 0.95
-) -> tuple[DataFrame, list[float]]:
-    """Replace standardised columns by ``PC1..`` and return the shares of variance.
+@dataclass
+class Components:
+    """Principal components of standardised columns: what each column is shifted and divided by, and the weights of each component."""
+
+    shifts: list[float]
+    widths: list[float]
+    loadings: list[list[float]]
+    shares: list[float]
 
-    Incomplete rows keep null components. Each component points so that its largest loading is positive.
+
+def fit_components(df: DataFrame, columns: Sequence[str], n_components: int | None = None, variance: float = 0.95) -> Components | None:
+    """Learned on the complete rows; None for one column or fewer than three rows.
+
+    Each component points so that its largest loading is positive.
     """
-    columns = list(columns)
-    complete = df.dropna(subset=columns)
-    if len(columns) < 2 or complete.limit(3).count() < 3:
-        return df, []
-    values = scale_parameters(complete, columns).first()
-    scaled = df.withColumns({
-        f"_z_{c}": (measure(c) - F.lit(values[f"shift__{c}"] or 0.0)) / F.lit(values[f"width__{c}"] or 1.0) for c in columns
-    })
-    assembler = VectorAssembler(inputCols=[f"_z_{c}" for c in columns], outputCol="_vector", handleInvalid="skip")
-    full = PCA(k=len(columns), inputCol="_vector", outputCol="_pc").fit(assembler.transform(scaled.select(*[f"_z_{c}" for c in columns])))
+    names = [f"_z{i}" for i in range(len(columns))]
+    complete = df.select(*[measure(c).alias(n) for c, n in zip(columns, names)]).dropna()
+    if len(names) < 2 or complete.limit(3).count() < 3:
+        return None
+    values = scale_parameters(complete, names).first()
+    shifts, widths = [values[f"shift__{n}"] or 0.0 for n in names], [values[f"width__{n}"] or 1.0 for n in names]
+    scaled = complete.select(*[((F.col(n) - F.lit(s)) / F.lit(w)).alias(n) for n, s, w in zip(names, shifts, widths)])
+    assembler = VectorAssembler(inputCols=names, outputCol="_vector")
+    full = PCA(k=len(names), inputCol="_vector", outputCol="_pc").fit(assembler.transform(scaled))
     shares = [float(v) for v in full.explainedVariance.toArray()]
     if n_components is None:
-        n_components = min(int(np.searchsorted(np.cumsum(shares), variance) + 1), len(columns))
+        n_components = min(int(np.searchsorted(np.cumsum(shares), variance) + 1), len(names))
     loadings = full.pc.toArray()
-    made = {}
+    found = []
     for k in range(n_components):
         loading = loadings[:, k]
         # The first of the largest loadings decides; equal ones differ by rounding only.
         leading = np.argmax(np.abs(loading) >= np.abs(loading).max() - 1e-9)
-        loading = loading * (1.0 if loading[leading] >= 0 else -1.0)
-        component = F.lit(0.0)
-        for c, weight in zip(columns, loading):
-            component = component + F.col(f"_z_{c}") * F.lit(float(weight))
-        made[f"PC{k + 1}"] = component
-    return scaled.withColumns(made).drop(*columns, *[f"_z_{c}" for c in columns]), shares[:n_components]
+        found.append((loading * (1.0 if loading[leading] >= 0 else -1.0)).tolist())
+    return Components(shifts, widths, found, shares[:n_components])
+
+
+def apply_components(df: DataFrame, columns: Sequence[str], fitted: Components) -> DataFrame:
+    """The columns replaced by ``PC1..``; incomplete rows get null components."""
+    scores = [(measure(c) - F.lit(s)) / F.lit(w) for c, s, w in zip(columns, fitted.shifts, fitted.widths)]
+    made = {f"PC{k + 1}": sum((z * F.lit(w) for z, w in zip(scores, loading)), F.lit(0.0)) for k, loading in enumerate(fitted.loadings)}
+    return df.withColumns(made).drop(*columns)
+
+
+def principal_components(
+    df: DataFrame, columns: Sequence[str], n_components: int | None = None, variance: float = 0.95
+) -> tuple[DataFrame, list[float]]:
+    """Replace standardised columns by ``PC1..`` and return the shares of variance."""
+    fitted = fit_components(df, list(columns), n_components, variance)
+    return (df, []) if fitted is None else (apply_components(df, list(columns), fitted), fitted.shares)
 
 
 def lasso_selection(df: DataFrame, columns: Sequence[str], target: str, alpha: float = 0.01) -> DataFrame:
     """(column, coefficient, selected): L1 regression on standardised columns of complete rows."""
     columns = list(columns)
-    rows = df.select(*[measure(c).alias(c) for c in columns], measure(target).alias("_y")).dropna()
+    names = [f"_x{i}" for i in range(len(columns))]
+    rows = df.select(*[measure(c).alias(n) for c, n in zip(columns, names)], measure(target).alias("_y")).dropna()
     if rows.limit(MIN_ROWS).count() < MIN_ROWS:
         kept = [F.struct(F.lit(c).alias("column"), F.lit(None).cast("double").alias("coefficient"), F.lit(True).alias("selected")) for c in columns]
         return rows.groupBy().agg(F.count("*")).select(F.explode(F.array(*kept)).alias("_r")).select("_r.*")
-    scaled = scale(rows, columns)
-    assembled = VectorAssembler(inputCols=columns, outputCol="_x").transform(scaled).select("_x", "_y")
+    scaled = scale(rows, names)
+    assembled = VectorAssembler(inputCols=names, outputCol="_x").transform(scaled).select("_x", "_y")
     model = LinearRegression(
         featuresCol="_x", labelCol="_y", regParam=alpha, elasticNetParam=1.0, standardization=False, maxIter=1000, tol=1e-10
     ).fit(assembled)
@@ -125,14 +145,15 @@ def importance_selection(
 ) -> DataFrame:
     """(column, importance, place, selected) by a random forest; a classifier for few whole target values, however coded."""
     columns = list(columns)
-    rows = df.select(*[measure(c).alias(c) for c in columns], measure(target).alias("_y")).dropna()
+    names = [f"_x{i}" for i in range(len(columns))]
+    rows = df.select(*[measure(c).alias(n) for c, n in zip(columns, names)], measure(target).alias("_y")).dropna()
     facts = rows.agg(
         F.approx_count_distinct("_y").alias("kinds"), F.bool_and(F.col("_y") == F.floor("_y")).alias("whole")
     ).first()
     classify = facts["kinds"] <= 10 and facts["whole"]
     if classify:
         rows = rows.withColumn("_y", label_index(F.col("_y"), class_labels(rows, "_y")))
-    assembled = VectorAssembler(inputCols=columns, outputCol="_x").transform(rows)
+    assembled = VectorAssembler(inputCols=names, outputCol="_x").transform(rows)
     common = dict(featuresCol="_x", labelCol="_y", numTrees=100, seed=seed)
     if classify:
         forest = RandomForestClassifier(maxDepth=10, **common)

@@ -17,7 +17,7 @@ BROADCAST_BYTES = 32 << 20
 
 def same_keys(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
     """Null-safe equality of key columns; Spark hashes on it like on plain equality."""
-    return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in pairs])
+    return reduce(lambda a, b: a & b, [left[f"`{a}`"].eqNullSafe(right[f"`{b}`"]) for a, b in pairs])
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -51,11 +51,11 @@ def attach(
         literals = [F.lit(values[f.name]).cast(f.dataType).alias(f.name) for f in stats.schema.fields]
         return rows.select("*", *literals)
     keyed = stats.select(
-        *[F.col(k).alias(f"__{k}") for k in by], *[F.col(c) for c in stats.columns if c not in by]
+        *[quoted(k).alias(f"__{k}") for k in by], *[quoted(c) for c in stats.columns if c not in by]
     )
     if few is None:
         texts = [f.name for f in stats.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in by]
-        few = fits_broadcast(stats.select(*by, *[stats[f"`{c}`"] for c in texts]))
+        few = fits_broadcast(stats.select(*[quoted(k) for k in by], *[stats[f"`{c}`"] for c in texts]))
     if few:
         keyed = F.broadcast(keyed)
     joined = rows.join(keyed, same_keys(rows, keyed, [(k, f"__{k}") for k in by]), how)
@@ -110,6 +110,6 @@ def stack_columns(
 ) -> DataFrame:
     """Turn ``field__column`` aggregates (one row per segment) into one row per column."""
     per_column = [
-        F.struct(F.lit(c).alias("column"), *[F.col(f"{f}__{c}").alias(f) for f in fields]) for c in columns
+        F.struct(F.lit(c).alias("column"), *[quoted(f"{f}__{c}").alias(f) for f in fields]) for c in columns
     ]
     return wide.select(*by, F.explode(F.array(*per_column)).alias("_r")).select(*by, "_r.*")

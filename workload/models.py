@@ -244,6 +244,29 @@ def prepared_fit(spark, folder):
     return rounded(fitted.rows.select("l_orderkey", "l_linenumber", "l_partkey", "prediction", "residual"), 2)
 
 
+def preparation_parameters(spark, folder):
+    """All that a preparation learns from the training rows."""
+    rows = e.split(_lineitem(spark, folder), LINE_KEY)
+    plan = m.FeaturePlan(date_columns=["l_shipdate"], date_parts=["year"], encoding="target", scaling="standard")
+    fitted = m.fit_preparation(rows.where("split = 'train'"), "l_extendedprice", ["quantity_gaps", "l_discount", "l_tax", "l_returnflag"], {"l_returnflag": "categorical"}, plan)
+    return rounded(fitted.parameters(rows), 5)
+
+
+def prepared_rows(spark, folder):
+    """Test rows prepared with what the training rows taught."""
+    rows = e.split(_lineitem(spark, folder), LINE_KEY)
+    plan = m.FeaturePlan(encoding="target", scaling="standard")
+    fitted = m.fit_preparation(rows.where("split = 'train'"), "l_extendedprice", ["quantity_gaps", "l_discount", "l_returnflag"], {"l_returnflag": "categorical"}, plan)
+    return rounded(fitted.apply(rows.where("split = 'test'")).select(*LINE_KEY, "quantity_gaps", "l_discount", "l_returnflag_target_encoded"), 5)
+
+
+def components_parameters(spark, folder):
+    """Principal components of two columns of the training rows."""
+    rows = e.split(_lineitem(spark, folder), LINE_KEY)
+    fitted = m.fit_preparation(rows.where("split = 'train'"), "l_discount", ["quantity_gaps", "l_extendedprice"], {}, m.FeaturePlan(pca=1.0))
+    return rounded(fitted.parameters(rows).where("step = 'components'").select("column", "name", "value"), 5)
+
+
 def components_fit(spark, folder):
     plan = m.FeaturePlan(pca=0.9, lasso=1.0)
     fitted, _ = m.fit_model(
@@ -414,7 +437,7 @@ QUERIES = {
         time_trend, time_trend_of_events, forecast, trend_positions, linear_scores, stride_sample, typical_row,
         largest_classes, hash_split, exact_split, stratified_split, stratified_folds, plain_folds, problem_types,
         regression_metrics, regression_bands, classification_metrics, classification_metrics_macro, classification_bands,
-        metrics_of_labels, logistic_metrics, forest_metrics, forest_of_classes, prepared_fit, components_fit,
+        metrics_of_labels, logistic_metrics, forest_metrics, forest_of_classes, prepared_fit, preparation_parameters, prepared_rows, components_parameters, components_fit,
         dummy_baseline, dummy_class_baseline, experiment_regression, experiment_classification, experiment_untuned, network_fit,
         cross_validation, logistic_facts, forest_facts, experiment_baselines,
         best_model, permutation_importance, linear_attributions, sampled_attributions, local_surrogates,
@@ -510,7 +533,41 @@ def _grid(c):
 
 _MEANS = "(SELECT avg(l_quantity) AS l_quantity, avg(l_discount) AS l_discount, avg(l_tax) AS l_tax, avg(l_quantity * l_discount) AS qd FROM lineitem)"
 
+def _learned(dependent="l_extendedprice"):
+    """The training rows, their means, the filled rows, and the codes of the flags."""
+    return f"""WITH train AS (SELECT * FROM {LINEITEM} WHERE {_hash(*LINE_KEY)} >= 0.2 AND {dependent} IS NOT NULL),
+      means AS (SELECT avg(quantity_gaps) AS q, avg(l_discount) AS d, avg(l_tax) AS t, avg({dependent}) AS y, mode(l_returnflag) AS flag FROM train),
+      filled AS (SELECT coalesce(quantity_gaps, q) AS quantity_gaps, l_discount, l_tax, l_extendedprice, year(l_shipdate) AS year, l_returnflag FROM train, means),
+      codes AS (SELECT l_returnflag AS flag, (count(*) * avg({dependent}) + 10 * any_value(y)) / (count(*) + 10) AS code FROM train, means GROUP BY 1)"""
+
+
+def _scaled(column, expression, source="filled"):
+    return " UNION ALL ".join(
+        f"SELECT 'scale' AS step, '{column}' AS \"column\", '{name}' AS name, {r(f'{call}({expression})', 5)} AS value, CAST(NULL AS VARCHAR) AS text FROM {source}"
+        for name, call in (("shift", "avg"), ("width", "stddev_pop"))
+    )
+
+
 ORACLES = {
+    "preparation_parameters": _learned() + " SELECT * FROM (" + " UNION ALL ".join([
+        *(f"SELECT 'fill' AS step, '{c}' AS \"column\", 'mean' AS name, {r(v, 5)} AS value, CAST(NULL AS VARCHAR) AS text FROM means" for c, v in (("quantity_gaps", "q"), ("l_discount", "d"), ("l_tax", "t"))),
+        "SELECT 'fill', 'l_returnflag', 'mode', NULL, flag FROM means",
+        "SELECT 'dates', 'l_shipdate', 'year', NULL, NULL",
+        f"SELECT 'target', 'l_returnflag', 'overall', {r('y', 5)}, NULL FROM means",
+        f"SELECT 'target', 'l_returnflag', 'code', {r('code', 5)}, flag FROM codes",
+        *(_scaled(c, c) for c in ("quantity_gaps", "l_discount", "l_tax")),
+        _scaled("l_shipdate_year", "year"),
+        _scaled("l_returnflag_target_encoded", "code", "filled JOIN codes ON filled.l_returnflag = codes.flag"),
+    ]) + ")",
+    "prepared_rows": _learned() + f""", coded AS (SELECT * FROM filled JOIN codes ON filled.l_returnflag = codes.flag),
+      sizes AS (SELECT avg(quantity_gaps) AS q1, stddev_pop(quantity_gaps) AS q2, avg(l_discount) AS d1, stddev_pop(l_discount) AS d2, avg(code) AS c1, stddev_pop(code) AS c2 FROM coded)
+      SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, l_shipdate, {r("(coalesce(quantity_gaps, q) - q1) / q2", 5)} AS quantity_gaps, {r("(l_discount - d1) / d2", 5)} AS l_discount,
+        {r("(coalesce(code, y) - c1) / c2", 5)} AS l_returnflag_target_encoded
+      FROM (SELECT * FROM {LINEITEM} WHERE {_hash(*LINE_KEY)} < 0.2) rows LEFT JOIN codes ON rows.l_returnflag = codes.flag, means, sizes""",
+    "components_parameters": _learned("l_discount") + f""", paired AS (SELECT corr(quantity_gaps, l_extendedprice) AS c FROM filled)
+      SELECT "column", name, value FROM ({_scaled("quantity_gaps", "quantity_gaps")} UNION ALL {_scaled("l_extendedprice", "l_extendedprice")})
+      UNION ALL SELECT 'quantity_gaps', k, {r("sqrt(0.5)", 5)} FROM (VALUES ('PC1'), ('PC2')) v(k)
+      UNION ALL SELECT 'l_extendedprice', k, {r("CASE WHEN (k = 'PC1') = (c > 0) THEN 1 ELSE -1 END * sqrt(0.5)", 5)} FROM paired, (VALUES ('PC1'), ('PC2')) v(k)""",
     "simple_regression": f"""SELECT l_returnflag, count(*) AS n, {r('regr_intercept(l_extendedprice, quantity_gaps)', 4)} AS intercept,
       {r('regr_slope(l_extendedprice, quantity_gaps)', 4)} AS b_quantity, {r('regr_r2(l_extendedprice, quantity_gaps)', 4)} AS r2,
       {r('1 - (1 - regr_r2(l_extendedprice, quantity_gaps)) * (count(*) - 1) / (count(*) - 2)', 4)} AS adjusted_r2,
