@@ -11,6 +11,8 @@ from plumbline.plans.staging import cut
 
 # Vectors that the rotation and the radius are learned from; every vector is indexed.
 SAMPLE, TRIALS, REACHED = 4_096, 256, 0.95
+# Pairs of the sample whose distances belong together when the radius for a distance is learned, at least.
+GROUP = 512
 # A code has so many substrings of eight bits, each with a table of its own.
 TABLES, WIDTH = 8, 8
 # Most vectors, or queries, of one table entry that a task compares at a time; fuller entries are split.
@@ -20,11 +22,12 @@ ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 @dataclass
 class Coder:
-    """Rotation to binary codes, and the Hamming radius that most searches begin and end with."""
+    """Rotation to binary codes, the Hamming radius that searches begin with, and (distance, radius): vectors beyond that distance may need the radius."""
 
     mean: np.ndarray
     turn: np.ndarray
     radius: int
+    needed: list[tuple[float, int]]
 
     def codes(self, vectors: np.ndarray) -> np.ndarray:
         return np.packbits((vectors - self.mean) @ self.turn > 0, axis=1)
@@ -42,7 +45,8 @@ def learn(sample: np.ndarray, k: int, seed: int = 7) -> Coder:
     """Principal directions turned so that their signs lose least (iterative quantisation).
 
     The radius holds at least ``REACHED`` of the ``k`` nearest vectors of trial queries in the sample; in the
-    whole table the nearest are nearer.
+    whole table the nearest are nearer. For queries whose nearest are further away than that, pairs of the sample are sorted by distance and
+    dealt into groups, each twice as large as all before it; ``needed`` has the radius that holds ``REACHED`` of every group up to a distance.
     """
     random, bits = np.random.default_rng(seed), TABLES * WIDTH
     mean = sample.mean(0)
@@ -54,14 +58,25 @@ def learn(sample: np.ndarray, k: int, seed: int = 7) -> Coder:
     for _ in range(30):
         u, _, v = np.linalg.svd(flat.T @ np.sign(flat @ turn), full_matrices=False)
         turn = u @ v
-    coder = Coder(mean, axes @ turn, 0)
-    codes, needed = coder.codes(sample), []
+    coder = Coder(mean, axes @ turn, 0, [])
+    codes, needed, pairs = coder.codes(sample), [], [(np.zeros(0), np.zeros(0, int))]
     for i in range(0, len(sample), max(len(sample) // TRIALS, 1)):
         away = ((sample - sample[i]) ** 2).sum(1)
         away[i] = np.inf
-        near = np.argsort(away, kind="stable")[: min(k, len(sample) - 1)]
-        needed.extend(ONES[codes[near] ^ codes[i]].sum(1))
+        near = np.argsort(away, kind="stable")[: len(sample) - 1]
+        differ = ONES[codes[near] ^ codes[i]].sum(1)
+        needed.extend(differ[:k])
+        pairs.append((np.sqrt(away[near]), differ))
     coder.radius = int(np.quantile(needed, REACHED, method="higher")) if needed else bits
+    away, differ = (np.concatenate(x) for x in zip(*pairs))
+    order, start, most = np.argsort(away, kind="stable"), 0, 0
+    while start < len(order):
+        group = order[start : max(2 * start, GROUP)]
+        radius = int(np.quantile(differ[group], REACHED, method="higher"))
+        if radius > most:
+            coder.needed.append((float(away[group[0]]) if start else -1.0, radius))
+            most = radius
+        start += len(group)
     return coder
 
 
@@ -77,8 +92,8 @@ def nearest(rows: DataFrame, query: Column, k: int = 10, key: str = "vec_id", ve
     table. A query probes every table entry that differs in so few bits that, by the pigeonhole principle, it
     meets every code within a Hamming radius; a code is looked at in the first table that gives it away. What
     lies within the radius is ranked by its floats. The first radius is the learned one; queries that meet fewer
-    than ``k`` other rows there, or than there are, go through rounds with a radius wider by a bit per table,
-    up to all bits, until none is short. Entries of more than 4,096 vectors or queries are split into blocks. The
+    than ``k`` other rows there, or than there are, or whose k-th hit is so far away that nearer vectors may lie beyond the radius, go
+    through rounds with a radius wider by a bit per table, up to all bits, until none is short. Entries of more than 4,096 vectors or queries are split into blocks. The
     index holds each distinct vector eight times, once per table.
     """
     shape = rows.schema[vector].dataType
@@ -174,7 +189,9 @@ def nearest(rows: DataFrame, query: Column, k: int = 10, key: str = "vec_id", ve
     radius, short, answers = coder.radius, classes.where("asks").select("class", "vector"), None
     while True:
         found = cut(within(short, radius))
-        full = found if radius == TABLES * WIDTH else found.where(F.size("hits") >= enough)
+        last = F.try_element_at("hits", F.lit(enough))["away"]
+        needed = F.greatest(F.lit(0), F.lit(0), *[F.when(last >= away, wide).otherwise(0) for away, wide in coder.needed])
+        full = found if radius == TABLES * WIDTH else found.where((F.size("hits") >= enough) & (needed <= radius))
         answers = full if answers is None else answers.union(full)
         if radius == TABLES * WIDTH:
             break
