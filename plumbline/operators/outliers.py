@@ -77,6 +77,12 @@ def outlier_rows(
     return attach(df, limits, by).where(_beyond(column)).drop(f"lower__{column}", f"upper__{column}")
 
 
+def mark_outliers(df: DataFrame, columns: Sequence[str], limits: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``beyond__c``: whether a value lies beyond the bounds; null where the value or the bounds are missing."""
+    marked = attach(df, limits, by).withColumns({f"beyond__{c}": _beyond(c) for c in columns})
+    return marked.drop(*[f"{side}__{c}" for c in columns for side in ("lower", "upper")])
+
+
 def treat_outliers(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -84,16 +90,18 @@ def treat_outliers(
     method: str = "iqr",
     action: str = "clip",
     factor: float | None = None,
+    limits: DataFrame | None = None,
 ) -> DataFrame:
     """Remove, clip, log- or square-root-transform the columns that have outliers.
 
     All bounds come from the table as given, so the outcome does not depend on column order. With
-    ``remove`` a row goes when any of its columns is beyond its bounds; missing values stay.
+    ``remove`` a row goes when any of its columns is beyond its bounds; missing values stay. ``limits`` are
+    the ``bounds`` where they are known already.
     """
     columns = list(columns or numeric_columns(df, exclude=by))
     if action in ("none", "detect"):
         return df
-    limits = bounds(df, columns, by, method, factor)
+    limits = bounds(df, columns, by, method, factor) if limits is None else limits
     bounded = attach(df, limits, by)
     added = [f"{side}__{c}" for c in columns for side in ("lower", "upper")]
     if action == "remove":
