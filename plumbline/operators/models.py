@@ -14,6 +14,7 @@ from ..functions.linalg import solve
 from ..plans.moments import moments_row
 from ..plans.order import positions
 from ..plans.segments import TASK_ROWS, attach, is_numeric, measure, quoted
+from ..plans.staging import cut
 from .evaluate import SEED, TEST_SHARE, classification_metrics, regression_metrics, split
 from .infer import fit_terms, predict_terms
 from .preparation import FeaturePlan, fit_preparation
@@ -213,11 +214,11 @@ def logistic_regression(
     """Weakly penalised logistic regression on 80 percent of the rows, measured on the rest."""
     coded = binary_target(df, dependent)
     data = split(coded, key, TEST_SHARE, seed=seed)
-    matrix = assemble(data, predictors, "label", [*key, "split"])
-    train = matrix.where("split = 'train'").persist()
+    matrix = assemble(data, predictors, "label", [*key, "split"]).persist()
+    train = matrix.where("split = 'train'")
     n = train.count()
     if n < MIN_FIT_ROWS:
-        train.unpersist()
+        matrix.unpersist()
         return Fitted("logistic", list(predictors), extra={"note": "insufficient data"})
 
     def fit(strength, iterations):
@@ -229,10 +230,11 @@ def logistic_regression(
     model = fit(c, 5000)
     if model.summary.totalIterations >= 5000:
         model = fit(c / 10, 10000)
-    rows = with_score(model.transform(matrix)).select(*key, "split", "label", "prediction", "score")
+    # scored once; the metrics and the caller read what is written
+    rows = cut(with_score(model.transform(matrix)).select(*key, "split", "label", "prediction", "score"))
+    matrix.unpersist()
     tiny = 1e-15
     y, p = F.col("label"), F.col("score")
-    train.unpersist()
     metrics = classification_metrics(rows.where("split = 'test'"), "label", "prediction", "score")
     root = rows.where("split = 'test'").agg(F.sqrt(F.avg((y - p) * (y - p))).alias("rmse"))
     training = rows.where("split = 'train'").agg(
@@ -260,19 +262,22 @@ def random_forest(
 ) -> Fitted:
     """Random forest on 80 percent of the rows; a classifier when the target has at most two values."""
     data = split(df, key, TEST_SHARE, seed=seed)
-    matrix = assemble(data, predictors, dependent, [*key, "split"])
-    if matrix.limit(MIN_FOREST_ROWS).count() < MIN_FOREST_ROWS:
+    narrow = assemble(data, predictors, dependent, [*key, "split"]).persist()
+    if narrow.limit(MIN_FOREST_ROWS).count() < MIN_FOREST_ROWS:
+        narrow.unpersist()
         return Fitted("randomforest", list(predictors), extra={"note": "insufficient data"})
-    ends = matrix.agg(F.min("label").alias("low"), F.max("label").alias("high")).first()
-    two = matrix.where((F.col("label") != ends["low"]) & (F.col("label") != ends["high"])).isEmpty()
+    ends = narrow.agg(F.min("label").alias("low"), F.max("label").alias("high")).first()
+    two = narrow.where((F.col("label") != ends["low"]) & (F.col("label") != ends["high"])).isEmpty()
+    matrix = narrow
     if two:
-        matrix = matrix.withColumn("label", F.when(F.col("label") == ends["high"], 1.0).otherwise(0.0))
+        matrix = narrow.withColumn("label", F.when(F.col("label") == ends["high"], 1.0).otherwise(0.0))
         forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)
     else:
         forest = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="all")
     model = forest.fit(matrix.where("split = 'train'"))
     scored = with_score(model.transform(matrix))
-    rows = scored.select(*key, "split", "label", "prediction", *(["score"] if two else []))
+    rows = cut(scored.select(*key, "split", "label", "prediction", *(["score"] if two else [])))
+    narrow.unpersist()
     test = rows.where("split = 'test'")
     if two:
         metrics = attach(
