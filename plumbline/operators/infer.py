@@ -11,6 +11,7 @@ from ..functions.linalg import least_squares
 from ..plans.moments import complete_moments, pairwise_sums
 from ..plans.order import average_ranks
 from ..plans.segments import TASK_ROWS, attach, largest_group, measure, numeric_columns
+from ..plans.staging import cut
 
 FEW_VALUES = 15
 MANY_PAIRS = 30
@@ -105,13 +106,44 @@ def _matrix_pearson(narrow: DataFrame, pairs: Sequence[tuple[str, str]], used: l
     return listed.join(sums, ["i", "j"]).select("column_a", "column_b", F.col("n").cast("long").alias("n"), r.alias("r"))
 
 
+def _rank_columns(df: DataFrame, columns: Sequence[str], by: Sequence[str], task_rows: int) -> DataFrame:
+    """(by..., _r0, _r1, ...): the average ranks of complete columns, from one dictionary of ranks a column."""
+    narrow = df.select(*by, *[measure(c).alias(f"_v{i}") for i, c in enumerate(columns)])
+    fits = True if largest_group(df, by) <= task_rows else None
+    for i in range(len(columns)):
+        ranks = cut(average_ranks(narrow.select(*by, f"_v{i}"), f"_v{i}", by, f"_r{i}", task_rows, fits).drop("n_value"))
+        narrow = attach(narrow, ranks, [*by, f"_v{i}"], "inner").drop(f"_v{i}")
+    return narrow
+
+
 def spearman(
     df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] = (), task_rows: int = TASK_ROWS
 ) -> DataFrame:
     """(by..., column_a, column_b, n, r): correlation of average ranks.
 
-    Works on counted (x, y) pairs; each side's ranks are joined to them by value.
+    Columns without gaps are ranked once, and one pass over the ranks serves all of their pairs. The complete rows of any
+    other pair are its own, so such pairs are ranked one by one.
     """
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    gaps = df.agg(*[F.coalesce(F.bool_or(measure(c).isNull()), F.lit(False)).alias(f"_g{i}") for i, c in enumerate(columns)]).first()
+    whole = [c for i, c in enumerate(columns) if not gaps[f"_g{i}"]]
+    together = [p for p in pairs if p[0] in whole and p[1] in whole]
+    apart = [p for p in pairs if p not in together]
+    parts = [_spearman_of_pairs(df, apart, by, task_rows)] if apart else []
+    if together:
+        used = [c for c in whole if any(c in p for p in together)]
+        ranks = _rank_columns(df, used, by, task_rows)
+        if len(together) > 1:
+            ranks = cut(ranks)
+        found = pearson(ranks, [(f"_r{used.index(a)}", f"_r{used.index(b)}") for a, b in together], by)
+        names = F.array(*[F.lit(c) for c in used])
+        named = [F.element_at(names, F.substring(side, 3, 10).cast("int") + 1).alias(side) for side in ("column_a", "column_b")]
+        parts.append(found.where("n > 0").select(*by, *named, "n", "r"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _spearman_of_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str], task_rows: int) -> DataFrame:
+    """The same from counted (x, y) pairs; each side's ranks are joined to them by value."""
     keys = [*by, "column_a", "column_b"]
     rows = _pair_rows(df, pairs, by)
     counted = rows.groupBy(*keys, "x", "y").agg(F.count("*").alias("w"))
