@@ -126,7 +126,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     document with a smaller ``key``. Every word of a repeat is removed: ``spans`` are the maximal runs, as
     (first word, words), and ``kept_text`` is the text without them, with its white space otherwise unchanged.
     Windows are judged on the input. Documents with a null key, and texts that are null, empty or shorter
-    than a window, stay as they are; documents with equal keys do not remove from each other.
+    than a window, stay as they are; documents with equal keys do not remove from each other. Equal rows
+    give equal results: their places are merged wherever rows of one key and text are gathered, so the work grows with their number and no faster.
 
     The reference is the table itself, in shards that follow the content: each window belongs to the least
     hash of its grams of ``gram`` words, and a passage is a run of windows with one such gram. Grams of one
@@ -157,7 +158,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     routes = body.mapInArrow(route, T.StructType([doc, T.StructField("row", long), T.StructField("gram", long), T.StructField("first", integer), T.StructField("runs", integer)]))
     shared = routes.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n"))
     shared = shared.where(F.col("low") < F.col("high")).select("gram", (F.col("n") > common).alias("common"))
-    spots = routes.join(shared, "gram").groupBy("doc", "row").agg(F.collect_list(F.struct("first", "runs", "gram", "common")).alias("spots"))
+    spots = routes.join(shared, "gram").groupBy("doc", "row").agg(F.collect_set(F.struct("first", "runs", "gram", "common")).alias("spots"))
 
     def extract(batches):
         for batch in text_slices(batches):
@@ -226,7 +227,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     lone = lone.join(lone.groupBy("key", "key2").agg(F.min("doc").alias("owner")), ["key", "key2"]).where(F.col("owner") < F.col("doc"))
     for rows, runs in ((whole, F.col("runs")), (lone, F.lit(1))):
         hits = hits.unionByName(rows.select("doc", "row", "firsts", F.array(F.struct(runs.alias("runs"), F.lit(True).alias("gone"))).alias("gone")))
-    hits = hits.groupBy("doc", "row").agg(F.collect_list(F.struct("firsts", "gone")).alias("hits"))
+    hits = hits.groupBy("doc", "row").agg(F.collect_set(F.struct("firsts", "gone")).alias("hits"))
     names = docs.columns
     same = (F.col(key) == F.col("doc")) & (F.xxhash64(F.col(text)) == F.col("row"))
     marked = docs.join(hits, same, "left").select(*names, "hits")

@@ -146,6 +146,28 @@ def test_lone_vectors_have_all_their_neighbours(spark, size):
     assert hits >= 0.8 * min(10, size - 1) * sum(i in lone for i in asked)
 
 
+@pytest.mark.parametrize("spread", [0.3, 0.05])
+def test_recall_of_lone_queries(spark, spread):
+    """Lone vectors among dense groups are searched as well as the others."""
+    draw = np.random.default_rng(3)
+    centres = draw.normal(size=(10, 32))
+    vectors = np.concatenate([draw.normal(size=(100, 32)), centres[np.arange(2_900) % 10] + spread * draw.normal(size=(2_900, 32))])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = nearest.nearest(table, (F.col("vec_id") < 100) | (F.col("vec_id") % 50 == 0)).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = {i: len(got[i] & set(np.argsort(((vectors - vectors[i]) ** 2).sum(1), kind="stable")[1:11].tolist())) for i in got}
+    assert sum(n for i, n in hits.items() if i < 100) >= 0.9 * 1_000 and sum(n for i, n in hits.items() if i >= 100) >= 0.9 * 580
+
+
+def test_many_equal_rows_of_repeated_passages(spark):
+    """A thousand equal rows cost little more than one: nothing is multiplied by their number."""
+    table = spark.createDataFrame([(1, PASSAGE)] + [(2, PASSAGE)] * 1_000 + [(3, "x " + PASSAGE)] * 3, "doc_id long, text string")
+    found = substrings.repeated_spans(table).groupBy("doc_id", "n_removed").count().collect()
+    assert {tuple(r) for r in found} == {(1, 0, 1), (2, 120, 1_000), (3, 120, 3)}
+
+
 def test_words_of_one_class_have_their_own_probability(spark):
     words = [f"w{i}" for i in range(400)]
     classes = maskedlm._classes(Words(pa.array(words, pa.large_string())).hashes(), np.zeros(0, np.int64))
