@@ -9,16 +9,19 @@ from itertools import product
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier,
 )
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans.staging import cut
 from . import features
 from .evaluate import (
     SEED, TEST_SHARE, VALIDATION_SHARE, best_model, class_labels, classification_metrics, folds, label_at, label_index, long_metrics,
     problem_type, regression_metrics, split,
 )
+from .explain import REPEATS, explain
 from .models import assemble, with_score
 
 MIN_ROWS = 10
@@ -63,6 +66,13 @@ class Experiment:
     data: DataFrame | None = None
     # Class labels as given, in rising order; ``data``, models and metrics work on their places 0..k-1.
     labels: list[float] = field(default_factory=list)
+    # What ``explain_best`` says of the winner, where it was asked for.
+    explanation: dict[str, DataFrame] = field(default_factory=dict)
+
+    def release(self) -> None:
+        """Give back the memory that ``data`` is held in; it is computed again where it is used afterwards."""
+        if self.data is not None:
+            self.data.unpersist()
 
     def as_given(self, scored: DataFrame) -> DataFrame:
         """Scored rows with the class labels as given in ``label`` and ``prediction``."""
@@ -241,11 +251,12 @@ def run_experiment(
     validation: float = VALIDATION_SHARE,
     select_on: str = "validation",
     seed: int = SEED,
+    explained: bool = False,
 ) -> Experiment:
-    """Split, fit baselines, tune every model, measure on all parts, cross-validate and pick the best.
+    """Split, fit baselines, tune every model, measure on all parts, cross-validate, pick the best and, if asked, explain it.
 
     The best model is chosen on the validation part; ``select_on="test"`` chooses on the test part. Classes
-    may have any numeric codes.
+    may have any numeric codes. Each model's measures are computed once. ``release`` the experiment when its rows are no longer needed.
     """
     matrix, names = model_matrix(df, dependent, predictors, key, types)
     problem = problem or problem_type(matrix, "label").first()["problem"]
@@ -259,13 +270,13 @@ def run_experiment(
     std = train.agg(F.stddev_pop("label")).first()[0]
     shape = Shape(sizes.get("train", 0), len(names), len(labels), std or 1.0)
     found = Experiment(problem, names, sizes, data=data, labels=labels)
-    metrics = baselines(data, problem, shape, seed).withColumn("split", F.lit("test"))
+    metrics = cut(baselines(data, problem, shape, seed).withColumn("split", F.lit("test")))
     for name in [m for m in available_models(problem) if models is None or m in models]:
         model, how = tune(train, name, problem, shape, key, method, draws, min(k, 3) if method != "none" else k, seed=seed)
         scored = with_score(model.transform(data))
         columns = ["split", "label", "prediction", *(["score"] if "score" in scored.columns else [])]
         rows = long_metrics(measures(scored.select(*columns), problem, ["split"]), ["split"])
-        metrics = metrics.unionByName(rows.withColumn("model", F.lit(name)))
+        metrics = metrics.unionByName(cut(rows.withColumn("model", F.lit(name))))
         found.models[name], found.tuning[name] = model, how
         found.cross_validation[name] = cross_validate(train, name, problem, shape, key, how["parameters"], k, seed)
     found.metrics = metrics.select("model", "split", "metric", "value")
@@ -273,9 +284,22 @@ def run_experiment(
     contest = found.metrics.where((F.col("split") == part) & F.col("model").isin(list(found.models)))
     winner = best_model(contest, "f1" if stratify else "r2", "accuracy").first()
     found.best, found.best_score = winner["model"], winner["score"]
+    if explained:
+        found.explanation = explain_best(found, key)
     return found
 
 
+def explain_best(found: Experiment, key: Sequence[str], repeats: int = REPEATS, local_instances: int = 1, top: int | None = None) -> dict[str, DataFrame]:
+    """Every explanation that suits the winner of an experiment: learned on its training rows, measured on its test rows.
+
+    ``key`` names the key columns of the experiment's rows. Class labels are the places in ``found.labels``.
+    """
+    values = vector_to_array("features")
+    wide = found.data.select(*key, "split", "label", *[F.get(values, F.lit(i)).alias(name) for i, name in enumerate(found.features)])
+    parts = [wide.where(F.col("split") == part).drop("split") for part in ("train", "test")]
+    return explain(*parts, found.models[found.best], found.features, "label", key, found.problem == "classification", repeats, local_instances, top)
+
+
 def comparison(metrics: DataFrame) -> DataFrame:
     """One row per model with its train and test measures side by side."""
     wanted = metrics.where(F.col("split").isin("train", "test"))
