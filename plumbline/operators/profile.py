@@ -1,6 +1,7 @@
 """Column profiles: meaning, codes, missing values, duplicates and labels."""
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -12,6 +13,8 @@ from ..sources.tables import any_timestamp
 FEW_VALUES = 15
 # Numbers without a hint in their name are continuous, and not listed, above this many distinct values (by sketch).
 LISTED_VALUES = 50
+# Most values (by sketch) that one row of a profile lists; ``value_rows`` gives those of wider columns.
+ROW_VALUES = 100_000
 # Fixed values.
 BOOLEAN_WORDS = ["true", "yes", "1", "false", "no", "0"]
 BINARY_WORDS_ONLY = ["true", "false", "0", "1", "yes", "no"]
@@ -73,13 +76,23 @@ def _listed(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
     )
 
 
-def profile(df: DataFrame, count_null: bool = True, bound: int = BUFFER_VALUES) -> DataFrame:
+def _counted(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
+    """The same without lists: counts only, merged by value, so that a column may have any number of values."""
+    cleaned = F.lower(F.trim(F.col("value")))
+    merged = value_rows(df, fields).groupBy("column", cleaned.alias("cleaned")).agg(F.count("*").alias("n"))
+    return merged.groupBy("column").agg(
+        F.sum("n").alias("distinct_values"), F.lit(None).cast("array<string>").alias("unique_values"), F.count_if(F.col("cleaned") != "").alias("cleaned_values"),
+        F.bool_and((F.col("cleaned") == "") | F.col("cleaned").isin(BOOLEAN_WORDS)).alias("words"),
+    )
+
+
+def profile(df: DataFrame, count_null: bool = True, bound: int = BUFFER_VALUES, row_values: int = ROW_VALUES) -> DataFrame:
     """One row per column: semantic type, code flags, missing values and basic measures.
 
     ``count_null`` counts a missing value as one more distinct value when the type is decided, so a
     0/1 column with gaps is ordinal; without it such a column is binary. ``distinct_count`` is exact but for
     continuous columns, where it is a sketch; ``unique_values`` holds every value of columns that are neither
-    continuous nor dates.
+    continuous nor dates. Above about ``row_values`` values it is null, and ``value_rows`` gives the values as rows.
     """
     fields = df.schema.fields
     rough = df.agg(*[F.approx_count_distinct(_seen(f)).alias(f.name) for f in fields]).first()
@@ -109,7 +122,9 @@ def profile(df: DataFrame, count_null: bool = True, bound: int = BUFFER_VALUES)
     facts = stack_columns(wide, names, _FIELDS)
     few = [f for f in fields if _kind(f) != "numeric" or any(hints(f.name)[1:3]) or rough[f.name] <= LISTED_VALUES]
     if few:
-        facts = facts.join(_listed(df, few).withColumnRenamed("column", "_c"), F.col("column") == F.col("_c"), "left").drop("_c")
+        wide = [f for f in few if _kind(f) != "datetime" and rough[f.name] > row_values]
+        parts = [part(df, own) for part, own in ((_listed, [f for f in few if f not in wide]), (_counted, wide)) if own]
+        facts = facts.join(reduce(DataFrame.unionByName, parts).withColumnRenamed("column", "_c"), F.col("column") == F.col("_c"), "left").drop("_c")
     else:
         facts = facts.withColumns({
             "distinct_values": F.lit(None).cast("long"), "unique_values": F.lit(None).cast("array<string>"),
