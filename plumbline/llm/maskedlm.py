@@ -13,9 +13,11 @@ CLASSES, RARE = 256, 64
 # Tokens seen on each side, and sizes of the embedding and the hidden layer.
 SIDE, EMBEDDING, HIDDEN = 3, 8, 32
 # The rounds of training share all tokens out: each is the target of one round.
-ROUNDS, BATCH, RATE = 2, 512, 0.01
+ROUNDS, BATCH, RATE = 2, 1_024, 0.01
+# Scores whose exponentials, and sums of them, single precision holds.
+LARGEST = 80
 # Words whose counts go to all tasks; the others meet theirs in a join.
-SPREAD = 65_536
+SPREAD = 524_288
 # Weights averaged in one task.
 FAN_IN = 64
 
@@ -35,32 +37,41 @@ class Network:
         self.steps = 0
 
     def _forward(self, around: np.ndarray):
+        """Inputs, hidden layer with a last column of ones, and scores up to a number that a row has in common."""
         table, inner, bias, outer, base = self.parts
         x = table[around].reshape(len(around), -1)
-        hidden = np.tanh(x @ inner + bias)
-        scores = hidden @ outer + base
-        scores -= scores.max(1, keepdims=True)
+        hidden = np.ones((len(x), HIDDEN + 1), np.float32)
+        np.tanh(x @ inner + bias, out=hidden[:, :HIDDEN])
+        last = np.concatenate([outer, base[None, :]])
+        scores = hidden @ last
+        if np.abs(last).sum(0).max() > LARGEST:  # no score is larger than that sum
+            scores -= scores.max(1, keepdims=True)
         return x, hidden, scores
 
     def log_probabilities(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Of each token, given its neighbours."""
         _, _, scores = self._forward(around)
-        own = scores[np.arange(len(token)), token]
-        return own.astype(np.float64) - np.log(np.exp(scores).sum(1, dtype=np.float64))
+        own = scores[np.arange(len(token)), token].astype(np.float64)
+        return own - np.log((np.exp(scores, out=scores) @ np.ones(CLASSES, np.float32)).astype(np.float64))
 
     def learn(self, around: np.ndarray, token: np.ndarray) -> None:
         """One step of Adam on the mean negative log-probability."""
         table, inner, bias, outer, base = self.parts
         x, hidden, scores = self._forward(around)
         slope = np.exp(scores, out=scores)
-        slope /= slope.sum(1, keepdims=True)
-        slope[np.arange(len(token)), token] -= 1
-        slope /= len(token)
-        back = (slope @ outer.T) * (1 - hidden**2)
+        slope *= (1 / len(token) / (slope @ np.ones(CLASSES, np.float32)))[:, None].astype(np.float32)
+        slope[np.arange(len(token)), token] -= 1 / len(token)
+        last = hidden.T @ slope
+        back = (slope @ outer.T) * (1 - hidden[:, :HIDDEN] ** 2)
         spread = (back @ inner.T).reshape(-1, EMBEDDING)
+        # the slopes of each class lie side by side once its places are sorted
         place = around.ravel()
-        embedded = np.stack([np.bincount(place, spread[:, i], CLASSES) for i in range(EMBEDDING)], axis=1)
-        gradient = np.concatenate([g.ravel() for g in (embedded, x.T @ back, back.sum(0), hidden.T @ slope, slope.sum(0))]).astype(np.float32)
+        order = np.argsort(place, kind="stable")
+        place = place[order]
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        embedded = np.zeros((CLASSES, EMBEDDING), np.float32)
+        embedded[place[first]] = np.add.reduceat(spread[order], first, axis=0)
+        gradient = np.concatenate([g.ravel() for g in (embedded, x.T @ back, back.sum(0), last[:HIDDEN], last[HIDDEN])])
         self.steps += 1
         self.first += 0.1 * (gradient - self.first)
         self.second += 0.001 * (gradient**2 - self.second)
@@ -68,13 +79,21 @@ class Network:
         self.weights -= (size * self.first / (np.sqrt(self.second) + 1e-8)).astype(np.float32)
 
 
-def neighbours(tokens: np.ndarray, doc_starts: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The SIDE classes on both sides of each place; 0 outside of its text. ``doc_starts`` ends with the number of tokens."""
-    doc = np.searchsorted(doc_starts, at, "right") - 1
-    steps = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
-    place = at[:, None] + steps
-    inside = (place >= doc_starts[doc][:, None]) & (place < doc_starts[doc + 1][:, None])
-    return np.where(inside, tokens[np.clip(place, 0, max(len(tokens) - 1, 0))], 0)
+def stretched(tokens: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A view of every token with the SIDE classes on both sides, 0 outside of its text, and the place in it of each token.
+
+    ``doc_starts`` ends with the number of tokens.
+    """
+    place = np.arange(len(tokens)) + SIDE * np.repeat(np.arange(1, len(doc_starts)), np.diff(doc_starts))
+    wide = np.zeros(len(tokens) + SIDE * (len(doc_starts) + 1), tokens.dtype)
+    wide[place] = tokens
+    return np.lib.stride_tricks.sliding_window_view(wide, 2 * SIDE + 1), place - SIDE
+
+
+def neighbours(view: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The SIDE classes on both sides of each of the places of a view."""
+    around = view[places]
+    return np.concatenate([around[:, :SIDE], around[:, SIDE + 1 :]], axis=1)
 
 
 def pseudo_likelihood(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -104,8 +123,9 @@ def pseudo_likelihood(docs: DataFrame, text: str = "text", rounds: int = ROUNDS)
     top = counts.orderBy(F.desc("n"), "word").limit(CLASSES - RARE - 1).select("word").collect()
     known = np.sort(np.array([r["word"] for r in top], np.int64))
     totals = _rare_totals(counts, known)
-    spread = _frequent(counts, SPREAD).collect()
-    listed = np.array(sorted((r["word"], r["n"]) for r in spread), np.int64).reshape(-1, 2)
+    spread = _frequent(counts, SPREAD).select("word", "n").toArrow()
+    listed = np.stack([spread.column(c).to_numpy() for c in ("word", "n")], axis=1)
+    listed = listed[np.argsort(listed[:, 0])]
     sent = spark.sparkContext.broadcast((known, totals, listed))
 
     def encode(batches):
@@ -143,11 +163,11 @@ def pseudo_likelihood(docs: DataFrame, text: str = "text", rounds: int = ROUNDS)
         network = Network(learned.value)
         for batch in text_slices(batches, "coded", 1 << 18):
             tokens, starts = raw_bytes(batch.column("coded"))
-            tokens = tokens.astype(np.int64)
+            view, place = stretched(tokens, starts)
             values = np.zeros(len(tokens))
             for start in range(0, len(tokens), 2_048):
-                at = np.arange(start, min(start + 2_048, len(tokens)))
-                values[at] = network.log_probabilities(neighbours(tokens, starts, at), tokens[at])
+                at = slice(start, start + 2_048)
+                values[at] = network.log_probabilities(neighbours(view, place[at]), tokens[at])
             sums = [float(values[a:b].sum()) for a, b in zip(starts[:-1], starts[1:])]
             sums = np.array(sums, np.float64) + batch.column("inside").to_numpy()
             yield pa.RecordBatch.from_arrays(
@@ -236,10 +256,10 @@ def _round(corpus: DataFrame, weights: np.ndarray, number: int, rounds: int) ->
         network, seen, held = Network(weights.copy()), 0, None
         for batch in text_slices(batches, "coded", 1 << 18):
             tokens, starts = raw_bytes(batch.column("coded"))
-            tokens = tokens.astype(np.int64)
+            view, place = stretched(tokens, starts)
             at = targets(np.arange(seen, seen + len(tokens)), number, rounds)
             seen += len(tokens)
-            pairs = neighbours(tokens, starts, at), tokens[at]
+            pairs = neighbours(view, place[at]), tokens[at]
             held = pairs if held is None else tuple(np.concatenate(p) for p in zip(held, pairs))
             while len(held[1]) >= BATCH:
                 network.learn(held[0][:BATCH], held[1][:BATCH])

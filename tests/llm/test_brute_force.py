@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
@@ -17,6 +18,7 @@ from plumbline.llm import maskedlm, packing, queries
 from plumbline.llm.bytebpe import ByteBpe
 from plumbline.llm.jaccard import fewest_matches
 from plumbline.llm.substrings import SuffixAutomaton
+from plumbline.llm.text import Words
 from plumbline.llm.tokencounts import chunked_count
 from plumbline.llm.wordtokens import WordTokens
 
@@ -157,20 +159,51 @@ def test_window_network():
     random = np.random.default_rng(0)
     tokens = np.tile(random.integers(1, 30, 40), 60)
     starts = np.array([0, 1000, 2400])
-    around = maskedlm.neighbours(tokens, starts, np.array([0, 999, 1000, 1001]))
+    view, place = maskedlm.stretched(tokens, starts)
+    around = maskedlm.neighbours(view, place[[0, 999, 1000, 1001]])
     assert around[0].tolist() == [0, 0, 0, *tokens[1:4]] and around[1].tolist() == [*tokens[996:999], 0, 0, 0]
     assert around[2].tolist() == [0, 0, 0, *tokens[1001:1004]] and around[3].tolist() == [0, 0, tokens[1000], *tokens[1002:1005]]
     network, at = maskedlm.Network(), np.arange(2400)
-    before = network.log_probabilities(maskedlm.neighbours(tokens, starts, at), tokens).mean()
+    before = network.log_probabilities(maskedlm.neighbours(view, place[at]), tokens).mean()
     for _ in range(150):
         pick = random.integers(0, 2400, 256)
-        network.learn(maskedlm.neighbours(tokens, starts, pick), tokens[pick])
-    after = network.log_probabilities(maskedlm.neighbours(tokens, starts, at), tokens).mean()
+        network.learn(maskedlm.neighbours(view, place[pick]), tokens[pick])
+    after = network.log_probabilities(maskedlm.neighbours(view, place[at]), tokens).mean()
     assert before < -5 and after > -2.5
     scores = np.array([network.log_probabilities(around[:1], np.array([c]))[0] for c in range(maskedlm.CLASSES)])
     assert abs(np.exp(scores).sum() - 1) < 1e-5
 
 
+def test_scores_in_plain_python(spark, monkeypatch):
+    """Scores from the learned weights and the counts, token by token."""
+    weights = []
+    learned = maskedlm._round
+    monkeypatch.setattr(maskedlm, "_round", lambda *a: weights.append(learned(*a)) or weights[-1])
+    draw = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(320)]
+    docs = [" ".join(words[min(int(x), 319)] for x in draw.exponential(60, int(draw.integers(1, 60)))) for _ in range(60)]
+    found = {r.text: r for r in maskedlm.pseudo_likelihood(spark.createDataFrame([(d,) for d in docs], "text string")).collect()}
+    counts = Counter(w for d in docs for w in d.split())
+    hashed = dict(zip(words, Words(pa.array(words, pa.large_string())).hashes().view(np.int64).tolist()))
+    top = sorted(counts, key=lambda w: (-counts[w], hashed[w]))[: maskedlm.CLASSES - maskedlm.RARE - 1]
+    known = sorted(hashed[w] for w in top)
+    place = {w: maskedlm.RARE + 1 + known.index(hashed[w]) for w in top}
+    for w in counts:
+        if w not in place:
+            place[w] = 1 + int(maskedlm.mixed(np.array([hashed[w]], np.int64).view(np.uint64))[0] % np.uint64(maskedlm.RARE))
+    size = Counter()
+    for w, n in counts.items():
+        size[place[w]] += n
+    table, inner, bias, outer, base = (p.astype(float) for p in maskedlm.Network(weights[-1]).parts)
+    for d in docs:
+        own, total = [place[w] for w in d.split()], 0.0
+        for i, w in enumerate(d.split()):
+            around = [own[j] if 0 <= j < len(own) else 0 for j in (*range(i - 3, i), *range(i + 1, i + 4))]
+            scores = np.tanh(np.concatenate([table[a] for a in around]) @ inner + bias) @ outer + base
+            total += scores[own[i]] - np.log(np.exp(scores).sum()) + (np.log(counts[w] / size[own[i]]) if own[i] <= maskedlm.RARE else 0.0)
+        assert found[d].log_likelihood == pytest.approx(total, rel=1e-4, abs=1e-3) and found[d].n_tokens == len(own)
+
+
 def test_likelihood_of_documents(spark, texts):
     found = queries.lm_scoring(spark, FOLDER).collect()
     assert {r.doc_id: r.n_tokens for r in found} == {i: len(t.encode().split()) for i, t in texts.items()}
