@@ -12,10 +12,14 @@ from plumbline.plans.staging import scratch_path
 CLASSES, RARE = 256, 64
 # Tokens seen on each side, and sizes of the embedding and the hidden layer.
 SIDE, EMBEDDING, HIDDEN = 3, 8, 32
+# Embeddings, hidden layer and its bias, last layer and its base, in the order in which a vector of weights holds them.
+SHAPES = [(CLASSES, EMBEDDING), (2 * SIDE * EMBEDDING, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
 # The rounds of training share all tokens out: each is the target of one round.
 ROUNDS, BATCH, RATE = 2, 1_024, 0.01
-# Scores whose exponentials, and sums of them, single precision holds.
-LARGEST = 80
+# Scores whose exponentials, sums of them and their products with weights single precision holds.
+LARGEST = 60
+# Rows multiplied at once, and tokens scored at once.
+BLOCK, SCORED = 64, 512
 # Words whose counts go to all tasks; the others meet theirs in a join.
 SPREAD = 524_288
 # Weights averaged in one task.
@@ -26,25 +30,28 @@ class Network:
     """Embeddings of the neighbours side by side, one hidden layer, softmax over the classes."""
 
     def __init__(self, weights: np.ndarray | None = None, seed: int = 3):
-        shapes = [(CLASSES, EMBEDDING), (2 * SIDE * EMBEDDING, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
-        sizes = [int(np.prod(s)) for s in shapes]
         if weights is None:
             random = np.random.default_rng(seed)
-            weights = np.concatenate([(random.normal(size=n) * (0.1 if len(s) == 2 else 0)).astype(np.float32) for n, s in zip(sizes, shapes)])
+            weights = np.concatenate([(random.normal(size=int(np.prod(s))) * (0.1 if len(s) == 2 else 0)).astype(np.float32) for s in SHAPES])
         self.weights = weights.astype(np.float32)
-        self.parts = [p.reshape(s) for p, s in zip(np.split(self.weights, np.cumsum(sizes)[:-1]), shapes)]
-        self.first, self.second = np.zeros_like(self.weights), np.zeros_like(self.weights)
+        self.parts = _parts(self.weights)
+        self.gradient, self.first, self.second = (np.zeros_like(self.weights) for _ in range(3))
+        self.slopes = _parts(self.gradient)
         self.steps = 0
+        self._measure()
+
+    def _measure(self) -> None:
+        """No score is larger than this sum."""
+        self.largest = np.abs(_last(self.weights)).sum(0).max()
 
     def _forward(self, around: np.ndarray):
         """Inputs, hidden layer with a last column of ones, and scores up to a number that a row has in common."""
-        table, inner, bias, outer, base = self.parts
-        x = table[around].reshape(len(around), -1)
+        table, inner, bias, _, _ = self.parts
+        x = table.take(around, axis=0).reshape(len(around), -1)
         hidden = np.ones((len(x), HIDDEN + 1), np.float32)
-        np.tanh(x @ inner + bias, out=hidden[:, :HIDDEN])
-        last = np.concatenate([outer, base[None, :]])
-        scores = hidden @ last
-        if np.abs(last).sum(0).max() > LARGEST:  # no score is larger than that sum
+        np.tanh(_product(x, inner) + bias, out=hidden[:, :HIDDEN])
+        scores = _product(hidden, _last(self.weights))
+        if self.largest > LARGEST:
             scores -= scores.max(1, keepdims=True)
         return x, hidden, scores
 
@@ -56,27 +63,57 @@ class Network:
 
     def learn(self, around: np.ndarray, token: np.ndarray) -> None:
         """One step of Adam on the mean negative log-probability."""
-        table, inner, bias, outer, base = self.parts
+        _, inner, _, outer, _ = self.parts
         x, hidden, scores = self._forward(around)
+        # a row of slopes still lacks its factor, which the shorter row of the hidden layer takes instead
         slope = np.exp(scores, out=scores)
-        slope *= (1 / len(token) / (slope @ np.ones(CLASSES, np.float32)))[:, None].astype(np.float32)
-        slope[np.arange(len(token)), token] -= 1 / len(token)
-        last = hidden.T @ slope
-        back = (slope @ outer.T) * (1 - hidden[:, :HIDDEN] ** 2)
-        spread = (back @ inner.T).reshape(-1, EMBEDDING)
+        total = slope @ np.ones(CLASSES, np.float32)
+        slope[np.arange(len(token)), token] -= total
+        factor = (1 / len(token) / total)[:, None]
+        scaled = hidden * factor
+        back = _product(slope, np.ascontiguousarray(outer.T))
+        back *= factor - hidden[:, :HIDDEN] * scaled[:, :HIDDEN]
+        spread = _product(back, np.ascontiguousarray(inner.T)).reshape(-1, EMBEDDING)
         # the slopes of each class lie side by side once its places are sorted
         place = around.ravel()
         order = np.argsort(place, kind="stable")
-        place = place[order]
-        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        embedded = np.zeros((CLASSES, EMBEDDING), np.float32)
-        embedded[place[first]] = np.add.reduceat(spread[order], first, axis=0)
-        gradient = np.concatenate([g.ravel() for g in (embedded, x.T @ back, back.sum(0), last[:HIDDEN], last[HIDDEN])])
+        counts = np.bincount(place, minlength=CLASSES)
+        met = np.flatnonzero(counts)
+        self.slopes[0][...] = 0
+        self.slopes[0][met] = np.add.reduceat(spread.take(order, axis=0), (np.cumsum(counts) - counts)[met], axis=0)
+        self.slopes[1][...] = _crossed(x, back)
+        self.slopes[2][...] = back.sum(0)
+        _last(self.gradient)[...] = _crossed(scaled, slope)
         self.steps += 1
-        self.first += 0.1 * (gradient - self.first)
-        self.second += 0.001 * (gradient**2 - self.second)
-        size = RATE * np.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps)
-        self.weights -= (size * self.first / (np.sqrt(self.second) + 1e-8)).astype(np.float32)
+        self.first += 0.1 * (self.gradient - self.first)
+        self.second += 0.001 * (self.gradient**2 - self.second)
+        size = RATE * (1 - 0.999**self.steps) ** 0.5 / (1 - 0.9**self.steps)
+        self.weights -= size * self.first / (np.sqrt(self.second) + 1e-8)
+        self._measure()
+
+
+def _parts(vector: np.ndarray) -> list[np.ndarray]:
+    """Views of what a vector of all weights holds."""
+    return [p.reshape(s) for p, s in zip(np.split(vector, np.cumsum([int(np.prod(s)) for s in SHAPES])[:-1]), SHAPES)]
+
+
+def _last(vector: np.ndarray) -> np.ndarray:
+    """A view of the last layer, its base as the last row."""
+    return vector[-(HIDDEN + 1) * CLASSES :].reshape(HIDDEN + 1, CLASSES)
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b; matrices as small as blocks of rows are multiplied in place, without being packed first."""
+    if len(a) % BLOCK:
+        return a @ b
+    return np.matmul(a.reshape(-1, BLOCK, a.shape[1]), b).reshape(len(a), b.shape[1])
+
+
+def _crossed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b, by the same blocks."""
+    if len(a) % BLOCK:
+        return a.T @ b
+    return np.matmul(a.reshape(-1, BLOCK, a.shape[1]).transpose(0, 2, 1), b.reshape(-1, BLOCK, b.shape[1])).sum(0)
 
 
 def stretched(tokens: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,15 +171,8 @@ def pseudo_likelihood(docs: DataFrame, text: str = "text", rounds: int = ROUNDS)
         for batch in text_slices(batches):
             words = Words(batch.column("text"))
             hashes = words.hashes()
-            classes = _classes(hashes, known)
-            coded = classes.astype(np.uint8)
-            rare = classes <= RARE
-            place, hit = _found(hashes, listed[:, 0])
-            own = np.zeros(len(hashes))
-            own[hit] = logs[place[hit]]
-            own = np.where(rare, own - totals[classes], 0)
+            coded, own, left = _looked_up(hashes, known, totals, listed[:, 0], logs)
             sums = [float(own[a:b].sum()) for a, b in zip(words.first[:-1], words.first[1:])]
-            left = rare & ~hit
             ends = np.concatenate([[0], np.cumsum(left)])[words.first].astype(np.int32)
             others = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.view(np.int64)[left], pa.int64()))
             yield pa.RecordBatch.from_arrays([
@@ -165,8 +195,8 @@ def pseudo_likelihood(docs: DataFrame, text: str = "text", rounds: int = ROUNDS)
             tokens, starts = raw_bytes(batch.column("coded"))
             view, place = stretched(tokens, starts)
             values = np.zeros(len(tokens))
-            for start in range(0, len(tokens), 2_048):
-                at = slice(start, start + 2_048)
+            for start in range(0, len(tokens), SCORED):
+                at = slice(start, start + SCORED)
                 values[at] = network.log_probabilities(neighbours(view, place[at]), tokens[at])
             sums = [float(values[a:b].sum()) for a, b in zip(starts[:-1], starts[1:])]
             sums = np.array(sums, np.float64) + batch.column("inside").to_numpy()
@@ -240,6 +270,21 @@ def _found(hashes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return place, hit
 
 
+def _looked_up(hashes: np.ndarray, known: np.ndarray, totals: np.ndarray, listed: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Class of each word, the logarithm of its share of it as far as it is listed, and whether its count is still to be met.
+
+    Each distinct word is looked up once, in the order of the sorted lists.
+    """
+    distinct, at = np.unique(hashes.view(np.int64), return_inverse=True)
+    classes = _classes(distinct.view(np.uint64), known)
+    rare = classes <= RARE
+    place, hit = _found(distinct, listed)
+    own = np.zeros(len(distinct))
+    own[hit] = logs[place[hit]]
+    own = np.where(rare, own - totals[classes], 0)
+    return classes.astype(np.uint8)[at], own[at], (rare & ~hit)[at]
+
+
 def targets(places: np.ndarray, number: int, rounds: int) -> np.ndarray:
     """Which places round ``number`` predicts; the rounds part all places among them."""
     return np.flatnonzero(mixed(places.astype(np.uint64)) % np.uint64(rounds) == number)

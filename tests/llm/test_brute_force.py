@@ -174,6 +174,74 @@ def test_window_network():
     assert abs(np.exp(scores).sum() - 1) < 1e-5
 
 
+class Counted(np.ndarray):
+    """Notes every function that writes a value for each class of 128 tokens."""
+
+    noted = []
+
+    def __array_ufunc__(self, ufunc, method, *inputs, out=None, **named):
+        plain = [np.asarray(i) if isinstance(i, Counted) else i for i in inputs]
+        if out is not None:
+            named["out"] = tuple(np.asarray(o) for o in out)
+        found = getattr(ufunc, method)(*plain, **named)
+        if np.size(found) == 128 * maskedlm.CLASSES:
+            Counted.noted.append(ufunc.__name__)
+        return out[0] if out is not None else np.asarray(found).view(Counted)
+
+
+@pytest.mark.parametrize("rows", [128, 75])
+@pytest.mark.parametrize("spread", [1, 60])
+def test_a_step_follows_the_gradient(rows, spread):
+    """The first step of Adam, from slopes in double precision; wide weights need their scores shifted."""
+    random = np.random.default_rng(rows)
+    around = random.integers(0, 40, (rows, 2 * maskedlm.SIDE)).astype(np.uint8)
+    token = random.integers(1, 40, rows).astype(np.uint8)
+    network = maskedlm.Network(maskedlm.Network().weights * np.float32(spread))
+    before = network.weights.astype(float)
+    table, inner, bias, outer, base = (p.astype(float) for p in maskedlm.Network(network.weights).parts)
+    x = table[around].reshape(rows, -1)
+    hidden = np.tanh(x @ inner + bias)
+    scores = hidden @ outer + base
+    slope = np.exp(scores - scores.max(1, keepdims=True))
+    slope /= slope.sum(1, keepdims=True)
+    slope[np.arange(rows), token] -= 1
+    slope /= rows
+    back = (slope @ outer.T) * (1 - hidden**2)
+    embedded = np.zeros_like(table)
+    np.add.at(embedded, around.ravel(), (back @ inner.T).reshape(-1, maskedlm.EMBEDDING))
+    gradient = np.concatenate([g.ravel() for g in (embedded, x.T @ back, back.sum(0), hidden.T @ slope, slope.sum(0))])
+    network.learn(around, token)
+    assert network.first == pytest.approx(0.1 * gradient, rel=2e-3, abs=2e-6 * spread**0.5)
+    clear = np.abs(gradient) > 1e-4
+    assert (before - network.weights)[clear] == pytest.approx(maskedlm.RATE * np.sign(gradient[clear]), rel=2e-2)
+
+
+def test_a_step_passes_over_the_scores_once():
+    """Beside the products, only the exponential is taken for every class of every token."""
+    random = np.random.default_rng(1)
+    network = maskedlm.Network()
+    network.weights = network.weights.view(Counted)
+    network.parts = [p.view(Counted) for p in network.parts]
+    Counted.noted = []
+    network.learn(random.integers(0, 256, (128, 2 * maskedlm.SIDE)).astype(np.uint8), random.integers(0, 256, 128))
+    assert [n for n in Counted.noted if n != "matmul"] == ["exp"]
+
+
+def test_each_distinct_word_is_looked_up_once(monkeypatch):
+    random = np.random.default_rng(2)
+    words = random.integers(-(2**63), 2**63 - 1, 500)
+    known, listed, logs, totals = np.sort(words[:100]), np.sort(words[:400]), random.random(400), random.random(maskedlm.CLASSES)
+    hashes = words[random.integers(0, 500, 20_000)].view(np.uint64)
+    asked, found = [], maskedlm._found
+    monkeypatch.setattr(maskedlm, "_found", lambda h, k: asked.append(len(h)) or found(h, k))
+    coded, own, left = maskedlm._looked_up(hashes, known, totals, listed, logs)
+    assert max(asked) <= 500
+    log = dict(zip(listed.tolist(), logs))
+    for h, c, o, l in zip(hashes.view(np.int64).tolist(), maskedlm._classes(hashes, known), own, left):
+        assert o == (log[h] - totals[c] if c <= maskedlm.RARE and h in log else -totals[c] if c <= maskedlm.RARE else 0) and l == (c <= maskedlm.RARE and h not in log)
+    assert (coded == maskedlm._classes(hashes, known)).all()
+
+
 def test_scores_in_plain_python(spark, monkeypatch):
     """Scores from the learned weights and the counts, token by token."""
     weights = []
