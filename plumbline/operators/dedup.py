@@ -2,12 +2,13 @@
 
 from collections.abc import Sequence
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import RATIOS, strip_blanks
 from ..plans.segments import text_columns
-from ..plans.similar import KEYS, allowed, check_threshold, left_keys, right_keys
+from ..plans.similar import KEYS, POSITIONED, allowed, check_threshold, left_keys, right_keys
 from ..plans.staging import cut
 
 FUZZY_THRESHOLD = 0.9
@@ -16,6 +17,8 @@ HOT_PAIRS = 1_000_000
 # Thinning goes on while each round leaves at most this share of the hottest key's pairs. Rows that match nobody
 # lead one by one; then forming the pairs costs less than more rounds. The result is the same either way.
 THINNING_SHARE = 0.9
+# Keys that one join of left and right rows shuffles; more left rows are taken in turns.
+KEYED_ROWS = 16_000_000
 
 
 # ---- exact ---------------------------------------------------------------------------------------
@@ -75,42 +78,56 @@ def _lanes(patterns: list[tuple[bool, ...]]) -> tuple[dict, bool]:
     return lanes, free
 
 
-def _keyed(reps: DataFrame, names: list[str], lanes: dict, free: bool, threshold: float, side: str) -> DataFrame:
-    """(id, lane, keys...): one lane per column used for blocking, one for rows that share no column."""
-    make = left_keys if side == "left" else right_keys
+def _keyed(
+    reps: DataFrame, names: list[str], lanes: dict, free: bool, threshold: float, side: str, present: dict[str, list[int]]
+) -> DataFrame:
+    """(id, names..., lane, keys...): one lane per column used for blocking, one for rows that share no column.
+
+    Never written as a whole: a left row has hundreds of keys, which are made where they are used.
+    """
     parts = []
     for lane, name in enumerate(names):
         users = [p for p, used in lanes.items() if lane in used]
         if users:
-            chosen = reps.where(F.col("_filled").isin(["".join("1" if x else "0" for x in p) for p in users]))
-            keyed = make(chosen.select("id", name), name, threshold)
-            parts.append(keyed.select("id", F.lit(lane).alias("lane"), *KEYS))
+            chosen = reps.where(F.col("_filled").isin(["".join("1" if x else "0" for x in p) for p in users])).select("id", *names)
+            keyed = left_keys(chosen, name, threshold, present[name]) if side == "left" else right_keys(chosen, name, threshold)
+            parts.append(keyed.select("id", *names, F.lit(lane).alias("lane"), *KEYS))
     if free:
         patterns = ["".join("1" if x else "0" for x in p) for p in lanes]
         for p in patterns:
             for q in patterns:
                 if all(x == "0" or y == "0" for x, y in zip(p, q)):
                     parts.append(reps.where(F.col("_filled") == p).select(
-                        "id", F.lit(-1).alias("lane"), F.lit(-2).alias("key_length"), F.lit(-2).alias("key_piece"),
+                        "id", *names, F.lit(-1).alias("lane"), F.lit(-2).alias("key_length"), F.lit(-2).alias("key_piece"),
                         F.lit("|".join(sorted([p, q]))).alias("piece"),
                     ))
-    return reduce(DataFrame.unionByName, parts).distinct()
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _matches(left: DataFrame, right: DataFrame, reps: DataFrame, names: list[str], threshold: float, form: str) -> DataFrame:
-    """(i, j) with i before j for the keyed rows that match in every column."""
-    a = left.select(F.col("id").alias("i"), "lane", *KEYS, *[F.col(n).alias(f"a_{n}") for n in names])
-    b = right.select(F.col("id").alias("j"), "lane", *KEYS, *[F.col(n).alias(f"b_{n}") for n in names])
+def _matches(left: DataFrame, right: DataFrame, names: list[str], threshold: float, form: str, turns: int = 1) -> DataFrame:
+    """(i, j) with i before j for the keyed rows that match in every column; the left rows in ``turns``, each written and swept.
+
+    Rows meet by a hash of their key. Keys that share one only bring pairs that are compared and fail.
+    """
+    block = F.xxhash64("lane", *KEYS).alias("_block")
+    a = left.select(F.col("id").alias("i"), block, *[F.col(n).alias(f"a_{n}") for n in names])
+    b = right.select(F.col("id").alias("j"), block, *[F.col(n).alias(f"b_{n}") for n in names])
     near = F.col("i") < F.col("j")
     for n in names:
         x, y = F.col(f"a_{n}"), F.col(f"b_{n}")
         near = near & ((x == y) | (x == "") | (y == "") | allowed(x, y, threshold))
-    pairs = a.join(b, ["lane", *KEYS]).where(near).drop("lane", *KEYS).distinct()
-    for n in names:
-        x, y = F.col(f"a_{n}"), F.col(f"b_{n}")
-        score = F.when((x == y) | (x == "") | (y == ""), 1.0).otherwise(RATIOS[form](x, y))
-        pairs = pairs.where(score >= threshold)
-    return pairs.select("i", "j")
+
+    def matched(part: DataFrame) -> DataFrame:
+        pairs = part.join(b, "_block").where(near).drop("_block").distinct()
+        for n in names:
+            x, y = F.col(f"a_{n}"), F.col(f"b_{n}")
+            score = F.when((x == y) | (x == "") | (y == ""), 1.0).otherwise(RATIOS[form](x, y))
+            pairs = pairs.where(score >= threshold)
+        return cut(pairs.select("i", "j"))
+
+    if turns == 1:
+        return matched(a)
+    return reduce(DataFrame.unionAll, [matched(a.where(F.pmod(F.xxhash64("i"), F.lit(turns)) == turn)) for turn in range(turns)])
 
 
 def fuzzy_groups(
@@ -120,6 +137,7 @@ def fuzzy_groups(
     threshold: float = FUZZY_THRESHOLD,
     hot_pairs: int = HOT_PAIRS,
     form: str = "sequence",
+    keyed_rows: int = KEYED_ROWS,
 ) -> DataFrame:
     """(key, leader) of every row in a group of at least two near-duplicates.
 
@@ -147,13 +165,15 @@ def fuzzy_groups(
     patterns = [tuple(x == "1" for x in r["_filled"]) for r in reps.select("_filled").distinct().collect()]
     lanes, free = _lanes(patterns)
     texts = reps.select("id", *names)
-    left = cut(_keyed(reps, names, lanes, free, threshold, "left"))
-    right = cut(_keyed(reps, names, lanes, free, threshold, "right"))
+    # Left rows only make keys for the lengths that short right texts have; there are at most POSITIONED of them.
+    sized = reps.agg(*[F.collect_set(F.when(F.length(n) <= POSITIONED, F.length(n))).alias(n) for n in names]).first()
+    present = {n: sorted(sized[n]) for n in names}
 
-    def with_text(keyed):
-        return keyed.join(texts, "id")
+    def keyed(rows: DataFrame, side: str) -> DataFrame:
+        return _keyed(rows, names, lanes, free, threshold, side, present)
 
-    open_rows = reps.select("id")
+    left, right = keyed(reps, "left"), keyed(reps, "right")
+    opened, open_rows = reps, reps.select("id")
     leaders, early = [], []
     last = None
     while True:
@@ -163,7 +183,8 @@ def fuzzy_groups(
         )
         load = cut(load)
         # A row meets itself under each of its keys; a key with one left row forms no pair.
-        worst = load.where("x > 1").agg(F.max(F.col("x") * F.col("y"))).first()[0]
+        facts = load.agg(F.max(F.when(F.col("x") > 1, F.col("x") * F.col("y"))).alias("worst"), F.sum("x").alias("keys")).first()
+        worst, turns = facts["worst"], max(1, ceil((facts["keys"] or 0) / keyed_rows))
         if worst is None or worst <= hot_pairs or (last is not None and worst > THINNING_SHARE * last):
             break
         last = worst
@@ -173,14 +194,14 @@ def fuzzy_groups(
             .agg(F.max(F.when(F.col("first") < F.col("id"), 1).otherwise(0)).alias("later"))
             .where("later = 0").select("id")
         )
-        led = cut(_matches(with_text(left.join(chosen, "id", "left_semi")), with_text(right), reps, names, threshold, form))
+        led = _matches(keyed(opened.join(chosen, "id", "left_semi"), "left"), right, names, threshold, form)
         leaders.append(chosen)
         early.append(led)
         gone = chosen.union(led.select(F.col("j").alias("id"))).distinct()
-        open_rows = cut(open_rows.join(gone, "id", "left_anti"))
-        left = cut(left.join(gone, "id", "left_anti"))
-        right = cut(right.join(gone, "id", "left_anti"))
-    pairs = cut(_matches(with_text(left), with_text(right), reps, names, threshold, form))
+        opened = cut(opened.join(gone, "id", "left_anti"))
+        open_rows = opened.select("id")
+        left, right = keyed(opened, "left"), keyed(opened, "right")
+    pairs = _matches(left, right, names, threshold, form, turns)
 
     links = pairs
     while True:
@@ -199,13 +220,9 @@ def fuzzy_groups(
     if early:
         led = cut(reduce(DataFrame.union, early).groupBy("j").agg(F.min("i").alias("i")))
         # A leader found later may still come before the one that claimed a row in an early round.
-        keyed_left = _keyed(reps, names, lanes, free, threshold, "left").join(heads, "id", "left_semi")
-        keyed_right = _keyed(reps, names, lanes, free, threshold, "right").join(
-            led.select(F.col("j").alias("id")), "id", "left_semi"
-        )
-        found = found.union(led.select("i", "j")).union(
-            _matches(with_text(keyed_left), with_text(keyed_right), reps, names, threshold, form)
-        )
+        late_left = keyed(reps.join(heads, "id", "left_semi"), "left")
+        late_right = keyed(reps.join(led.select(F.col("j").alias("id")), "id", "left_semi"), "right")
+        found = found.union(led.select("i", "j")).union(_matches(late_left, late_right, names, threshold, form, turns))
     owner = found.groupBy(F.col("j").alias("id")).agg(F.min("i").alias("_leader"))
     settled = texts.join(owner, "id", "left").withColumn("_leader", F.coalesce("_leader", "id")).drop("id")
     equal = reduce(lambda x, y: x & y, [tidy[c] == settled[c] for c in names])

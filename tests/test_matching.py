@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import clean, dedup, neighbours
-from plumbline.plans import segments, similar
+from plumbline.plans import segments, similar, staging
 
 
 def edited(rng, text, edits):
@@ -195,3 +195,31 @@ def test_nearest_rows_of_odd_tables(spark):
     assert sorted(map(tuple, neighbours.fill_nearest(lone, ["a.b", "c"], ["id"]).collect())) == [(1, None, 2.0, "x"), (2, None, 3.0, "y"), (3, None, 4.0, None)]
     nan = spark.createDataFrame([(1, float("nan"), 2.0, "x"), (2, 5.0, 2.0, "y"), (2, 5.0, 2.0, "y")], schema)
     assert neighbours.fill_nearest(nan, ["a.b", "c"], ["id"]).where("id = 1").first()["a.b"] == 5.0
+
+
+def test_keys_are_not_written(spark, monkeypatch):
+    """Left rows make hundreds of keys; only rows and pairs are written, and rows taken in turns find the same groups."""
+    written = []
+
+    def watched(df):
+        out = staging.cut(df)
+        written.append(out.count())
+        return out
+
+    rows = [(t.upper(), None) for t in words(31, 60, 34)]
+    data = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "id long, name string")
+    monkeypatch.setattr(dedup, "cut", watched)
+    once = dedup.fuzzy_groups(data, "id", ["name"], 0.8, keyed_rows=10**9)
+    found = {r["id"]: r["leader"] for r in once.collect()}
+    monkeypatch.undo()
+    keys = similar.left_keys(data.withColumn("name", F.lower("name")), "name", 0.8).count()
+    assert max(written) < keys / 10
+    turned = dedup.fuzzy_groups(data, "id", ["name"], 0.8, keyed_rows=keys // 3)
+    assert found == {r["id"]: r["leader"] for r in turned.collect()} == brute_groups([(t,) for t, _ in rows], 0.8)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    shuffled = spark.range(1000).repartition(3, "id")
+    n = staging.cut(shuffled)
+    assert n.count() == shuffled.count() == 1000
+    assert spark.conf.get(staging.CLEANUP, "false") == "false"
